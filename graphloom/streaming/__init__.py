@@ -1,0 +1 @@
+"""Streaming of the graph engine."""
