@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, html_text, language_id, packing, quality, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_warc": warc.op2_warc,
+    "op3_html_text": html_text.op3_html_text,
+    "op4_language_id": language_id.op4_language_id,
+    "op6_quality": quality.op6_quality,
     "op8_packing": packing.op8_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {"op10_exact_dedup": exact_dedup.ORACLE}
+SQL = {"op2_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
