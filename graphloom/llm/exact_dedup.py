@@ -8,8 +8,8 @@ were equal; no digest decides anything (the SHA-256 of the result is only report
 
 Scale: a round makes one partially aggregated count per (group, digit), kept as a table of the
 groups with two rows or more, and one equi-join of the rows with it. Both inputs of the join
-are plain scans, so adaptive execution splits a hot group over many tasks, or broadcasts the
-group table where its measured size allows. Rows of singletons never move again.
+are plain scans of a sort-merge join at every size, so adaptive execution splits a hot group
+over many tasks. Rows of singletons never move again.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = dealt.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where("n > 1")
         groups = shelf.keep(groups.withColumn("label", F.monotonically_increasing_id()), f"groups{k}")
         done = F.col("n").isNull() | F.col("ended")
-        joined = dealt.join(groups, KEYS, "left").select(
+        joined = dealt.join(groups.hint("merge"), KEYS, "left").select(
             "doc_id", "text_sha256", done.alias("done"),
             F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
