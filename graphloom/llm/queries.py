@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language_id, packing, quality, token_counts, warc
+from . import exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, quality, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_html_text": html_text.op3_html_text,
     "op4_language_id": language_id.op4_language_id,
     "op6_quality": quality.op6_quality,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_packing": packing.op8_packing,
+    "op9_minhash": near_dedup.op9_minhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {"op2_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
