@@ -162,8 +162,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """a, b, similar of each pair of nodes; of pairs that aren't linked also what bounds other pairs: the
-    number of common labelled k-mers, and each side's own ones (new_a, new_b) with its size."""
+    """a, b, similar of each pair of nodes, and what bounds other pairs: the numbers of labelled k-mers,
+    common and of each side, and of pairs that aren't linked those of one side only (new_a, new_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kmers, last = Kmers(words), (None, None)
@@ -174,12 +174,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
                     last = (b, kmers(y))
                 one = kmers(x)
                 similar = similarity(one, last[1], least)
-                if similar >= least:
-                    rows.append((a, b, similar, None, None, None, None, None))
-                    continue
                 p, q = labelled(one).view(np.int64), labelled(last[1]).view(np.int64)
                 common = np.intersect1d(p, q, assume_unique=True)
-                rows.append((a, b, similar, len(common), len(p), len(q), np.setdiff1d(p, common, assume_unique=True), np.setdiff1d(q, common, assume_unique=True)))
+                own = (None, None) if similar >= least else (np.setdiff1d(p, common, assume_unique=True), np.setdiff1d(q, common, assume_unique=True))
+                rows.append((a, b, similar, len(common), len(p), len(q), *own))
             columns = zip(*rows, strict=True) if rows else [()] * len(VERIFIED)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, VERIFIED.types, strict=True)], schema=VERIFIED)
 
@@ -187,6 +185,44 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar double, common long, n_a long, n_b long, new_a array<long>, new_b array<long>")
 
 
+def between_clusters(buckets: DataFrame, central: DataFrame, decided: DataFrame, texts: DataFrame, shelf: Shelf, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of linked nodes in the same bucket (``buckets``: bucket, node, n) that can still be a link
+    between clusters, and the verified pairs of the clusters' heads.
+
+    The head of a node is its most central partner, or itself if it is more central than those. Nodes
+    of one head are connected. Be d the number of labelled k-mers that only one of two texts has, a
+    metric: d(u, x) is at least d(head of u, head of x) - d(u, head) - d(x, head), and a link has at
+    most (1 - least) / (1 + least) * (n_u + n_x). Heads are compared; what is left of each bucket's
+    clusters after three such bounds, for clusters, for a node and a cluster, for two nodes, is paired.
+    """
+    allow = (1 - least) / (1 + least)
+    d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
+    links = decided.where(F.col("similar") >= least)
+    two = links.select(F.col("a").alias("node"), F.col("b").alias("other"), d.alias("d")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), d.alias("d")))
+    rank = central.select(F.col("node").alias("other"), F.col("central").alias("by"))
+    top = two.join(rank.hint("merge"), "other").groupBy("node").agg(F.max(F.struct("by", (-F.col("other")).alias("minus"), (-F.col("d")).alias("near"))).alias("top"))
+    head = top.join(central.select("node", "central").hint("merge"), "node")
+    self_ = F.struct(F.col("central").alias("by"), (-F.col("node")).alias("minus"), F.lit(0).cast("long").alias("near"))
+    best = F.greatest(F.col("top"), self_)
+    heads = shelf.keep(head.select("node", (-best["minus"]).alias("head"), (-best["near"]).alias("d")), "heads_of")
+    placed = shelf.keep(buckets.select("bucket", "node", "n").join(heads.hint("merge"), "node"), "placed")
+    clusters = placed.groupBy("bucket", "head").agg(F.max("d").alias("r"), F.max("n").alias("n"))
+    clusters = shelf.keep(clusters, "clusters")
+    one = clusters.select("bucket", F.col("head").alias("a"), F.col("r").alias("r_a"), F.col("n").alias("n_a"))
+    other = clusters.select("bucket", F.col("head").alias("b"), F.col("r").alias("r_b"), F.col("n").alias("n_b"))
+    meet = shelf.keep(one.join(other.hint("merge"), "bucket").where("a < b"), "cluster_pairs")
+    pairs = meet.select("a", "b").distinct().join(decided.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    fresh = shelf.keep(verified(shelf.keep(pairs, "head_pairs"), texts, words, least), "heads_verified")
+    apart = decided.unionByName(fresh).where(F.col("similar") < least).select("a", "b", d.alias("apart"))
+    left = meet.join(apart.hint("merge"), ["a", "b"]).where(F.col("apart") - F.col("r_a") - F.col("r_b") <= F.lit(allow) * (F.col("n_a") + F.col("n_b")) + 1e-9)
+    u = placed.select("bucket", F.col("head").alias("a"), F.col("node").alias("u"), F.col("d").alias("d_u"), F.col("n").alias("n_u"))
+    x = placed.select("bucket", F.col("head").alias("b"), F.col("node").alias("x"), F.col("d").alias("d_x"), F.col("n").alias("n_x"))
+    left = left.join(u.hint("merge"), ["bucket", "a"]).where(F.col("apart") - F.col("d_u") - F.col("r_b") <= F.lit(allow) * (F.col("n_u") + F.col("n_b")) + 1e-9)
+    left = shelf.keep(left.select("bucket", "b", "u", "d_u", "n_u", "apart"), "left")
+    reach = (F.col("apart") - F.col("d_u") - F.col("d_x") <= F.lit(allow) * (F.col("n_u") + F.col("n_x")) + 1e-9) & (F.least("n_u", "n_x") >= F.lit(least) * F.greatest("n_u", "n_x"))
+    return left.join(x.hint("merge"), ["bucket", "b"]).where(reach).select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct(), fresh
+
+
 def unlinked_rest(rest: DataFrame, buckets: DataFrame, decided: DataFrame, texts: DataFrame, shelf: Shelf, words: int, least: float) -> DataFrame:
     """a, b: every pair of a node in ``rest`` (bucket, node) with a node of its bucket (``buckets``:
     bucket, node, n) that can still be a link, given what the nodes of ``rest`` failed against.
@@ -290,8 +326,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pivot = shelf.keep(pivot.select("bucket", (-F.col("top.minus")).alias("pivot")), f"pivots{k}")
             meet = shelf.keep(active.join(pivot.hint("merge"), "bucket"), f"meet{k}")
             pairs = meet.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        else:  # what failed all its pivots
-            pairs = unlinked_rest(active, all_active, decided, texts, shelf, words, least)
+        else:  # what failed all its pivots: nodes with links by their clusters' heads, the others by what they have of their own
+            mine = active.select("bucket").distinct()
+            pairs, fresh = between_clusters(all_active.join(mine.hint("merge"), "bucket", "left_semi"), central, decided, texts, shelf, words, least)
+            linked = decided.where(F.col("similar") >= least).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            alone = shelf.keep(active.join(linked.hint("merge"), "node", "left_anti").select("bucket", "node"), "alone")
+            pairs = pairs.unionByName(unlinked_rest(alone, all_active, decided, texts, shelf, words, least)).distinct()
+            decided = decided.unionByName(fresh)
         if decided is not None:
             pairs = pairs.join(decided.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         pairs = shelf.keep(pairs, f"pairs{k}")
