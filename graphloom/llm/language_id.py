@@ -43,7 +43,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     ``docs_per_lang`` bounds the sample: of a language with more documents, those whose hashed id
     falls below the fitting share (about that many) are read.
     """
-    spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -67,7 +66,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     counts = np.zeros((buckets, len(langs)))
     for r in summed.collect():  # languages x buckets rows at most
         counts[r["bucket"], langs.index(r["lang"])] = r["n"]
-    del spark
     counts += smooth
     return Model(langs, counts / counts.sum(axis=0), buckets)
 
@@ -93,7 +91,7 @@ def mixtures(counts: np.ndarray, model: Model, rounds: int = 12, per_language: f
         return share, np.einsum("ij,ij->i", c, np.log(share @ probs.T + np.float32(1e-30)))
 
     penalty = per_language * np.log(np.maximum(n, 2)) + per_gram * n
-    #: After one step from equal shares, the bound of what any mixture gains: no document is left out whose full mixture could win.
+    #: Only where the mixture of all languages gains more than the least penalty can a set win.
     full, reach = em(counts, np.full((len(counts), k), 1 / k))
     mixed = np.flatnonzero(reach - single.max(axis=1) > penalty)
     if len(mixed):
@@ -137,6 +135,22 @@ def predict(docs: DataFrame, model: Model, held_out: Column | None = None, id_co
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def keep_known(docs: DataFrame, model: Model, least_share: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose main language has at least that share."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = grams.letter_table()
+        for b in batches:
+            texts, keep = [t or "" for t in b.column(at).to_pylist()], []
+            for i, j in blocks(texts, 300_000):
+                share, n = mixtures(grams.gram_counts(texts[i:j], model.buckets, letters), model)
+                keep += [bool(model.langs) and k > 0 and row.max() >= least_share for row, k in zip(share, n, strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def is_held_out(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

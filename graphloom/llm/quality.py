@@ -154,6 +154,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets
     return posterior, train(x, y)
 
 
+def score_all(texts: list[str], measured: list[tuple[float, ...]], weights: np.ndarray) -> np.ndarray:
+    """The scorer's probability that each text is good; 0 for texts without a word."""
+    score = np.zeros(len(texts))
+    for i, j in blocks(texts, 300_000):
+        score[i:j] = 1 / (1 + np.exp(-np.clip(features(texts[i:j], measured[i:j], len(weights) - 1) @ weights[:-1] + weights[-1], -30, 30)))
+    score[[not t.strip() for t in texts]] = 0.0
+    return score
+
+
 def classify(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
     """doc_id, weak_good (posterior of its votes), score (of the trained scorer, 0 to 1), keep, votes.
 
@@ -166,15 +175,24 @@ def classify(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col
         for b in batches:
             texts = b.column(1).to_pylist()
             measured = [measures(t) for t in texts]
-            cast, score = [votes(m) for m in measured], np.zeros(len(texts))
-            for i, j in blocks(texts, 300_000):
-                score[i:j] = 1 / (1 + np.exp(-np.clip(features(texts[i:j], measured[i:j], len(weights) - 1) @ weights[:-1] + weights[-1], -30, 30)))
-            score[[not t.strip() for t in texts]] = 0.0
+            cast, score = [votes(m) for m in measured], score_all(texts, measured, weights)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([posterior.get(c, 0.5) for c in cast]), pa.array(score), pa.array(score >= keep_from), pa.array(cast, pa.string())], names=["doc_id", "weak_good", "score", "keep", "votes"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def keep_good(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, that ``classify`` keeps."""
+    weights, at = model[1], docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(score_all(texts, [measures(t) for t in texts], weights) >= keep_from))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(docs))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, quality, token_counts, warc
+from . import exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, pieces, quality, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_warc": warc.op2_warc,
     "op3_html_text": html_text.op3_html_text,
     "op4_language_id": language_id.op4_language_id,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_quality": quality.op6_quality,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_packing": packing.op8_packing,
