@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Shelf, table
@@ -185,26 +185,30 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar double, common long, n_a long, n_b long, new_a array<long>, new_b array<long>")
 
 
-def between_clusters(buckets: DataFrame, central: DataFrame, decided: DataFrame, texts: DataFrame, shelf: Shelf, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+def heads_of(decided: DataFrame, central: DataFrame, least: float) -> DataFrame:
+    """node, head, d of every linked node: its most central partner, or itself if it is more central
+    than those, and the number d of labelled k-mers that only one of both has."""
+    d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
+    links = decided.where(F.col("similar") >= least)
+    two = links.select(F.col("a").alias("node"), F.col("b").alias("other"), d.alias("d")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), d.alias("d")))
+    rank = central.select(F.col("node").alias("other"), F.col("central").alias("by"))
+    top = two.join(rank.hint("merge"), "other").groupBy("node").agg(F.max(F.struct("by", (-F.col("other")).alias("minus"), (-F.col("d")).alias("near"))).alias("top"))
+    own = F.struct(F.col("central").alias("by"), (-F.col("node")).alias("minus"), F.lit(0).cast("long").alias("near"))
+    best = F.greatest(F.col("top"), own)
+    return top.join(central.select("node", "central").hint("merge"), "node").select("node", (-best["minus"]).alias("head"), (-best["near"]).alias("d"))
+
+
+def between_clusters(buckets: DataFrame, heads: DataFrame, decided: DataFrame, texts: DataFrame, shelf: Shelf, words: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(a, b) of linked nodes in the same bucket (``buckets``: bucket, node, n) that can still be a link
     between clusters, and the verified pairs of the clusters' heads.
 
-    The head of a node is its most central partner, or itself if it is more central than those. Nodes
-    of one head are connected. Be d the number of labelled k-mers that only one of two texts has, a
-    metric: d(u, x) is at least d(head of u, head of x) - d(u, head) - d(x, head), and a link has at
-    most (1 - least) / (1 + least) * (n_u + n_x). Heads are compared; what is left of each bucket's
+    Nodes of one head (``heads``, see ``heads_of``) are connected. d is a metric: d(u, x) is at least
+    d(head of u, head of x) - d(u, head) - d(x, head), and a link has at most
+    (1 - least) / (1 + least) * (n_u + n_x). Heads are compared; what is left of each bucket's
     clusters after three such bounds, for clusters, for a node and a cluster, for two nodes, is paired.
     """
     allow = (1 - least) / (1 + least)
     d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
-    links = decided.where(F.col("similar") >= least)
-    two = links.select(F.col("a").alias("node"), F.col("b").alias("other"), d.alias("d")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), d.alias("d")))
-    rank = central.select(F.col("node").alias("other"), F.col("central").alias("by"))
-    top = two.join(rank.hint("merge"), "other").groupBy("node").agg(F.max(F.struct("by", (-F.col("other")).alias("minus"), (-F.col("d")).alias("near"))).alias("top"))
-    head = top.join(central.select("node", "central").hint("merge"), "node")
-    self_ = F.struct(F.col("central").alias("by"), (-F.col("node")).alias("minus"), F.lit(0).cast("long").alias("near"))
-    best = F.greatest(F.col("top"), self_)
-    heads = shelf.keep(head.select("node", (-best["minus"]).alias("head"), (-best["near"]).alias("d")), "heads_of")
     placed = shelf.keep(buckets.select("bucket", "node", "n").join(heads.hint("merge"), "node"), "placed")
     clusters = placed.groupBy("bucket", "head").agg(F.max("d").alias("r"), F.max("n").alias("n"))
     clusters = shelf.keep(clusters, "clusters")
@@ -230,7 +234,8 @@ def unlinked_rest(rest: DataFrame, buckets: DataFrame, decided: DataFrame, texts
     Let u have failed pivot o. u and x have at most common(u, o) labelled k-mers in common plus
     those that are not in o, and a link needs share * (n_u + n_x) of them, share = least / (1 + least).
     So x either is short enough for common(u, o) alone (first part: a range of lengths, joined by
-    classes of lengths), or contains k-mers that u has and o has not (second part: joined by k-mer).
+    classes of lengths), or contains k-mers that u has and o has not (second part: joined by k-mer,
+    the rarest that any such x must share).
     Variants of one text that differ in places of their own make neither, however many they are.
     """
     share = least / (1 + least)
@@ -256,9 +261,14 @@ def unlinked_rest(rest: DataFrame, buckets: DataFrame, decided: DataFrame, texts
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node)), pa.array(np.full(len(x), len(x)))], names=["kmer", "x", "n_x"])
 
     has = shelf.keep(texts.join(near.select("node").hint("merge"), "node").select("node", "text").mapInArrow(spread, "kmer long, x long, n_x long"), "has")
-    new = shelf.keep(best.select(F.col("node").alias("u"), "n_u", "common", F.explode("new").alias("kmer")), "new")
-    met = new.join(has.hint("merge"), "kmer").where("u <> x").groupBy("u", "x", "n_u", "common", "n_x").agg(F.count("*").alias("more"))
-    by_kmer = met.where(F.col("common") + F.col("more") >= F.lit(share) * (F.col("n_u") + F.col("n_x")) - 1e-9).select("u", "x")
+    #: Beyond the lengths of the first part, x must have at least ``more`` of u's new k-mers, so one of all but the more - 1 most frequent.
+    more = F.greatest(F.ceil(F.lit(share) * (F.col("n_u") + F.greatest(high + 1, low)) - F.col("common") - 1e-9), F.lit(1))
+    new = shelf.keep(best.select(F.col("node").alias("u"), "n_u", (F.size("new") - more + 1).alias("rarest"), F.explode("new").alias("kmer")), "new")
+    often = has.groupBy("kmer").agg(F.count("*").alias("df"))
+    ranked = new.join(often.hint("merge"), "kmer", "left").withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.coalesce("df", F.lit(0)), "kmer")))
+    asked = shelf.keep(ranked.where("rank <= rarest").select("u", "n_u", "kmer"), "asked")
+    fits = F.least("n_u", "n_x") >= F.lit(least) * F.greatest("n_u", "n_x")
+    by_kmer = asked.join(has.hint("merge"), "kmer").where((F.col("u") != F.col("x")) & fits).select("u", "x")
     return by_length.unionByName(by_kmer).select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
 
 
@@ -326,11 +336,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pivot = shelf.keep(pivot.select("bucket", (-F.col("top.minus")).alias("pivot")), f"pivots{k}")
             meet = shelf.keep(active.join(pivot.hint("merge"), "bucket"), f"meet{k}")
             pairs = meet.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        else:  # what failed all its pivots: nodes with links by their clusters' heads, the others by what they have of their own
-            mine = active.select("bucket").distinct()
-            pairs, fresh = between_clusters(all_active.join(mine.hint("merge"), "bucket", "left_semi"), central, decided, texts, shelf, words, least)
-            linked = decided.where(F.col("similar") >= least).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            alone = shelf.keep(active.join(linked.hint("merge"), "node", "left_anti").select("bucket", "node"), "alone")
+        else:  # what failed all its pivots: the heads of clusters around it; then
+            # nodes with links through their clusters' heads, the others by what they have of their own
+            mine = shelf.keep(all_active.join(active.select("bucket").distinct().hint("merge"), "bucket", "left_semi"), "mine")
+            heads = shelf.keep(heads_of(decided, central, least), "heads_before")
+            around = mine.join(heads.hint("merge"), "node").select("bucket", "head").distinct()
+            alone = active.join(heads.select("node").hint("merge"), "node", "left_anti").select("bucket", "node")
+            meet = alone.join(around.hint("merge"), "bucket").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+            meet = shelf.keep(meet.join(decided.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "to_heads")
+            decided = decided.unionByName(shelf.keep(verified(meet, texts, words, least), "to_heads_verified"))
+            heads = shelf.keep(heads_of(decided, central, least), "heads_of")
+            pairs, fresh = between_clusters(mine, heads, decided, texts, shelf, words, least)
+            alone = shelf.keep(active.join(heads.select("node").hint("merge"), "node", "left_anti").select("bucket", "node"), "alone")
             pairs = pairs.unionByName(unlinked_rest(alone, all_active, decided, texts, shelf, words, least)).distinct()
             decided = decided.unionByName(fresh)
         if decided is not None:
