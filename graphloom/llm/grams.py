@@ -18,10 +18,12 @@ def letter_table() -> np.ndarray:
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of all texts with separators after each, number of the text of each code point)."""
-    joined = SEPARATOR.join([*texts, ""])
+    """(code points of all texts with separators around each, number of the text of each code point)."""
+    joined = SEPARATOR.join(["", *texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + len(SEPARATOR) for t in texts])
+    sizes = np.array([len(t) + len(SEPARATOR) for t in texts])
+    sizes[-1] += len(SEPARATOR)
+    return points, np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
 
 
 def gram_counts(texts: list[str], buckets: int, letters: np.ndarray | None = None) -> np.ndarray:

@@ -77,6 +77,8 @@ def mixtures(counts: np.ndarray, model: Model, rounds: int = 12, per_language: f
     """
     probs = model.probs.astype(np.float32)
     n, k = counts.sum(axis=1), probs.shape[1]
+    if not k:
+        return np.zeros((len(counts), 0)), n
     single = counts @ np.log(probs)
     best = single.argmax(axis=1)
     out = np.zeros((len(counts), k))
@@ -145,7 +147,7 @@ def keep_known(docs: DataFrame, model: Model, least_share: float, text_col: str
             texts, keep = [t or "" for t in b.column(at).to_pylist()], []
             for i, j in blocks(texts, 300_000):
                 share, n = mixtures(grams.gram_counts(texts[i:j], model.buckets, letters), model)
-                keep += [bool(model.langs) and k > 0 and row.max() >= least_share for row, k in zip(share, n, strict=True)]
+                keep += [bool(model.langs and k > 0 and row.max() >= least_share) for row, k in zip(share, n, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

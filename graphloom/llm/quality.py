@@ -74,7 +74,7 @@ def weak_model(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     """Posterior of being good of each vote pattern, by expectation-maximisation over all patterns.
 
     Each labeller has two rates for each of its votes: how often it casts it on good and on bad
-    texts. A pattern without a vote gets the prior. Starts from labellers that seldom call a good
+    texts. A pattern without a vote keeps the first prior. Starts from labellers that seldom call a good
     text bad but miss many bad ones; the bounds of the odds keep a labeller from turning around.
     """
     if not patterns:
@@ -83,12 +83,12 @@ def weak_model(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     weight = np.array([patterns[k] for k in keys], float)
     v = np.array([[{"g": 1, "b": -1, "-": 0}[c] for c in k] for k in keys], float)
     good, bad = v > 0, v < 0
-    prior = 0.85
+    prior, silent = 0.85, ~(good | bad).any(axis=1)
     #: Log odds of good against bad that a labeller's vote adds; silence adds nothing, since silences go together.
     says_bad, says_good = np.full(v.shape[1], -3.0), np.full(v.shape[1], 0.3)
     for _ in range(rounds):
         odds = np.log(prior / (1 - prior)) + bad @ says_bad + good @ says_good
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        post = np.where(silent, 0.85, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
         g, b = weight * post, weight * (1 - post)
         prior = np.clip((g.sum() + 1) / (weight.sum() + 2), 0.02, 0.98)
         rate = lambda votes, w: (w @ votes + 0.5) / (w.sum() + 5)
