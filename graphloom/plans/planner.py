@@ -121,3 +121,11 @@ def captured(matches: DataFrame, pattern: Pattern | str) -> DataFrame:
 def match_all(graph: PropertyGraph, patterns: dict[str, Pattern | str], **how) -> dict[str, DataFrame]:
     """A batch of patterns over one graph; they share its scans, and its cache if it is cached."""
     return {name: match(graph, p, **how) for name, p in patterns.items()}
+
+
+def candidates(graph: PropertyGraph, pattern: Pattern | str) -> DataFrame:
+    """vertex, n: how many nodes satisfy each vertex's predicate, all in one scan."""
+    pattern = read_pattern(pattern) if isinstance(pattern, str) else pattern
+    counts = [F.sum(to_column(x.predicate, NodeTarget()).cast("long")).alias(v) for v, x in pattern.vertices.items()]
+    rows = F.explode(F.array(*(F.struct(F.lit(v).alias("vertex"), F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long").alias("n")) for v in pattern.vertices)))
+    return graph.nodes.agg(*counts).select(rows.alias("r")).select("r.*")

@@ -109,3 +109,12 @@ def query_json(graph: PropertyGraph, pattern: Pattern | str, **how) -> DataFrame
     dot = F.to_json(F.struct(F.concat(F.lit("digraph G {\n"), F.col("t"), F.lit("\n}\n")).alias("graph")))
     tail = F.concat(F.lit(',"queryResults":['), F.array_join(F.coalesce("r", F.array().cast("array<string>")), ","), F.lit('],"queryVertices":'), names, F.lit("}"))
     return text.join(results, "graph_id", "left").select("graph_id", F.concat(F.regexp_replace(dot, r"\}$", ""), tail).alias("json"))
+
+
+def control_lines(graph: PropertyGraph) -> DataFrame:
+    """graph_id, node_id, line: each node with control edges, with what control leads to."""
+    out = graph.edges.where("etype = 'CONTROL'").groupBy("graph_id", F.col("src").alias("node_id")).agg(F.sort_array(F.collect_set(F.struct("dst", F.coalesce("label", F.lit("")).alias("label")))).alias("next"))
+    into = graph.edges.where("etype = 'CONTROL'").select("graph_id", F.col("dst").alias("node_id")).distinct()
+    rows = graph.nodes.join(out.select("graph_id", "node_id").unionByName(into).distinct(), ["graph_id", "node_id"], "left_semi").join(out, ["graph_id", "node_id"], "left")
+    to = F.array_join(F.transform(F.coalesce("next", F.array().cast("array<struct<dst:bigint,label:string>>")), lambda s: F.concat(s["label"], F.lit(":"), s["dst"].cast("string"))), " ")
+    return rows.select("graph_id", "node_id", F.concat(F.col("node_id").cast("string"), F.lit(" "), F.coalesce(F.col("types")[0], F.lit("")), F.lit(" -> "), to).alias("line"))

@@ -1 +1,5 @@
-"""Streaming of the graph engine."""
+"""Streaming: the engine's graphs are batch tables; no operator here is a stream.
+
+A stream can feed the tables: write micro-batches of nodes and edges with foreachBatch and match on
+what was written.
+"""

@@ -5,6 +5,7 @@ from graphloom.functions.predicates import EdgeTarget, to_column
 from graphloom.model import PropertyGraph
 from graphloom.operators import dataflow, paths, prune
 from graphloom.operators.fixpoint import Attach, Rules, apply_recursively
+from graphloom.plans.planner import candidates
 from graphloom.sources import ir, sinks
 from pyspark.sql import functions as F
 
@@ -117,4 +118,11 @@ def test_exports(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/dot/1-nodes").count() == 8
     lines = {r.node_id: r.line for r in sinks.dot_nodes(g).collect()}
     assert 'shape="house", root="true"' in lines[0] and 'shape="invhouse"' in lines[3] and 'shape="ellipse"' in lines[7]
+    control = {r.node_id: r.line for r in sinks.control_lines(g).collect()}
+    assert control[1] == "1 FixedNode -> next:2 exceptionEdge:4" and control[3] == "3 ReturnNode -> " and 7 not in control
     assert to_column("true", EdgeTarget()) is not None
+
+
+def test_candidates(spark):
+    rows = candidates(code(spark), "digraph { a [label=\"is('StartNode')\"]; b [label=\"is('FixedNode')\"]; c [label=\"'x' = 1\"]; a -> b -> c }")
+    assert {r.vertex: r.n for r in rows.collect()} == {"a": 1, "b": 7, "c": 0}
