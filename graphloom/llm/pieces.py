@@ -129,7 +129,7 @@ class PieceModel:
         #: Pieces as rows of letter numbers (from 1), for the binary search.
         self.code = {c: k + 1 for k, c in enumerate(letters)}
         self.longest = max(map(len, usable))
-        self.found = np.zeros((len(usable), self.longest // 4 * 4 + 4), np.uint64)  # wider than any piece
+        self.found = np.zeros((len(usable), -(-self.longest // 4) * 4), np.uint64)
         for row, p in zip(self.found, usable, strict=True):
             row[: len(p)] = [self.code[c] for c in p]
         self.length = np.array([len(p) for p in usable], np.int64)
@@ -170,23 +170,46 @@ class PieceModel:
         return ok
 
     def ranges(self, words: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last + 1 place in the suffix array of each piece. words: suffixes x packed letters."""
+        """First and last + 1 place in the suffix array of each piece. words[i]: the four letters from i on."""
+        depth = self.found.shape[1] // 4
 
-        def search(bound: np.ndarray) -> np.ndarray:
+        def search(bound: np.ndarray, beyond: bool) -> np.ndarray:
+            """The first suffix that is not less than (``beyond``: greater than) each bound."""
             low, high = np.zeros(len(bound), np.int64), np.full(len(bound), len(order), np.int64)
             while (open_ := low < high).any():
                 mid = (low + high) // 2
-                suffix = words[order[np.minimum(mid, len(order) - 1)]]
+                at = order[np.minimum(mid, len(order) - 1)]
                 less, same = np.zeros(len(bound), bool), np.ones(len(bound), bool)
-                for k in range(words.shape[1]):
-                    less |= same & (suffix[:, k] < bound[:, k])
-                    same &= suffix[:, k] == bound[:, k]
+                for k in range(depth):
+                    suffix = words[at + 4 * k]
+                    less |= same & (suffix < bound[:, k])
+                    same &= suffix == bound[:, k]
+                if beyond:
+                    less |= same
                 low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
             return low
 
         top = self.found.copy()
         top[np.arange(top.shape[1])[None, :] >= self.length[:, None]] = 0xFFFF
-        return search(pack_letters(self.found)), search(pack_letters(top))
+        return search(pack_letters(self.found), False), search(pack_letters(top), True)
+
+    def suffix_array(self, words: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """``place`` in the order of the texts that start there, as far as pieces reach: sorted by four
+        letters, then by pairs of ranks, twice as far each time."""
+        span, rank = 4, None
+        while True:
+            key = words if rank is None else rank << 32
+            if rank is not None:
+                key[:-span] |= rank[span:]
+                span *= 2
+            order = np.argsort(key)
+            inside = key[order]
+            if span >= self.found.shape[1]:
+                mask = np.zeros(len(words), bool)
+                mask[place] = True
+                return order[mask[order]]
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.cumsum(np.r_[0, inside[1:] != inside[:-1]])
 
     def encode_units(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, as little-endian int32 bytes."""
@@ -198,12 +221,10 @@ class PieceModel:
         unit = np.repeat(np.arange(len(units)), sizes)
         place = np.arange(len(points)) + unit
         n = int(ends[-1]) + 1
-        wide = self.found.shape[1]
-        codes = np.zeros(n + wide, np.uint64)
+        codes = np.zeros(n + self.found.shape[1] + 4, np.uint64)
         codes[place] = self.letters[points]
-        words = pack_letters(np.lib.stride_tricks.sliding_window_view(codes, wide)[:n])
-        order = place[np.lexsort(tuple(words[place, k] for k in range(words.shape[1] - 1, -1, -1)))]
-        first, last = self.ranges(words, order)
+        words = codes[:-3] << np.uint64(48) | codes[1:-2] << np.uint64(32) | codes[2:-1] << np.uint64(16) | codes[3:]
+        first, last = self.ranges(words, order := self.suffix_array(words, place))
         count = last - first
         piece = np.repeat(np.arange(len(count)), count)
         begin = order[np.repeat(first, count) + np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)]
@@ -214,7 +235,7 @@ class PieceModel:
         origin = np.empty(n, np.int64)
         origin[place], origin[ends] = starts[unit], starts
         step = end - origin[begin]
-        by = np.argsort(step, kind="stable")
+        by = np.argsort(step.astype(np.int16) if len(step) and step.max() < 1 << 15 else step, kind="stable")
         begin, end, symbol, step = begin[by], end[by], symbol[by], step[by]
         fresh = begin == origin[begin]
         last_symbol, came = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
@@ -238,16 +259,13 @@ class PieceModel:
         by = np.lexsort((at, own))
         own, at, ids = own[by], at[by], ids[by]
         cut = np.searchsorted(own, np.arange(len(units) + 1))
-        flat, spelled = ids.astype("<i4"), ids >= self.size
-        out = []
-        for k, (i, j) in enumerate(itertools.pairwise(cut.tolist())):
-            if spelled[i:j].any():
-                one = []
-                for a, s in zip(at[i:j].tolist(), ids[i:j].tolist(), strict=True):
-                    one += [s] if s < self.size else [self.byte_id[b] for b in units[k][a - starts[k]].encode("utf-8", "surrogatepass")]
-                out.append(np.array(one, "<i4").tobytes())
-            else:
-                out.append(flat[i:j].tobytes())
+        flat, spelled = ids.astype("<i4").tobytes(), np.r_[0, np.cumsum(ids >= self.size)]
+        out = [flat[4 * i : 4 * j] for i, j in itertools.pairwise(cut.tolist())]
+        for k in np.flatnonzero(spelled[cut[1:]] > spelled[cut[:-1]]).tolist():
+            one = []
+            for a, s in zip(at[cut[k] : cut[k + 1]].tolist(), ids[cut[k] : cut[k + 1]].tolist(), strict=True):
+                one += [s] if s < self.size else [self.byte_id[b] for b in units[k][a - starts[k]].encode("utf-8", "surrogatepass")]
+            out[k] = np.array(one, "<i4").tobytes()
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -276,16 +294,18 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [self.units(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        if len(self.known) > self.remember:
-            self.known = {}
         known = self.known
         missing = list({u for u in set(itertools.chain.from_iterable(parts)) if u not in known})
-        if missing:
-            known.update(zip(missing, self.model.encode_units(missing), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<i4") for p in parts]
+        fresh = dict(zip(missing, self.model.encode_units(missing), strict=True)) if missing else {}
+        if len(known) + len(fresh) <= self.remember:
+            known.update(fresh)
+            fresh = known
+        #: Once the table is full, rare units are encoded again in each batch; the frequent ones came early.
+        get = known.__getitem__ if fresh is known or not fresh else lambda u: known.get(u) or fresh[u]
+        return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in parts]
 
 
-def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 6_000_000) -> DataFrame:
+def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 5_000_000) -> DataFrame:
     """doc_id, ids of each row: what the model's own library gives, without begin and end ids.
 
     Null and empty texts have no ids. Rows without id keep a null doc_id, repeated rows give equal
@@ -313,7 +333,7 @@ def decoded(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 6_000_000) -> DataFrame:
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 5_000_000) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian 32-bit ids), decoded_sha256, round_trip of each row: encoded and
     decoded in one pass, so that the ids needn't travel. round_trip: the decoded text is the text, with the
     blank mark read as a blank."""
