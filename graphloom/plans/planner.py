@@ -3,7 +3,8 @@
 Each vertex is a filtered scan of nodes, each edge a filtered, distinct scan of edges; the plan
 joins them along the connected pattern, and an edge between two bound vertices is a join on both
 ends. So matches are homomorphisms (two vertices may be the same node), parallel edges don't
-multiply them, and the order and kind of joins are Catalyst's to choose.
+multiply them, and the order and kind of joins are Catalyst's to choose. A vertex that matches
+anything isn't joined with nodes: the ends of edges are taken to be nodes.
 
 A * edge u -> w binds w to a path: the nodes after u, none for the empty path. Other edges of w
 start where the path ends; w's predicate holds for every node of the path, and isn't asked of u.
