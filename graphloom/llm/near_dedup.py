@@ -10,10 +10,11 @@ and ``least`` or more is a link. The band is wide enough that no alignment of th
 leaves it, so it costs no link.
 
 Scale: equal texts are one node, known by digest. Each bucket of nodes that share a sketch is
-linked through pivots, its most central nodes, so a group of copies makes as many pairs as it
-has members, not its square. Nodes that fail ``pivots`` pivots of a bucket are compared with
-everything in it that a link could reach (see ``unlinked_rest``), by bounds that are exact. Links become classes by minimum labels with pointer
-jumping, in tables. Joins are sort-merge joins of kept tables, which adaptive execution splits
+linked through its most central node, the pivot, so a group of copies makes as many pairs as it
+has members, not its square. In buckets that this doesn't link, more pivots are tried, ``pivots``
+in all, and then every pair of nodes in different clusters is compared, or excluded by a bound
+that is exact (see ``between_clusters`` and ``unlinked_rest``). Links become classes by minimum
+labels with pointer jumping, in tables. Joins are sort-merge joins of kept tables, which adaptive execution splits
 where a key is hot; nothing but counts comes to the driver.
 """
 
@@ -329,41 +330,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(wanted.withColumnRenamed("doc_id", "first").hint("merge"), "key").where("doc_id <=> first").select("node", "text")
     texts = shelf.keep(texts.dropDuplicates(["node"]), "texts")
 
-    decided: DataFrame | None = None
-    for k in range(pivots + 1):
-        if k < pivots:
-            pivot = active.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("top"), F.count("*").alias("left")).where("left > 1")
-            pivot = shelf.keep(pivot.select("bucket", (-F.col("top.minus")).alias("pivot")), f"pivots{k}")
-            meet = shelf.keep(active.join(pivot.hint("merge"), "bucket"), f"meet{k}")
-            pairs = meet.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        else:  # what failed all its pivots: the heads of clusters around it; then
-            # nodes with links through their clusters' heads, the others by what they have of their own
-            mine = shelf.keep(all_active.join(active.select("bucket").distinct().hint("merge"), "bucket", "left_semi"), "mine")
-            heads = shelf.keep(heads_of(decided, central, least), "heads_before")
-            around = mine.join(heads.hint("merge"), "node").select("bucket", "head").distinct()
-            alone = active.join(heads.select("node").hint("merge"), "node", "left_anti").select("bucket", "node")
-            meet = alone.join(around.hint("merge"), "bucket").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-            meet = shelf.keep(meet.join(decided.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "to_heads")
-            decided = decided.unionByName(shelf.keep(verified(meet, texts, words, least), "to_heads_verified"))
-            heads = shelf.keep(heads_of(decided, central, least), "heads_of")
-            pairs, fresh = between_clusters(mine, heads, decided, texts, shelf, words, least)
-            alone = shelf.keep(active.join(heads.select("node").hint("merge"), "node", "left_anti").select("bucket", "node"), "alone")
-            pairs = pairs.unionByName(unlinked_rest(alone, all_active, decided, texts, shelf, words, least)).distinct()
-            decided = decided.unionByName(fresh)
+    everything, decided, split = active, None, None
+
+    def compare(pairs: DataFrame, name: str) -> DataFrame:
+        """The verified pairs so far and those of ``pairs`` that aren't among them."""
         if decided is not None:
             pairs = pairs.join(decided.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        pairs = shelf.keep(pairs, f"pairs{k}")
-        new = shelf.keep(verified(pairs, texts, words, least), f"verified{k}")
-        decided = new if decided is None else decided.unionByName(new)
-        if k == pivots:
-            break
-        if k == 0:
-            all_active = active
+        new = shelf.keep(verified(shelf.keep(pairs, f"{name}-pairs"), texts, words, least), f"{name}-verified")
+        return new if decided is None else decided.unionByName(new)
+
+    for k in range(pivots):
+        pivot = active.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("top"), F.count("*").alias("left")).where("left > 1")
+        pivot = shelf.keep(pivot.select("bucket", (-F.col("top.minus")).alias("pivot")), f"pivots{k}")
+        meet = shelf.keep(active.join(pivot.hint("merge"), "bucket").where("node <> pivot"), f"meet{k}")
+        decided = compare(meet.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), f"round{k}")
         known = decided.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "similar").unionByName(decided.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "similar"))
-        left = meet.where("node <> pivot").join(known.hint("merge"), ["node", "pivot"]).where(F.col("similar") < least)
+        left = meet.join(known.hint("merge"), ["node", "pivot"]).where(F.col("similar") < least)
         active = shelf.keep(left.select("bucket", "node", "central", "n"), f"active{k + 1}")
         if active.isEmpty():
             break
+        #: Buckets of three or more that one pivot doesn't link: what later pivots find has yet to meet what earlier ones found.
+        split = sizes.where("size > 2").join(active.hint("merge"), "bucket", "left_semi").select("bucket") if split is None else split
+    if split is not None:
+        mine = shelf.keep(everything.join(split.hint("merge"), "bucket", "left_semi"), "mine")
+        heads = shelf.keep(heads_of(decided, central, least), "heads-before")
+        alone = mine.join(heads.select("node").hint("merge"), "node", "left_anti").select("bucket", "node")
+        around = mine.join(heads.hint("merge"), "node").select("bucket", "head").distinct()
+        meet = alone.join(around.hint("merge"), "bucket").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+        decided = compare(meet.distinct(), "to-heads")
+        #: Nodes with links meet through their clusters' heads, the others by what they have of their own.
+        heads = shelf.keep(heads_of(decided, central, least), "heads-of")
+        pairs, fresh = between_clusters(mine, heads, decided, texts, shelf, words, least)
+        alone = shelf.keep(mine.join(heads.select("node").hint("merge"), "node", "left_anti").select("bucket", "node"), "alone")
+        pairs = pairs.unionByName(unlinked_rest(alone, mine, decided, texts, shelf, words, least)).distinct()
+        decided = decided.unionByName(fresh)
+        decided = compare(pairs, "rest")
     links = shelf.keep(decided.where(F.col("similar") >= least).select("a", "b"), "links")
     labels = classes(links, shelf)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -374,7 +375,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id = F.coalesce("class_id", "first")
     out = out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = shelf.keep(out, "result")
-    shelf.drop("texts", "sketches", "cand")
+    shelf.drop_all_but("result")
     return out
 
 

@@ -44,6 +44,13 @@ class Shelf:
         df.write.option("compression", "zstd").mode("error").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def drop_all_but(self, name: str) -> None:
+        """Delete the other tables of this shelf, once ``name`` no longer needs them."""
+        here = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        for x in here.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(here):
+            if x.getPath().getName() != name:
+                self.drop(x.getPath().getName())
+
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, f"{self.path}/{name}")

@@ -115,6 +115,34 @@ def test_op9_finds_all_links(spark, pivots):
     assert got == brute_classes(docs)
 
 
+@pytest.mark.parametrize("pivots, sketches", [(1, 1), (2, 2)])
+def test_op9_loses_no_candidate(spark, pivots, sketches):
+    """With few sketches, no pair that shares one and is similar is parted, whatever the pivots are; and nothing else is joined."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(120)]
+        heads = [base, *(edited(base, share, rnd) for share in (0.02, 0.03, 0.05, 0.06))]
+        texts += heads + [edited(h, rnd.choice([0.005, 0.01, 0.02, 0.03]), rnd) for h in heads for _ in range(9)]
+        texts += [base[: rnd.randrange(85, 120)] for _ in range(6)]
+    docs = {k: " ".join(t) for k, t in enumerate(texts)}
+    km = near_dedup.Kmers(5)
+    seqs = {k: km(t) for k, t in docs.items()}
+    keys = {k: set(near_dedup.sketch_all(x, sketches, 2)) for k, x in seqs.items()}
+    label = {k: k for k in docs}
+    for _ in docs:
+        new = {k: min(label[j] for j in docs if j == k or keys[j] & keys[k] and (docs[j] == docs[k] or near_dedup.similarity(seqs[max(j, k)], seqs[min(j, k)], 0.8) >= 0.8)) for k in docs}
+        if new == label:
+            break
+        label = new
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, pivots=pivots, sketches=sketches, several=2).collect()}
+    assert all(got[k] == got[label[k]] for k in docs) and len(set(label.values())) < len(label) / 2
+    full = brute_classes(docs)
+    assert all(full[k] == full[got[k]] for k in docs)
+
+
 def test_op9_small(spark):
     texts = {r.doc_id: r.text for r in small(spark).collect()}
     rows = near_dedup.op9_minhash(spark, SMALL).collect()
