@@ -41,7 +41,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Gram distributions of the languages in ``labelled``; rows without text or language teach nothing.
 
     ``docs_per_lang`` bounds the sample: of a language with more documents, those whose hashed id
-    falls below the fitting share (about that many) are read.
+    and text fall below the fitting share (about that many) are read.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -49,7 +49,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if not langs:
         return Model([], np.zeros((buckets, 0)), buckets)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1_000_000, int(np.ceil(1_000_000 * docs_per_lang / n)))))])
-    sample = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(4)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    sample = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), "text", F.lit(4)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, total = grams.letter_table(), {}

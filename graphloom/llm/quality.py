@@ -123,14 +123,14 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 20.0, d
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 4096, train_docs: int = 4096) -> tuple[dict[str, float], np.ndarray]:
     """(posterior of each vote pattern, scorer). Patterns are counted over all documents; the scorer
-    learns from those documents, about ``train_docs``, whose hashed text falls below that share."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    learns from those documents, about ``train_docs``, whose hashed id and text fall below that share."""
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("string").alias("id"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([votes(measures(t)) for t in b.column(0).to_pylist()], pa.string())], names=["votes"])
 
-    patterns = {r["votes"]: r["n"] for r in rows.mapInArrow(vote, "votes string").groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    patterns = {r["votes"]: r["n"] for r in rows.select("text").mapInArrow(vote, "votes string").groupBy("votes").agg(F.count("*").alias("n")).collect()}
     posterior = weak_model(patterns)
     share = min(1_000_000, int(np.ceil(1_000_000 * train_docs / max(1, sum(patterns.values())))))
 
@@ -146,7 +146,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets
                     names=["y", "at", "x"],
                 )
 
-    got = rows.where(F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1_000_000)) < share).mapInArrow(sample, "y double, at array<short>, x array<float>").orderBy("y", F.hash("at", "x")).toArrow()
+    #: Rows that repeat an id and its text count once, so that no group of copies can outgrow the bound.
+    key = F.xxhash64("id", "text", F.lit(6))
+    chosen = rows.where(F.pmod(key, F.lit(1_000_000)) < share).groupBy(key.alias("key")).agg(F.first("text").alias("text")).select("text")
+    got = chosen.mapInArrow(sample, "y double, at array<short>, x array<float>").orderBy("y", F.hash("at", "x")).toArrow()
     y = got.column("y").to_numpy()
     x = np.zeros((len(y), buckets), np.float32)
     for row, at, value in zip(x, got.column("at").to_pylist(), got.column("x").to_pylist(), strict=True):
