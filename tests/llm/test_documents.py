@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from graphloom.llm import exact_dedup, fingerprints, grams, language_id, near_dedup, quality
+from graphloom.llm.shared import Shelf
 from pyspark.sql import functions as F
 
 from ..conftest import SMALL, rows_of
@@ -143,6 +144,15 @@ def test_op9_loses_no_candidate(spark, pivots, sketches):
     assert all(full[k] == full[got[k]] for k in docs)
 
 
+def test_op9_classes_of_long_chains(spark):
+    """A chain of 1000 linked nodes in random order is one class, beside a short one."""
+    chain = list(range(1000))
+    random.Random(12).shuffle(chain)
+    links = spark.createDataFrame([*zip(chain, chain[1:]), (2001, 2000), (2001, 2002)], "a long, b long")
+    got = {r.node: r.label for r in near_dedup.classes(links, Shelf(spark, "chain")).collect()}
+    assert got == {k: 0 for k in chain} | {k: 2000 for k in (2000, 2001, 2002)}
+
+
 def test_op9_small(spark):
     texts = {r.doc_id: r.text for r in small(spark).collect()}
     rows = near_dedup.op9_minhash(spark, SMALL).collect()
