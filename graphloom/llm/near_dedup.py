@@ -4,7 +4,8 @@ A text is its sequence of k-mers (``words`` consecutive words; a shorter text is
 Each of ``sketches`` sketches takes the ``several`` k-mers, labelled by their occurrence, with
 the smallest hashes of its own and keeps them in text order. Texts that share a sketch are
 candidates: like a set sketch it wants common k-mers, and unlike one it wants them in the same
-order. Candidates are verified on whole texts: a banded alignment finds the longest common
+order. Texts of less than ``short`` k-mers, for which sketches miss links, and those near them in length also
+get the keys of a prefix filter, which misses none. Candidates are verified on whole texts: a banded alignment finds the longest common
 subsequence of their k-mer sequences; similarity = aligned / (all k-mers of both - aligned),
 and ``least`` or more is a link. The band is wide enough that no alignment of that similarity
 leaves it, so it costs no link.
@@ -21,6 +22,7 @@ where a key is hot; nothing but counts comes to the driver.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,6 +126,20 @@ def sketch_all(kmers: np.ndarray, sketches: int, several: int, cells: int = 2_00
     return key.view(np.int64).tolist()
 
 
+def short_keys(kmers: np.ndarray, least: float, short: int) -> list[int]:
+    """Keys of which any two texts of similarity ``least`` share one, where one of them has less than ``short`` k-mers.
+
+    A link has at least least * n labelled k-mers in common, so one of the n - that + 1 smallest hashes of
+    either side (a prefix filter). None for texts too long for a link with a short one.
+    """
+    n = len(kmers)
+    if not n or math.ceil(least * n - 1e-9) >= short:
+        return []
+    seed = scramble(np.array([MIX]))[0]
+    with np.errstate(over="ignore"):
+        return np.sort(scramble((labelled(kmers) ^ seed) * MIX))[: n - math.ceil(least * n - 1e-9) + 1].view(np.int64).tolist()
+
+
 def aligned(a: list[int], b: list[int], band: int) -> int:
     """Length of the longest common subsequence whose matches lie within ``band`` of the diagonal.
 
@@ -296,7 +312,7 @@ def classes(links: DataFrame, shelf: Shelf) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, sketches: int = 24, several: int = 5, pivots: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, sketches: int = 24, several: int = 5, pivots: int = 3, short: int = 16) -> DataFrame:
     """doc_id, class_id, kept, copies, n_links of each row: classes of texts linked by similarity or equal.
 
     class_id is the smallest id of the class, and its row is the one that is kept. copies: rows with
@@ -316,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keys, sizes = [], []
             for t in b.column(2).to_pylist():
                 x = kmers(t)
-                keys.append(sketch_all(x, sketches, several)), sizes.append(len(x))
+                keys.append(sketch_all(x, sketches, several) + short_keys(x, least, short)), sizes.append(len(x))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sketch"])
 
     seen = shelf.keep(rows.select("doc_id", "key", "text").mapInArrow(sketched, "doc_id long, key binary, n long, sketch array<long>"), "sketches")

@@ -153,6 +153,24 @@ def test_op9_classes_of_long_chains(spark):
     assert got == {k: 0 for k in chain} | {k: 2000 for k in (2000, 2001, 2002)}
 
 
+def test_op9_short_texts(spark):
+    """Texts of 8 and 9 words, and of up to 24, with a word more at an end, are linked as by comparing all pairs."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for n in (1, 4, 7, *[8] * 6, 9, 10, 11, 12, 14, 16, 19, 20):
+        base = [word() for _ in range(n)]
+        texts += [base, [word(), *base], [*base, word()], [*base, *(word() for _ in range(n // 5))]]
+    texts += [["a"] * n for n in (8, 9, 11)]
+    docs = {k: " ".join(t) for k, t in enumerate(texts)}
+    km = near_dedup.Kmers(5)
+    keys = {k: set(near_dedup.short_keys(km(t), 0.8, 16)) for k, t in docs.items()}
+    near = [(i, j) for j in docs for i in range(j) if min(len(km(docs[i])), len(km(docs[j]))) < 16 and near_dedup.similarity(km(docs[i]), km(docs[j]), 0.8) >= 0.8]
+    assert len(near) > 20 and all(keys[i] & keys[j] for i, j in near)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == brute_classes(docs)
+
+
 def test_op9_small(spark):
     texts = {r.doc_id: r.text for r in small(spark).collect()}
     rows = near_dedup.op9_minhash(spark, SMALL).collect()
