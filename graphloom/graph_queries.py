@@ -253,7 +253,8 @@ def fixpoint_label_propagation(spark, sf):
         return rows.groupBy("graph_id", F.col("b").alias("node_id")).agg(F.least(F.min(own("a")), F.min(own("b"))).alias("value"))
 
     g = views.ring(spark, sf)
-    _, state, _ = rules.run(g)
+    #: A label takes fewer rounds than there are nodes to get anywhere.
+    _, state, _ = rules.run(g, limit=g.nodes.count())
     return g.nodes.join(state, ["graph_id", "node_id"], "left").select("node_id", F.coalesce("value", "node_id").cast("string").alias("value"))
 
 

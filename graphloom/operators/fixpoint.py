@@ -92,14 +92,13 @@ class Rules:
         self.rules.append(Rule(name, read_pattern(dot) if isinstance(dot, str) else dot, action))
 
     def run(self, graph: PropertyGraph, limit: int = 50, graph_only: bool = False, max_length: int = 32) -> tuple[PropertyGraph, DataFrame, int]:
-        """(graph, state, rounds) once a round changes nothing, after ``limit`` + 1 rounds at most.
+        """(graph, state, rounds) once a round changes nothing; an error if ``limit`` + 1 rounds all change something.
 
         A round matches all rules on the graph at its start; then the actions run in order, each seeing
         the states written before it in the same round. ``graph_only``: changes of state alone don't count.
         """
         spark = graph.nodes.sparkSession
         state = spark.createDataFrame([], f"graph_id long, node_id long, value {self.value_type}")
-        rounds = 0
         for rounds in range(1, limit + 2):
             before, changed = state, False
             found = [(r, keep(captured(match(graph, r.pattern, max_length=max_length), r.pattern).distinct())) for r in self.rules]
@@ -113,8 +112,8 @@ class Rules:
                         x = keep(x.select(*KEY, F.col("value").cast(self.value_type).alias("value")))
                         state = keep(state.join(x, KEY, "left_anti").unionByName(x))
             if not changed and (graph_only or same(before, state)):
-                break
-        return graph, state, rounds
+                return graph, state, rounds
+        raise RuntimeError(f"not stable after {limit + 1} rounds")
 
 
 def same(a: DataFrame, b: DataFrame) -> bool:

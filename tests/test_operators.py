@@ -73,6 +73,18 @@ def test_rules(spark):
     assert ids(captured.run(g)[1]) == [1, 2, 3]
 
 
+def test_rules_that_are_not_stable(spark):
+    g = PropertyGraph.local(spark, [(i, ["N"]) for i in range(2)], [(0, 1, "DATA", "")])
+    rules = Rules(F.lit(0).cast("long"), "long")
+
+    @rules.whole("more", "digraph { a [label=\"(?P<a>)|is('N')\"] }")
+    def more(c):
+        return c.with_state("a").select("graph_id", F.col("a").alias("node_id"), (F.col("value of a") + 1).alias("value"))
+
+    with pytest.raises(RuntimeError, match="not stable after 3 rounds"):
+        rules.run(g, limit=2)
+
+
 def test_worklist(spark):
     nodes = spark.createDataFrame([(g, 1, ["Invoke"], "C", m) for g, m in ((1, "b"), (2, "c"), (3, "a"), (4, "a"))], "graph_id long, node_id long, types array<string>, method_class string, method_name string")
     g = PropertyGraph.of(nodes, spark.sql("SELECT 1L AS graph_id, 1L AS src, 1L AS dst"))

@@ -16,5 +16,17 @@ def test_query(spark, oracle, name):
     assert rows_of(graph_queries.QUERIES[name](spark, SMALL)) == oracle(graph_queries.SQL[name])
 
 
+def test_labels_take_more_than_51_rounds(spark, tmp_path):
+    """With 59 suppliers, doubling makes one cycle of 58 nodes."""
+    import duckdb
+
+    spark.createDataFrame([(k,) for k in range(59)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = con.execute(graph_queries.SQL["fixpoint_label_propagation"]).fetchall()
+    got = graph_queries.QUERIES["fixpoint_label_propagation"](spark, str(tmp_path)).select("node_id", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["o", "c", "s", "n"]
