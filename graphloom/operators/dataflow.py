@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from .kept import keep
+from .kept import forget, keep
 
 KEY = ["graph_id", "node_id"]
 
@@ -33,25 +33,32 @@ def run(graph: PropertyGraph, analysis: Analysis, backwards: bool = False, round
     """graph_id, node_id, before, after of each node once no value changes.
 
     Forwards, before is the merge over control predecessors' after; backwards, over successors'. Nodes
-    without any start from ``initial``. All nodes of a round use the values of the last one.
+    without any start from ``initial``. All nodes of a round use the values of the last one. A round
+    only computes the nodes that what changed in the last one leads to.
     """
     give, take = ("dst", "src") if backwards else ("src", "dst")
     edges = keep(graph.edges.where("etype = 'CONTROL'").select("graph_id", F.col(give).alias("give"), F.col(take).alias("take")).distinct())
     nodes = keep(graph.nodes)
-
-    def passed(df: DataFrame) -> DataFrame:
-        return df.withColumn("after", analysis.flow(F.col("before")))
-
-    state = keep(passed(nodes.withColumn("before", analysis.initial)).select(*KEY, "before", "after"))
+    text = lambda *c: F.to_json(F.struct(*c))
+    state = keep(nodes.withColumn("before", analysis.initial).withColumn("after", analysis.flow(F.col("before"))).select(*KEY, "before", "after"))
+    #: All nodes with a giver are computed in the first round; later those whose givers changed.
+    todo = keep(edges.select("graph_id", F.col("take").alias("node_id")).distinct())
     for _ in range(rounds):
-        met = edges.join(state.select("graph_id", F.col("node_id").alias("give"), "after"), ["graph_id", "give"])
-        met = met.groupBy("graph_id", F.col("take").alias("node_id")).agg(analysis.merge(F.col("after")).alias("met"))
-        new = nodes.join(met, KEY, "left").withColumn("before", F.coalesce("met", analysis.initial)).drop("met")
-        new = keep(passed(new).select(*KEY, "before", "after"))
-        old = state.select(*KEY, F.to_json(F.struct("before", "after")).alias("old"))
-        if new.join(old, KEY).where(F.to_json(F.struct("before", "after")) != F.col("old")).isEmpty():
-            return new
-        state = new
+        given = edges.join(todo.withColumnRenamed("node_id", "take"), ["graph_id", "take"], "left_semi")
+        met = given.join(state.select("graph_id", F.col("node_id").alias("give"), "after"), ["graph_id", "give"])
+        met = met.groupBy("graph_id", F.col("take").alias("node_id")).agg(analysis.merge(F.col("after")).alias("before"))
+        new = nodes.join(met, KEY).withColumn("after", analysis.flow(F.col("before"))).select(*KEY, "before", "after")
+        old = state.select(*KEY, text("before", "after").alias("old"), F.col("after").alias("was"))
+        new = new.join(old, KEY).where(text("before", "after") != F.col("old"))
+        new = keep(new.select(*KEY, "before", "after", (text("after") != F.to_json(F.struct(F.col("was").alias("after")))).alias("moved")))
+        if new.isEmpty():
+            forget(edges, nodes, todo, new)
+            return state
+        wider = keep(state.join(new.select(*KEY), KEY, "left_anti").unionByName(new.drop("moved")))
+        moved = new.where("moved").select("graph_id", F.col("node_id").alias("give"))
+        next_ = keep(edges.join(moved, ["graph_id", "give"], "left_semi").select("graph_id", F.col("take").alias("node_id")).distinct())
+        forget(state, todo, new)
+        state, todo = wider, next_
     raise RuntimeError(f"not stable after {rounds} rounds")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..model import EDGES, NODES, PropertyGraph, shaped
 from ..plans.pattern import Pattern, read_pattern
 from ..plans.planner import captured, match
-from .kept import keep
+from .kept import forget, keep
 
 KEY = ["graph_id", "node_id"]
 
@@ -94,32 +94,54 @@ class Rules:
     def run(self, graph: PropertyGraph, limit: int = 50, graph_only: bool = False, max_length: int = 32) -> tuple[PropertyGraph, DataFrame, int]:
         """(graph, state, rounds) once a round changes nothing; an error if ``limit`` + 1 rounds all change something.
 
-        A round matches all rules on the graph at its start; then the actions run in order, each seeing
-        the states written before it in the same round. ``graph_only``: changes of state alone don't count.
+        A round matches all rules on the graph at its start (as before, where the graph hasn't changed); then the
+        actions run in order, each seeing the states written before it in the same round. ``graph_only``: changes of
+        state alone don't count.
         """
         spark = graph.nodes.sparkSession
         state = spark.createDataFrame([], f"graph_id long, node_id long, value {self.value_type}")
+        found, fresh = [], True
         for rounds in range(1, limit + 2):
-            before, changed = state, False
-            found = [(r, keep(captured(match(graph, r.pattern, max_length=max_length), r.pattern).distinct())) for r in self.rules]
+            changed = False
+            if fresh:
+                forget(*(m for _, m in found))
+                found = [(r, keep(captured(match(graph, r.pattern, max_length=max_length), r.pattern).distinct())) for r in self.rules]
+            fresh, before = False, state
             for r, matches in found:
                 result = r.action(Context(matches, state, graph, self.default))
                 for x in result if isinstance(result, tuple) else (result,):
                     if isinstance(x, Attach):
                         graph, new = attach(graph, x)
-                        changed |= new
+                        fresh |= new
                     elif x is not None:
-                        x = keep(x.select(*KEY, F.col("value").cast(self.value_type).alias("value")))
-                        state = keep(state.join(x, KEY, "left_anti").unionByName(x))
-            if not changed and (graph_only or same(before, state)):
+                        state, new = updated(state, x.select(*KEY, F.col("value").cast(self.value_type).alias("value")), len(found) == 1 and not isinstance(result, tuple))
+                        changed |= new
+            if len(found) > 1 and changed:  # a later rule may have undone what an earlier one did
+                changed = not same(before, state)
+            if not fresh and (graph_only or not changed):
+                forget(*(m for _, m in found))
                 return graph, state, rounds
         raise RuntimeError(f"not stable after {limit + 1} rounds")
 
 
+def updated(state: DataFrame, x: DataFrame, alone: bool) -> tuple[DataFrame, bool]:
+    """The state with the values of ``x``, and whether that changed a value. ``alone``: nothing else reads the old table."""
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
+    joined = state.withColumn("had", F.lit(True)).join(x.select(*KEY, F.col("value").alias("to"), F.lit(True).alias("put")), KEY, "full")
+    joined = joined.select(*KEY, F.when(F.col("put"), F.col("to")).otherwise(F.col("value")).alias("value"), (F.col("put").isNotNull() & (F.col("had").isNull() | (text("value") != text("to")))).alias("changed"))
+    new = keep(joined)
+    changed = not new.where("changed").isEmpty()
+    if alone:
+        forget(state)
+    out = new.drop("changed")
+    out.kept_at = new.kept_at
+    return out, changed
+
+
 def same(a: DataFrame, b: DataFrame) -> bool:
     """Whether two states are equal (values compare as JSON, so maps work too)."""
-    text = lambda d: d.select(*KEY, F.to_json(F.struct("value")).alias("j"))
-    return text(b).exceptAll(text(a)).isEmpty() and text(a).exceptAll(text(b)).isEmpty()
+    text = lambda d, name: d.select(*KEY, F.to_json(F.struct("value")).alias(name))
+    return text(a, "x").join(text(b, "y"), KEY, "full").where("NOT x <=> y").isEmpty()
 
 
 def attach(graph: PropertyGraph, what: Attach) -> tuple[PropertyGraph, bool]:

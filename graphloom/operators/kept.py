@@ -1,4 +1,4 @@
-"""Tables kept between the rounds of a loop."""
+"""Tables kept between jobs in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -9,19 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, a temporary folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder, if all of Spark runs on this machine; else an error,
+    as executors would write to disks of their own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get().rstrip("/")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what ``keep`` wrote for these; nothing may read them any more. Other DataFrames are left alone."""
+    for t in tables:
+        if t is not None and (path := t.__dict__.pop("kept_at", None)):
+            delete(t.sparkSession, path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from .kept import keep
+from .kept import forget, keep
 
 
 class PathLimit(RuntimeError):
@@ -49,26 +49,21 @@ def simple_paths(graph: PropertyGraph, starts: DataFrame, edge: Column, node: Co
 def reachable(graph: PropertyGraph, starts: DataFrame, edge: Column, node: Column | None = None, zero: bool = True) -> DataFrame:
     """graph_id, start, last: what paths from each start reach, without the paths; cycles are fine.
 
-    Semi-naive: a round extends only the pairs that the last round found. ``zero``: starts reach themselves.
+    By doubling: after round k all paths of less than 2 ** k hops are known, and the ends of paths of
+    exactly 2 ** k hops, so rounds grow with the logarithm of the longest shortest path. ``zero``: starts
+    reach themselves, else only by a path.
     """
-    step = keep(hops(graph, edge, node)).withColumnRenamed("src", "last").withColumnRenamed("dst", "to")
-    new = keep(starts.select("graph_id", "start").distinct().withColumn("last", F.col("start")))
-    parts = [new] if zero else []
-    keys = ["graph_id", "start", "last"]
-    while True:
-        found = new.join(step, ["graph_id", "last"]).select("graph_id", "start", F.col("to").alias("last")).distinct()
-        for p in parts:
-            found = found.join(p, keys, "left_anti")
-        new = keep(found)
-        if new.isEmpty():
-            break
-        parts.append(new)
-        if len(parts) > 8:  # keeps the plan of a round small
-            merged = parts[0]
-            for p in parts[1:]:
-                merged = merged.unionByName(p)
-            parts = [keep(merged)]
-    out = parts[0] if parts else new
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    jump = keep(hops(graph, edge, node).select("graph_id", F.col("src").alias("last"), F.col("dst").alias("to")))
+    had = -1
+    first = starts.select("graph_id", "start").distinct()
+    reach = first.withColumn("last", F.col("start")) if zero else first.withColumnRenamed("start", "last").join(jump, ["graph_id", "last"]).select("graph_id", F.col("last").alias("start"), F.col("to").alias("last"))
+    reach = keep(reach)
+    while (has := reach.count()) > had:
+        more = reach.join(jump, ["graph_id", "last"]).select("graph_id", "start", F.col("to").alias("last"))
+        wider = keep(reach.unionByName(more).distinct())
+        twice = jump.withColumnRenamed("to", "via").join(jump.withColumnRenamed("last", "via"), ["graph_id", "via"]).select("graph_id", "last", "to").distinct()
+        longer = keep(twice)
+        forget(reach, jump)
+        reach, jump, had = wider, longer, has
+    forget(jump)
+    return reach

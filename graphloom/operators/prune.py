@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from .kept import keep
+from .kept import forget, keep
 
 KEY = ["graph_id", "node_id"]
 
@@ -24,22 +24,36 @@ def without(graph: PropertyGraph, gone: DataFrame) -> PropertyGraph:
 
 def cascade(graph: PropertyGraph, seeds: DataFrame, forwards: bool) -> PropertyGraph:
     """Delete the seeds and, round by round, what hung on the deleted: forwards, a successor with one
-    edge or one control edge into it, and a predecessor with one edge in all; backwards, the mirror image."""
+    edge or one control edge into it, and a predecessor with one edge in all; backwards, the mirror image.
+    Only what is deleted is kept from round to round: degrees are counted among the neighbours of the front.
+    """
     near, far = ("src", "dst") if forwards else ("dst", "src")
-    total, control = ("n_in", "control_in") if forwards else ("n_out", "control_out")
-    nodes, edges = graph.nodes, graph.edges
-    front = keep(seeds.select(*KEY).distinct())
+    e = graph.edges.select("graph_id", "src", "dst", "etype")
+    front = keep(seeds.select(*KEY).distinct().join(graph.nodes.select(*KEY), KEY, "left_semi"))
+    gone = front
     while not front.isEmpty():
-        now = PropertyGraph(nodes, edges)
-        degrees = keep(now.degrees())
-        following = edges.join(front.withColumnRenamed("node_id", near), ["graph_id", near], "left_semi").select("graph_id", F.col(far).alias("node_id"))
-        preceding = edges.join(front.withColumnRenamed("node_id", far), ["graph_id", far], "left_semi").select("graph_id", F.col(near).alias("node_id"))
-        next_ = following.join(degrees, KEY, "left_semi").distinct().join(degrees, KEY).where((F.col(total) == 1) | (F.col(control) == 1)).select(*KEY)
-        lone = preceding.distinct().join(degrees, KEY).where(F.col("n_in") + F.col("n_out") == 1).select(*KEY)
-        smaller = without(now, front)
-        nodes, edges = keep(smaller.nodes), keep(smaller.edges)
-        front = keep(next_.unionByName(lone).distinct().join(nodes.select(*KEY), KEY, "left_semi"))
-    return PropertyGraph(nodes, edges)
+        #: Edges that were there at the start of the round, of the neighbours of the front.
+        past = gone.join(front, KEY, "left_anti")
+        left = e
+        for end in ("src", "dst"):
+            left = left.join(past.withColumnRenamed("node_id", end), ["graph_id", end], "left_anti")
+        ahead = left.join(front.withColumnRenamed("node_id", near), ["graph_id", near], "left_semi").select("graph_id", F.col(far).alias("node_id"), F.lit(True).alias("ahead"))
+        behind = left.join(front.withColumnRenamed("node_id", far), ["graph_id", far], "left_semi").select("graph_id", F.col(near).alias("node_id"), F.lit(False).alias("ahead"))
+        beside = ahead.unionByName(behind).groupBy(*KEY).agg(F.max("ahead").alias("ahead"), F.max(~F.col("ahead")).alias("behind"))
+        beside = keep(beside.join(gone, KEY, "left_anti"))
+        ends = left.select("graph_id", F.col(far).alias("node_id"), F.lit(1).alias("entry"), (F.col("etype") == "CONTROL").cast("int").alias("control")).unionByName(
+            left.select("graph_id", F.col(near).alias("node_id"), F.lit(0).alias("entry"), F.lit(0).alias("control"))
+        )
+        degrees = ends.join(beside, KEY).groupBy(*KEY, "ahead", "behind").agg(F.sum("entry").alias("total"), F.sum("control").alias("control"), F.count("*").alias("both"))
+        next_ = degrees.where("ahead AND (total = 1 OR control = 1) OR behind AND both = 1").select(*KEY)
+        new = keep(next_.join(graph.nodes.select(*KEY), KEY, "left_semi"))
+        wider = keep(gone.unionByName(new))
+        forget(front, gone, beside)
+        front, gone = new, wider
+    out = without(graph, gone)
+    out = PropertyGraph(keep(out.nodes), keep(out.edges))
+    forget(front, gone)
+    return out
 
 
 def remove_forwards(graph: PropertyGraph, seeds: DataFrame) -> PropertyGraph:
