@@ -12,6 +12,8 @@ start where the path ends; w's predicate holds for every node of the path, and i
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import EdgeTarget, NodeTarget, always, to_column
 from ..model import PropertyGraph
 from ..operators import paths
-from .pattern import Edge, Pattern, read_pattern
+from .pattern import Edge, Pattern, PatternError, Vertex, read_pattern
 
 G = "graph_id"
 
@@ -94,14 +96,32 @@ def match(graph: PropertyGraph, pattern: Pattern | str, bag: bool = False, known
     A plain vertex is its node id, the target of a * edge the array of its path, a repeated vertex the
     sorted array of all nodes it binds to given the others (with ``bag``, once for each match of the
     others' row, paths in full). ``ends`` keeps ``last of v`` for * edges' targets.
+
+    Bindings need no distinct: each step is a set over its vertices, and all vertices are kept (a path and
+    its start determine its last node). Repeated vertices that only touch plain ones are grouped by these,
+    each for itself, before they are joined, so they never multiply each other.
     """
     pattern = read_pattern(pattern) if isinstance(pattern, str) else pattern
-    rows = bindings(graph, pattern, known_types, max_length)
+    pattern.validate()
     kleene, repeated = pattern.kleene, pattern.repeated
-    cols = [F.col(f"`path of {v}`").alias(v) if v in kleene else F.col(f"`{v}`") for v in pattern.vertices]
+    core = core_of(pattern)
+    if core:
+        rows = bindings(graph, core, known_types, max_length)
+        for v in repeated:
+            near = sorted(pattern.neighbours(v))
+            star = Pattern({v: pattern.vertices[v]} | {x: Vertex(x) for x in near}, tuple(e for e in pattern.edges if v in (e.source, e.target)))
+            many = bindings(graph, star, known_types, max_length).groupBy(G, *(f"`{x}`" for x in near)).agg((F.collect_list if bag else F.collect_set)(f"`{v}`").alias(v))
+            rows = rows.join(many, [G, *near])
+        for v in repeated:
+            times = [F.size(f"`{x}`") for x in repeated if x != v]
+            value = F.flatten(F.array_repeat(F.col(f"`{v}`"), functools.reduce(operator.mul, times))) if bag and times else F.col(f"`{v}`")
+            rows = rows.withColumn(f"all of {v}", F.sort_array(value))
+    else:
+        rows = bindings(graph, pattern, known_types, max_length)
+    cols = [F.col(f"`all of {v}`").alias(v) if core and v in repeated else F.col(f"`path of {v}`").alias(v) if v in kleene else F.col(f"`{v}`") for v in pattern.vertices]
     lasts = [F.col(f"`{v}`").alias(f"last of {v}") for v in kleene if ends]
-    rows = rows.select(G, *cols, *lasts).distinct()
-    if not repeated:
+    rows = rows.select(G, *cols, *lasts)
+    if core or not repeated:
         return rows
     keys = [c for c in rows.columns if c not in repeated and c not in [f"last of {v}" for v in repeated]]
     collect = []
@@ -113,6 +133,21 @@ def match(graph: PropertyGraph, pattern: Pattern | str, bag: bool = False, known
     return rows.groupBy(*(f"`{k}`" for k in keys)).agg(*collect)
 
 
+def core_of(pattern: Pattern) -> Pattern | None:
+    """The pattern without its repeated vertices, if they only touch plain ones by plain edges and the rest holds together without them."""
+    repeated = set(pattern.repeated)
+    mine = [e for e in pattern.edges if {e.source, e.target} & repeated]
+    plain = all(not e.predicate.options.kleene and len({e.source, e.target} & repeated) == 1 and e.source != e.target and not {e.source, e.target} & set(pattern.kleene) for e in mine)
+    if not repeated or not plain:
+        return None
+    core = Pattern({v: x for v, x in pattern.vertices.items() if v not in repeated}, tuple(e for e in pattern.edges if e not in mine), pattern.name)
+    try:
+        core.validate()
+    except PatternError:
+        return None
+    return core
+
+
 def captured(matches: DataFrame, pattern: Pattern | str) -> DataFrame:
     """Only the captured vertices of matches, by their capture names."""
     pattern = read_pattern(pattern) if isinstance(pattern, str) else pattern

@@ -7,6 +7,8 @@ nodes(graph_id, node_id, types, ...) and edges(graph_id, src, dst, etype, eclass
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from ..functions.predicates import CONSTANTS, METHOD, And, Call, Equals, Field, Literal, Mismatch, Name, Node, Not, Or, Predicate, PredicateError, type_of
@@ -57,19 +59,23 @@ def condition(p: Predicate, edge: bool) -> str:
     return expression(p.body, edge)
 
 
-def to_sql(pattern: Pattern | str) -> str:
-    """One row a match; paths and repeated vertices are arrays, as ``planner.match`` gives them."""
+def to_sql(pattern: Pattern | str, nodes: str = "nodes", edges: str = "edges") -> str:
+    """One row a match; paths and repeated vertices are arrays, as ``planner.match`` gives them. ``nodes``, ``edges``: names of the tables.
+
+    An engine may bound recursion: Spark stops with an error beyond 100 levels or 1,000,000 rows of a * edge
+    (spark.sql.cteRecursionLevelLimit, spark.sql.cteRecursionRowLimit), where ``planner.match`` goes on.
+    """
     pattern = read_pattern(pattern) if isinstance(pattern, str) else pattern
     pattern.validate()
     number = {v: k for k, v in enumerate(pattern.vertices)}
     ctes, kleene, repeated = [], pattern.kleene, pattern.repeated
     for v, x in pattern.vertices.items():
-        ctes.append(f"v{number[v]} AS (SELECT graph_id, node_id FROM nodes WHERE {condition(x.predicate, False)})")
+        ctes.append(f"v{number[v]} AS (SELECT graph_id, node_id FROM {nodes} WHERE {condition(x.predicate, False)})")
     for k, e in enumerate(pattern.edges):
-        ctes.append(f"e{k} AS (SELECT DISTINCT graph_id, src, dst FROM edges WHERE {condition(e.predicate, True)})")
+        ctes.append(f"e{k} AS (SELECT DISTINCT graph_id, src, dst FROM {edges} WHERE {condition(e.predicate, True)})")
         if e.predicate.options.kleene:
             w = f"v{number[e.target]}"
-            start = f"v{number[e.source]}" if e.source not in kleene else "nodes"
+            start = f"v{number[e.source]}" if e.source not in kleene else nodes
             ctes.append(
                 f"p{k} AS (SELECT graph_id, node_id AS start, CAST(array() AS ARRAY<BIGINT>) AS path, node_id AS last FROM {start} UNION ALL "
                 f"SELECT p.graph_id, p.start, array_append(p.path, e.dst), e.dst FROM p{k} p JOIN e{k} e ON e.graph_id = p.graph_id AND e.src = p.last "
@@ -113,7 +119,13 @@ def to_sql(pattern: Pattern | str) -> str:
 
 
 def match_by_sql(graph: PropertyGraph, pattern: Pattern | str) -> DataFrame:
-    """``planner.match`` by way of the text."""
-    graph.nodes.createOrReplaceTempView("nodes")
-    graph.edges.createOrReplaceTempView("edges")
-    return graph.nodes.sparkSession.sql(to_sql(pattern))
+    """``planner.match`` by way of the text, over views of names of their own, which go once the text is analysed."""
+    spark, own = graph.nodes.sparkSession, uuid.uuid4().hex
+    nodes, edges = f"nodes_{own}", f"edges_{own}"
+    try:
+        graph.nodes.createTempView(nodes)
+        graph.edges.createTempView(edges)
+        return spark.sql(to_sql(pattern, nodes, edges))
+    finally:
+        spark.catalog.dropTempView(nodes)
+        spark.catalog.dropTempView(edges)
