@@ -3,7 +3,8 @@
 Intervals are struct<lo, hi> Columns with infinite bounds, states are map<variable, interval> Columns
 (a variable without an entry is unbounded, a null state is bottom), so lattice operations run inside
 Spark's expressions and merge by its aggregates. Octagons (bounds on +-x +-y) are closed matrices in
-numpy, for grouped pandas functions. Linear forms are exact rationals on the driver side.
+numpy, for grouped pandas functions (``octagon_bounds``). Linear forms are exact rationals on the driver
+side, and struct<terms, constant> Columns with decimal coefficients over tables.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INF = float("inf")
@@ -103,16 +104,35 @@ def put(state: Column, name: str, value: Column) -> Column:
 
 def assign(state: Column, name: str, terms: dict[str, float], constant: float = 0) -> Column:
     """name := constant + sum of factor * variable."""
+    return put(state, name, value_of(state, terms, constant))
+
+
+def value_of(state: Column, terms: dict[str, float], constant: float = 0) -> Column:
+    """The interval of constant + sum of factor * variable."""
     value = interval(constant, constant)
     for v, k in terms.items():
         value = plus(value, scaled(bound_of(state, v), k))
-    return put(state, name, value)
-
-
-def substitute(state: Column, name: str, value: float) -> Column:
-    """Backwards assignment of a constant: before it ``name`` was anything, if it can be ``value`` now."""
-    fits = (bound_of(state, name)["lo"] <= value) & (bound_of(state, name)["hi"] >= value)
-    return F.when(fits, put(state, name, top()))
+    return value
+
+
+def substitute(state: Column, name: str, value: float | dict[str, float], constant: float = 0) -> Column:
+    """Backwards assignment of ``value``, a constant or the terms of a linear form with ``constant``: the states before
+    it, null if none leads to ``state``. ``name`` was anything, unless it is in the form itself; every variable of
+    the form is held to what makes the form fit the bounds of ``name`` after it."""
+    if not isinstance(value, dict):
+        value, constant = {}, value
+    terms = {v: k for v, k in value.items() if k}
+    after = bound_of(state, name)
+    before = state if not terms else put(state, name, top()) if name in terms else state
+    rest = lambda skip: value_of(before, {v: k for v, k in terms.items() if v != skip}, constant)
+    out = put(state, name, top())
+    fits = ~is_empty(meet(value_of(before, terms, constant), after))
+    for v, k in terms.items():
+        room = scaled(F.struct((after["lo"] - rest(v)["hi"]).alias("lo"), (after["hi"] - rest(v)["lo"]).alias("hi")), 1 / k)
+        held = meet(bound_of(before, v), interval(room["lo"], room["hi"]))
+        fits &= ~is_empty(held)
+        out = put(out, v, held)
+    return F.when(fits, out)
 
 
 def assume(state: Column, name: str, relation: str, value: float) -> Column:
@@ -150,8 +170,28 @@ def widen_states(old: Column, new: Column) -> Column:
     return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(zip_states(old, new, widen))
 
 
+def equal_states(a: Column, b: Column) -> Column:
+    """Whether two states allow the same values, undeclared variables being unbounded; bottom equals bottom."""
+    same = ~F.exists(F.map_values(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, top()) == F.coalesce(y, top()))), lambda e: ~e)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same)
+
+
+def merge_by(df: DataFrame, keys: list[str], state: str) -> DataFrame:
+    """keys, ``state``: the join of each group's states; nulls (bottom) add nothing, a group of nulls only is null.
+
+    Groups of any size: bounds are aggregated variable by variable, and what is gathered is one row a variable.
+    """
+    alive = df.groupBy(*keys).agg(F.count(state).alias("states"))
+    each = df.select(*keys, F.explode(state).alias("name", "i")).groupBy(*keys, "name").agg(F.min("i.lo").alias("lo"), F.max("i.hi").alias("hi"), F.count("*").alias("n"))
+    both = F.col("n") == F.col("states")
+    value = F.struct(F.when(both, F.col("lo")).otherwise(-INF).alias("lo"), F.when(both, F.col("hi")).otherwise(INF).alias("hi"))
+    joined = alive.join(each, keys, "left").groupBy(*keys, "states").agg(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", value.alias("i")))).alias("all"))
+    return joined.select(*keys, F.when(F.col("states") > 0, F.map_from_entries("all")).cast(STATE).alias(state))
+
+
 def merge_states(c: Column) -> Column:
-    """Aggregate: the join of a group's states; nulls (bottom) add nothing."""
+    """Aggregate: the join of a group's states; nulls (bottom) add nothing. It gathers the states, so it is for groups as
+    small as a node's predecessors; ``merge_by`` is for groups of any size."""
     states = F.collect_list(c)
     return F.when(F.size(states) > 0, F.aggregate(F.slice(states, 2, F.greatest(F.size(states) - 1, F.lit(0))), states[0], lambda a, b: zip_states(a, b, join)))
 
@@ -160,7 +200,73 @@ def is_top(state: Column) -> Column:
     return state.isNotNull() & ~F.exists(F.map_values(state), lambda i: (i["lo"] > -INF) | (i["hi"] < INF))
 
 
-# Linear forms
+# Linear forms as Columns: struct<terms: map<variable, coefficient>, constant>, without terms of 0
+
+NUMBER = "decimal(38,9)"
+LINEAR = f"struct<terms:map<string,{NUMBER}>,constant:{NUMBER}>"
+
+
+def number(x: Column | float) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast(NUMBER)
+
+
+def form(terms: dict[str, Column | float], constant: Column | float = 0) -> Column:
+    """constant + sum of coefficient * variable."""
+    entries = F.map_from_arrays(F.array(*(F.lit(n) for n in terms)), F.array(*(number(k) for k in terms.values()))) if terms else F.create_map()
+    return F.struct(F.map_filter(entries.cast(f"map<string,{NUMBER}>"), lambda _, k: k != 0).alias("terms"), number(constant).alias("constant"))
+
+
+def form_plus(a: Column, b: Column) -> Column:
+    terms = F.map_zip_with(a["terms"], b["terms"], lambda _, x, y: number(F.coalesce(x, number(0)) + F.coalesce(y, number(0))))
+    return F.struct(F.map_filter(terms, lambda _, k: k != 0).alias("terms"), number(a["constant"] + b["constant"]).alias("constant"))
+
+
+def form_scaled(a: Column, k: Column | float) -> Column:
+    terms = F.transform_values(a["terms"], lambda _, x: number(x * number(k)))
+    return F.struct(F.map_filter(terms, lambda _, x: x != 0).alias("terms"), number(a["constant"] * number(k)).alias("constant"))
+
+
+def form_minus(a: Column, b: Column) -> Column:
+    return form_plus(a, form_scaled(b, -1))
+
+
+def form_times(a: Column, b: Column) -> Column:
+    """A product of which one side is a constant; an error in rows where neither is."""
+    none = F.raise_error(F.lit("a product of two variables isn't linear")).cast(LINEAR)
+    return F.when(F.size(b["terms"]) == 0, form_scaled(a, b["constant"])).when(F.size(a["terms"]) == 0, form_scaled(b, a["constant"])).otherwise(none)
+
+
+def form_text(a: Column) -> Column:
+    """``2*x + -1*y + 3``, variables by name."""
+    plain = lambda x: F.regexp_replace(x.cast("string"), r"\.?0+$", "")
+    terms = F.transform(F.array_sort(F.map_entries(a["terms"])), lambda t: F.concat(plain(t["value"]), F.lit("*"), t["key"]))
+    return F.array_join(F.array_append(terms, plain(a["constant"])), " + ")
+
+
+def sum_forms(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, ``column``: the sum of each group's forms; coefficients are summed variable by variable."""
+    each = df.select(*keys, F.explode(F.map_concat(F.col(column)["terms"], F.map_from_arrays(F.array(F.lit("")), F.array(F.col(column)["constant"])))).alias("name", "k"))
+    total = each.groupBy(*keys, "name").agg(number(F.sum("k")).alias("k"))
+    parts = total.groupBy(*keys).agg(F.collect_list(F.when((F.col("name") != "") & (F.col("k") != 0), F.struct("name", "k"))).alias("all"), F.max(F.when(F.col("name") == "", F.col("k"))).alias("constant"))
+    return parts.select(*keys, F.struct(F.map_from_entries("all").alias("terms"), F.col("constant").alias("constant")).alias(column))
+
+
+def constraint_of(left: Column, relation: Column, right: Column) -> Column:
+    """struct<form, relation>: left - right relation 0; an unknown relation is an error."""
+    known = F.when(relation == "==", "=").when(relation.isin(*NEGATED), relation).otherwise(F.raise_error(F.concat(relation, F.lit(" is no relation"))).cast("string"))
+    return F.struct(form_minus(left, right).alias("form"), known.alias("relation"))
+
+
+def constraint_negated(c: Column) -> Column:
+    other = F.create_map(*[F.lit(x) for kv in NEGATED.items() for x in kv])[c["relation"]]
+    return F.struct(c["form"].alias("form"), other.alias("relation"))
+
+
+def constraint_text(c: Column) -> Column:
+    return F.concat(form_text(c["form"]), F.lit(" "), c["relation"], F.lit(" 0"))
+
+
+# Linear forms on the driver
 
 
 @dataclass(frozen=True)
@@ -323,3 +429,25 @@ class Octagon:
         return a.bottom and b.bottom or not a.bottom and not b.bottom and bool((a.closed().m == b.closed().m).all())
 
     __hash__ = None
+
+
+def octagon_bounds(constraints: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, name, lo, hi: the bounds of each variable in the octagon of each group's constraints, integers all.
+
+    ``constraints`` has the keys and a, x, b, y, c: a*x + b*y <= c, or a*x <= c where y is null; a and b are 1 or -1.
+    A group without a solution has no rows. A group is a matrix in one task, of the square of its variables.
+    """
+    import pandas as pd
+
+    names = [*keys, "name", "lo", "hi"]
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        o = Octagon(sorted({*rows["x"], *rows["y"].dropna()}))
+        for a, x, b, y, c in zip(rows["a"], rows["x"], rows["b"], rows["y"], rows["c"], strict=True):
+            o = o.assume(int(a), x, int(b), y, float(c)) if isinstance(y, str) else o.assume(int(a), x, 0, None, float(c))
+        closed = o.closed()
+        found = [] if closed.bottom else [(*key, n, -closed.m[2 * i, 2 * i + 1] / 2, closed.m[2 * i + 1, 2 * i] / 2) for i, n in enumerate(closed.names)]
+        return pd.DataFrame(found, columns=names)
+
+    kinds = dict(constraints.dtypes)
+    return constraints.select(*keys, "a", "x", "b", "y", "c").groupBy(*keys).applyInPandas(solve, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "name string, lo double, hi double"]))

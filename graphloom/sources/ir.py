@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from ..model import PropertyGraph, shaped
 
 #: Names of node types that decide the kind of a usage.
-BEGIN, END, EXIT, PHI, VALUE_PHI, PROXY, VALUE_PROXY, FRAME, ENDNODE = (
-    "LoopBeginNode", "LoopEndNode", "LoopExitNode", "PhiNode", "ValuePhiNode", "ProxyNode", "ValueProxyNode", "FrameState", "EndNode",
-)
+END, EXIT, VALUE_PHI, VALUE_PROXY, FRAME, ENDNODE = "LoopEndNode", "LoopExitNode", "ValuePhiNode", "ValueProxyNode", "FrameState", "EndNode"
 
 
 def has(types: str, name: str):
@@ -26,28 +24,30 @@ def successor_edges(successors: DataFrame) -> DataFrame:
 
 
 def usage_edges(usages: DataFrame, nodes: DataFrame, values: str = "values") -> DataFrame:
-    """One edge a usage, two for a loop's end, none for what only ends use.
+    """One edge a usage, two for a loop's end, none for an end node's use as an end.
 
-    loopBegin + LoopEnd: CONTROL "next" backwards and ASSOCIATED; loopBegin + LoopExit: ASSOCIATED;
-    values + ValuePhi: DATA "from <id>", where ``from`` is the predecessor the value comes from
-    (column phi_from of usages); values + FrameState, stateAfter, merge + phi and proxies of no
-    value: ASSOCIATED; ends + EndNode: dropped; else DATA with the input's name.
+    loopBegin of a LoopEnd: CONTROL "next" backwards and ASSOCIATED; loopBegin of a LoopExit: ASSOCIATED;
+    values of a ValuePhi: DATA "from <id>", where ``from`` is the predecessor the value comes from
+    (column phi_from of usages); values of a FrameState: ASSOCIATED; an EndNode among ends: dropped; a
+    FrameState as stateAfter, the merge of a ValuePhi, and every input of a ValueProxy but its value:
+    ASSOCIATED; else DATA with the input's name.
     """
-    kinds = nodes.select("graph_id", F.col("node_id").alias("dst"), F.col("types").alias("user"))
-    u = usages.join(kinds, ["graph_id", "dst"], "left")
+    kinds = lambda end, name: nodes.select("graph_id", F.col("node_id").alias(end), F.col("types").alias(name))
+    u = usages.join(kinds("dst", "user"), ["graph_id", "dst"], "left").join(kinds("src", "used"), ["graph_id", "src"], "left")
     u = u.withColumn("phi_from", F.col("phi_from").cast("long") if "phi_from" in usages.columns else F.lit(None).cast("long"))
     name = F.col("input")
     associated = F.struct("src", "dst", F.lit("ASSOCIATED").alias("etype"), name.alias("label"), F.lit(None).cast("long").alias("phi_from"))
     data = F.struct("src", "dst", F.lit("DATA").alias("etype"), name.alias("label"), F.lit(None).cast("long").alias("phi_from"))
     phi = F.struct("src", "dst", F.lit("DATA").alias("etype"), F.concat(F.lit("from "), F.col("phi_from").cast("string")).alias("label"), "phi_from")
     back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("CONTROL").alias("etype"), F.lit("next").alias("label"), F.lit(None).cast("long").alias("phi_from"))
+    beside = (name == "stateAfter") & has("used", FRAME) | (name == "merge") & has("user", VALUE_PHI) | (name != "value") & has("user", VALUE_PROXY)
     edges = (
         F.when((name == "loopBegin") & has("user", END), F.array(back, associated))
         .when((name == "loopBegin") & has("user", EXIT), F.array(associated))
         .when((name == values) & has("user", VALUE_PHI) & F.col("phi_from").isNotNull(), F.array(phi))
         .when((name == values) & has("user", FRAME), F.array(associated))
-        .when((name == "ends") & has("user", ENDNODE), F.array().cast("array<struct<src:long,dst:long,etype:string,label:string,phi_from:long>>"))
-        .when((name == "stateAfter") | (name == "merge") & has("user", PHI) | has("user", PROXY) & ~has("user", VALUE_PROXY), F.array(associated))
+        .when((name == "ends") & has("used", ENDNODE), F.array().cast("array<struct<src:long,dst:long,etype:string,label:string,phi_from:long>>"))
+        .when(beside, F.array(associated))
         .otherwise(F.array(data))
     )
     return u.select("graph_id", F.explode(edges).alias("e")).select("graph_id", "e.*")

@@ -9,6 +9,7 @@ from ..model import PropertyGraph
 from ..plans.pattern import Pattern, read_pattern
 from ..plans.planner import match
 
+#: Fixed values of the exported text.
 COLORS = {"DATA": "blue", "CONTROL": "red", "ASSOCIATED": "black", "EXTRA": "purple"}
 
 
@@ -31,15 +32,15 @@ def dot_nodes(graph: PropertyGraph) -> DataFrame:
         .when(has("ReturnNode"), "invhouse").when(has("FixedNode"), "box").otherwise("ellipse")
     )
     label = F.coalesce("name", F.col("types")[0], F.lit(""))
-    root = F.when(has("StartNode"), ', root="true"').otherwise("")
+    root = F.when((F.col("kind") == "IR") & has("StartNode"), ', root="true"').otherwise(', root="false"')
     return graph.nodes.select("graph_id", "node_id", F.concat(F.lit("  "), quoted(node_key()), F.lit(" [ label="), quoted(label), F.lit(', shape="'), shape, F.lit('"'), root, F.lit(" ];")).alias("line"))
 
 
 def dot_edges(graph: PropertyGraph) -> DataFrame:
     """graph_id, src, dst, line: one DOT statement an edge; colour, style and weight tell its kind."""
     color = F.create_map(*[F.lit(x) for kv in COLORS.items() for x in kv])[F.col("etype")]
-    style = F.when(F.col("etype") == "ASSOCIATED", ', style="dashed"').otherwise("")
-    weight = F.when(F.col("etype") == "CONTROL", ', weight="10"').otherwise("")
+    style = F.when(F.col("etype") == "ASSOCIATED", ', style="dashed"').otherwise(', style=""')
+    weight = F.when(F.col("etype") == "CONTROL", ', weight="10"').otherwise(', weight="1"')
     keys = graph.nodes.select("graph_id", "node_id", node_key().alias("key"))
     e = graph.edges.join(keys.select("graph_id", F.col("node_id").alias("src"), F.col("key").alias("a")), ["graph_id", "src"]).join(keys.select("graph_id", F.col("node_id").alias("dst"), F.col("key").alias("b")), ["graph_id", "dst"])
     line = F.concat(F.lit("  "), quoted(F.col("a")), F.lit(" -> "), quoted(F.col("b")), F.lit(" [ label="), quoted(F.coalesce("label", F.lit(""))), F.lit(', color="'), color, F.lit('"'), style, weight, F.lit(" ];"))

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from graphloom import analyses
 from graphloom.functions.predicates import EdgeTarget, to_column
 from graphloom.model import PropertyGraph
 from graphloom.operators import dataflow, paths, prune
@@ -85,6 +86,26 @@ def test_rules_that_are_not_stable(spark):
         rules.run(g, limit=2)
 
 
+def test_rules_see_what_earlier_ones_wrote(spark):
+    """Two rules that write the same node: the later one wins in each round, and the loop ends."""
+    g = PropertyGraph.local(spark, [(i, ["N"]) for i in range(2)], [(0, 1, "DATA", "")])
+    rules = Rules(F.lit(0).cast("long"), "long")
+    for name, value in (("low", 1), ("high", 2)):
+        rules.whole(name, "digraph { a [label=\"(?P<a>)|is('N')\"] }")(lambda c, value=value: c.matches.select("graph_id", F.col("a").alias("node_id"), F.lit(value).cast("long").alias("value")))
+    _, state, rounds = rules.run(g)
+    assert {r.node_id: r.value for r in state.collect()} == {0: 2, 1: 2} and rounds == 2
+
+
+def test_points_to(spark):
+    """A stored parameter, a value behind a phi, a load of another field, and loads of each other."""
+    types = {1: "AllocatedObjectNode", 2: "AllocatedObjectNode", 3: "ParameterNode", 4: "ConstantNode", 5: "ValuePhiNode", 6: "StoreFieldNode", 7: "StoreFieldNode", 8: "LoadFieldNode", 9: "StoreFieldNode", 10: "LoadFieldNode", 11: "StoreFieldNode"}
+    fields = {6: "f", 7: "f", 8: "f", 9: "g", 10: "h", 11: "h"}
+    nodes = spark.createDataFrame([(i, [t], {"field": fields[i]} if i in fields else None) for i, t in types.items()], "node_id long, types array<string>, attrs map<string,string>")
+    edges = [(1, 6, "object"), (3, 6, "value"), (1, 7, "object"), (4, 5, "x"), (5, 7, "value"), (1, 8, "object"), (2, 9, "object"), (8, 9, "value"), (2, 10, "object"), (2, 11, "object"), (10, 11, "value")]
+    g = PropertyGraph.of(nodes, spark.createDataFrame(edges, "src long, dst long, label string"))
+    assert sorted((r.object, r.field, r.target) for r in analyses.points_to(g).collect()) == [(1, "f", 3), (1, "f", 4), (2, "g", 3), (2, "g", 4)]
+
+
 def test_worklist(spark):
     nodes = spark.createDataFrame([(g, 1, ["Invoke"], "C", m) for g, m in ((1, "b"), (2, "c"), (3, "a"), (4, "a"))], "graph_id long, node_id long, types array<string>, method_class string, method_name string")
     g = PropertyGraph.of(nodes, spark.sql("SELECT 1L AS graph_id, 1L AS src, 1L AS dst"))
@@ -105,11 +126,15 @@ def test_dataflow(spark):
 
 
 def test_ir(spark):
-    nodes = spark.createDataFrame([(0, 1, ["LoopBeginNode"]), (0, 2, ["LoopEndNode"]), (0, 3, ["LoopExitNode"]), (0, 4, ["ValuePhiNode", "PhiNode"]), (0, 5, ["FrameState"]), (0, 6, ["EndNode"]), (0, 7, ["AddNode"])], "graph_id long, node_id long, types array<string>")
-    use = [(0, 1, 2, "loopBegin", None), (0, 1, 3, "loopBegin", None), (0, 7, 4, "values", 2), (0, 7, 5, "values", None), (0, 6, 6, "ends", None), (0, 5, 1, "stateAfter", None), (0, 1, 4, "merge", None), (0, 4, 7, "x", None)]
+    kinds = {1: ["LoopBeginNode"], 2: ["LoopEndNode"], 3: ["LoopExitNode"], 4: ["ValuePhiNode", "PhiNode"], 5: ["FrameState"], 6: ["EndNode"], 7: ["AddNode"], 8: ["MergeNode"], 9: ["ValueProxyNode", "ProxyNode"], 10: ["MemoryPhiNode", "PhiNode"], 11: ["GuardProxyNode", "ProxyNode"]}
+    nodes = spark.createDataFrame([(0, i, t) for i, t in kinds.items()], "graph_id long, node_id long, types array<string>")
+    use = [(0, 1, 2, "loopBegin", None), (0, 1, 3, "loopBegin", None), (0, 7, 4, "values", 2), (0, 7, 5, "values", None), (0, 6, 8, "ends", None), (0, 7, 8, "ends", None), (0, 5, 1, "stateAfter", None), (0, 7, 1, "stateAfter", None)]
+    use += [(0, 1, 4, "merge", None), (0, 1, 10, "merge", None), (0, 4, 7, "x", None), (0, 3, 9, "proxyPoint", None), (0, 7, 9, "value", None), (0, 3, 11, "proxyPoint", None)]
     g = ir.ir_graph(nodes, spark.createDataFrame([(0, 1, 2, None), (0, 2, 1, "back")], "graph_id long, src long, dst long, position string"), spark.createDataFrame(use, "graph_id long, src long, dst long, input string, phi_from long"))
     found = sorted((r.src, r.dst, r.etype, r.label) for r in g.edges.collect())
-    assert found == sorted([(1, 2, "CONTROL", "next"), (2, 1, "CONTROL", "back"), (2, 1, "CONTROL", "next"), (1, 2, "ASSOCIATED", "loopBegin"), (1, 3, "ASSOCIATED", "loopBegin"), (7, 4, "DATA", "from 2"), (7, 5, "ASSOCIATED", "values"), (5, 1, "ASSOCIATED", "stateAfter"), (1, 4, "ASSOCIATED", "merge"), (4, 7, "DATA", "x")])
+    control, beside = [(1, 2, "CONTROL", "next"), (2, 1, "CONTROL", "back"), (2, 1, "CONTROL", "next")], [(1, 2, "loopBegin"), (1, 3, "loopBegin"), (7, 5, "values"), (5, 1, "stateAfter"), (1, 4, "merge"), (3, 9, "proxyPoint")]
+    data = [(7, 4, "from 2"), (7, 8, "ends"), (7, 1, "stateAfter"), (1, 10, "merge"), (4, 7, "x"), (7, 9, "value"), (3, 11, "proxyPoint")]
+    assert found == sorted([*control, *((a, b, "ASSOCIATED", n) for a, b, n in beside), *((a, b, "DATA", n) for a, b, n in data)])
     assert g.adjacent(1, etype="CONTROL", incoming=True).count() == 2
 
 
