@@ -125,17 +125,18 @@ def chain_2hop(spark, sf):
     return flat(match(views.trade(spark, sf), dot("""o [label="is('orders')"]; c [label="is('customer')"]; n [label="is('nation')"]; o -> c [label="name() = 'customer'"]; c -> n [label="name() = 'nation'"]""")))
 
 
-@query(f"WITH {TRADE} SELECT a.src AS c, b.src AS s, a.dst AS n FROM te a JOIN te b ON a.dst = b.dst JOIN tn x ON x.node_id = a.src JOIN tn y ON y.node_id = b.src WHERE list_contains(x.types, 'customer') AND list_contains(y.types, 'supplier')")
+@query("SELECT 3000000000000 + c_custkey AS c, 4000000000000 + s_suppkey AS s, 2000000000000 + c_nationkey AS n FROM customer JOIN supplier ON s_nationkey = c_nationkey")
 def fan_in(spark, sf):
     return flat(match(views.trade(spark, sf), dot("""c [label="is('customer')"]; s [label="is('supplier')"]; n; c -> n; s -> n""")))
 
 
-@query(f"WITH {TRADE} SELECT a.src AS o, a.dst AS p, b.dst AS s FROM te a JOIN te b ON a.src = b.src WHERE a.label = 'part' AND b.label = 'supplier'")
+@query("WITH p AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT 6000000000000 + l_orderkey AS o, 5000000000000 + l_partkey AS p, 4000000000000 + l_suppkey AS s FROM p JOIN s USING (l_orderkey)")
 def fan_out(spark, sf):
     return flat(match(views.trade(spark, sf), dot("""o [label="is('orders')"]; o -> p [label="name() = 'part'"]; o -> s [label="name() = 'supplier'"]""")))
 
 
-@query(f"WITH {TRADE} SELECT a.src AS o, a.dst AS c, b.dst AS s, c.dst AS n FROM te a JOIN te b ON a.src = b.src JOIN te c ON c.src = a.dst JOIN te d ON d.src = b.dst AND d.dst = c.dst WHERE a.label = 'customer' AND b.label = 'supplier' AND c.label = 'nation' AND d.label = 'nation'")
+@query("""WITH b AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), a AS MATERIALIZED (SELECT o_orderkey, c_custkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT 6000000000000 + o_orderkey AS o, 3000000000000 + c_custkey AS c, 4000000000000 + s_suppkey AS s, 2000000000000 + c_nationkey AS n FROM a JOIN b ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey""")
 def diamond(spark, sf):
     return flat(match(views.trade(spark, sf), dot("""o [label="is('orders')"]; o -> c [label="name() = 'customer'"]; o -> s [label="name() = 'supplier'"]; c -> n [label="name() = 'nation'"]; s -> n [label="name() = 'nation'"]""")))
 
@@ -192,10 +193,11 @@ def kleene_paths(spark, sf):
     return flat(match(views.conversation(spark, sf), dot("""u [label="is('user')"]; w; u -> w [label="*|is('CONTROL')"]""")))
 
 
-@query(f"WITH {SESSION} SELECT node_id AS u, '' AS w FROM sn WHERE kind = 'purchase' UNION ALL SELECT src, dst::VARCHAR FROM se JOIN sn a ON a.node_id = src JOIN sn b ON b.node_id = dst WHERE a.kind = 'purchase' AND b.kind = 'signup' UNION ALL SELECT x.src, x.dst || ',' || y.dst FROM se x JOIN se y ON x.dst = y.src JOIN sn a ON a.node_id = x.src JOIN sn b ON b.node_id = x.dst JOIN sn c ON c.node_id = y.dst WHERE a.kind = 'purchase' AND b.kind = 'signup' AND c.kind = 'signup'")
+@query(f"""WITH RECURSIVE {SESSION}, p AS (SELECT node_id AS start, []::BIGINT[] AS path, node_id AS last FROM sn WHERE kind = 'purchase'
+ UNION ALL SELECT p.start, list_append(p.path, dst), dst FROM p JOIN se ON src = p.last JOIN sn ON node_id = dst WHERE kind = 'signup')
+SELECT start AS u, array_to_string(path, ',') AS w FROM p""")
 def kleene_zero(spark, sf):
-    rows = match(views.session(spark, sf), dot("""u [label="is('purchase')"]; w [label="is('signup')"]; u -> w [label="*|is('CONTROL')"]"""))
-    return flat(rows.where(F.size("w") <= 2))
+    return flat(match(views.session(spark, sf), dot("""u [label="is('purchase')"]; w [label="is('signup')"]; u -> w [label="*|is('CONTROL')"]""")))
 
 
 @query(f"""WITH RECURSIVE {SESSION}, p AS (SELECT node_id AS start, []::BIGINT[] AS path, node_id AS last FROM sn WHERE kind = 'signup'
@@ -375,15 +377,14 @@ def export_facts(spark, sf):
     return sinks.facts(views.trade(spark, sf)).select("fact")
 
 
-@query(f"""WITH {RING} SELECT '  "ir' || src || '" -> "ir' || dst || '" [ label="' || label || '", color="' || CASE etype WHEN 'DATA' THEN 'blue"' ELSE 'red", weight="10"' END || ' ];' AS line FROM re""")
+@query(f"""WITH {RING} SELECT '  "ir' || src || '" -> "ir' || dst || '" [ label="' || label || '", color="' || CASE etype WHEN 'DATA' THEN 'blue", style="", weight="1"' ELSE 'red", style="", weight="10"' END || ' ];' AS line FROM re""")
 def export_dot_edges(spark, sf):
     return sinks.dot_edges(views.ring(spark, sf)).select("line")
 
 
-@query(f"""WITH {TRADE} SELECT '  "ir' || node_id || '" [ label="' || name || '", shape="ellipse" ];' AS line FROM tn WHERE NOT list_contains(types, 'orders')""")
+@query(f"""WITH {TRADE} SELECT '  "ir' || node_id || '" [ label="' || name || '", shape="ellipse", root="false" ];' AS line FROM tn""")
 def export_dot_nodes(spark, sf):
-    g = views.trade(spark, sf)
-    return sinks.dot_nodes(PropertyGraph(g.nodes.where(~F.array_contains("types", "orders")), g.edges)).select("line")
+    return sinks.dot_nodes(views.trade(spark, sf)).select("line")
 
 
 @query(f"""WITH {TRADE}, m AS (SELECT src AS s, dst AS n FROM te JOIN tn ON node_id = src WHERE list_contains(types, 'supplier')) SELECT 's' AS "queryVertexName", 'is(''supplier'')' AS query, s AS "irVertexId", name AS "vertexName" FROM m JOIN tn ON node_id = s UNION ALL SELECT 'n', '1 = 1', n, name FROM m JOIN tn ON node_id = n""")
