@@ -6,7 +6,7 @@ return rows of ``documents`` unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, language_id, near_dedup, packing, quality
@@ -16,10 +16,22 @@ from graphloom.llm.shared import Shelf, table
 LEAST_SHARE = 0.3
 
 
-def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``; a row without id stays if one without id was kept."""
-    ids = Shelf(docs.sparkSession, "kept").keep(kept.select(F.col("doc_id").alias("kept_id")).distinct(), "ids")
-    return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def kept_rows(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and text are in ``kept`` (doc_id, text_sha256; ``digest``: the latter of a row of ``docs``).
+
+    Each row is judged by its own text, with an id or without. Of rows that repeat an id and its text, one stays.
+    """
+    own = "row key"
+    while own in docs.columns:
+        own += "_"
+    key = lambda text: F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text), 256)
+    ids = Shelf(docs.sparkSession, "kept").keep(kept.groupBy(key(F.col("text_sha256")).alias(own)).agg(F.count("*").alias("times")), "ids")
+    rows = docs.withColumn(own, key(digest))
+    out = rows.join(ids.where("times = 1").hint("merge"), own, "left_semi").select(docs.columns)
+    if ids.where("times > 1").isEmpty():
+        return out
+    many = rows.join(ids.where("times > 1").hint("merge"), own, "left_semi").groupBy(own).agg(F.first(F.struct(*docs.columns)).alias("one"))
+    return out.unionByName(many.select("one.*"))
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +47,12 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return kept_rows(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    return kept_rows(docs, exact_dedup.exact_dedup(docs).where("kept"), F.sha2(exact_dedup.normalised("text"), 256))
 
 
 def by_likeness(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return kept_rows(docs, near_dedup.near_duplicates(docs).where("kept"))
+    return kept_rows(docs, near_dedup.near_duplicates(docs).where("kept"), F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
