@@ -2,8 +2,10 @@
 
 A text is a byte string. Round 0 splits all rows by their first ``width`` bytes, each later
 round splits the groups that are left by the next bytes, and the digit gets ``growth`` times
-wider each time, so the longest text takes a logarithmic number of rounds. A group leaves as
-soon as it is a singleton or its texts have ended. Rows are equal because all their bytes
+wider each time, so the longest text takes a logarithmic number of rounds. That makes the digit of
+a late round as long as the rest of most texts: what is left there are groups with a common
+beginning of thousands of bytes, nearly always copies, and the round compares their whole rests at
+once. A group leaves as soon as it is a singleton or its texts have ended. Rows are equal because all their bytes
 were equal; no digest decides anything (the SHA-256 of the result is only reported).
 
 Scale: a round makes one partially aggregated count per (group, digit), kept as a table of the
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Shelf, table
@@ -24,6 +26,11 @@ from .shared import Shelf, table
 KEYS = ["grp", "ended", "digit"]
 
 
+def normalised(text: str) -> Column:
+    """The column as it is compared: null as the empty text, A-Z in lower case."""
+    return F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64, growth: int = 8) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -33,8 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict. An empty table gives an empty result; other columns of ``docs`` are not looked at.
     """
     shelf = Shelf(docs.sparkSession, "exact")
-    norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase)
-    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).select(
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).select(
         "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.lit(0).cast("long").alias("grp"), F.col("norm").cast("binary").alias("rest")
     )
     settled, rest = [], rows
@@ -59,6 +65,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if rest.isEmpty():
             break
         width *= growth
+    else:
+        raise RuntimeError("texts of more bytes than there can be")
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
