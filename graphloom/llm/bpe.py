@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
@@ -47,18 +47,27 @@ def tiktoken_encoding(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens=special)
 
 
+def special_strings(special: dict[str, int]) -> regex.Pattern | None:
+    return regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+
+
 class RankMerger:
     """Counts the symbols that are left of each byte sequence once no pair can be merged.
 
     All sequences lie in one ragged array. Each round finds every sequence's lowest-rank pair
     and merges all its occurrences, in all sequences at the same time; sequences without a
     mergeable pair leave the array. A merge can only make pairs of a higher rank than its own,
-    so the rounds give what merging one pair after the other gives.
+    so the rounds give what merging one pair after the other gives. Between two bytes that follow
+    each other in no token a sequence is cut in two, as no merge can reach across; so a long
+    pre-token without blanks, too, is many short sequences.
     """
 
     def __init__(self, path: str):
         vocab, merges, self.special = read_file(path)
         self.first = np.array([vocab[bytes([b])] for b in range(256)], np.int64)
+        self.neighbours = np.zeros(1 << 16, bool)
+        for t in vocab:
+            self.neighbours[[a << 8 | b for a, b in itertools.pairwise(t)]] = True
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int32)
         #: Open addressing; ``probes`` is the longest run of any key.
@@ -93,29 +102,53 @@ class RankMerger:
         return out
 
     def counts(self, sequences: list[bytes]) -> np.ndarray:
-        lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
-        out = lengths.copy()
-        sym = self.first[np.frombuffer(b"".join(sequences), np.uint8)]
-        seq = np.repeat(np.arange(len(sequences)), lengths)
+        """The number of symbols of each sequence."""
+        raw, own, starts = self.cut(sequences)
+        sizes = np.zeros(len(starts))
+        for part, number, _ in self.rounds(raw, starts):
+            sizes[part] = number
+        return np.bincount(own[starts], sizes, len(sequences)).astype(np.int64)
+
+    def ids(self, sequences: list[bytes]) -> list[np.ndarray]:
+        """The symbols of each sequence."""
+        raw, own, starts = self.cut(sequences)
+        done = list(self.rounds(raw, starts))
+        if not done:
+            return [np.empty(0, np.int64) for _ in sequences]
+        part, number, sym = (np.concatenate([d[k] for d in done]) for k in range(3))
+        at = np.cumsum(number) - number
+        order = np.argsort(part, kind="stable")
+        number, at = number[order], at[order]
+        flat = sym[np.repeat(at - (np.cumsum(number) - number), number) + np.arange(number.sum())]
+        return np.split(flat, np.cumsum(np.bincount(own[starts], number, len(sequences)).astype(np.int64))[:-1])
+
+    def cut(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All bytes, the sequence of each, and where parts start: at a sequence's start and between bytes that no token has side by side."""
+        raw = np.frombuffer(b"".join(sequences), np.uint8)
+        own = np.repeat(np.arange(len(sequences)), np.fromiter(map(len, sequences), np.int64, len(sequences)))
+        apart = ~self.neighbours[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        return raw, own, np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | apart][: len(raw)])
+
+    def rounds(self, raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(parts, the number of symbols of each, these symbols) of the parts that are done after each round."""
+        sym = self.first[raw]
+        seq = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(raw)]))
         slot = np.full(len(sym), -1, np.int64)  # of the pair that starts here
         fresh = np.flatnonzero(seq[:-1] == seq[1:])
-        while True:
+        while len(sym):
             slot[fresh] = self.find(sym[fresh], sym[fresh + 1])
             rank = np.where(slot >= 0, self.slot_rank[slot], NEVER)
-            if not len(rank):
-                return out
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             sizes = np.diff(np.r_[starts, len(seq)])
             least = np.minimum.reduceat(rank, starts)
             live = least < NEVER
-            out[seq[starts[~live]]] = sizes[~live]
-            if not live.any():
-                return out
             keep = np.repeat(live, sizes)
+            if not live.all():
+                yield seq[starts[~live]], sizes[~live], sym[~keep]
             chosen = (rank == np.repeat(least, sizes)) & keep
             at = np.flatnonzero(chosen)
             run = at - np.arange(len(at))  # equal in a run of neighbours: a pair of equal symbols overlaps itself
-            begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+            begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
             nth = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
             at = at[(nth & 1) == 0]
             sym[at] = self.slot_made[slot[at]]
@@ -123,11 +156,7 @@ class RankMerger:
             new = np.zeros(len(sym), bool)
             new[at] = True
             slot[at] = -1
-            before = at[at > 0] - 1
             sym, seq, slot, new = sym[keep], seq[keep], slot[keep], new[keep]
-            del before
-            if not len(sym):
-                return out
             new[:-1] |= new[1:]  # the pair before a merged symbol is new as well
             slot[new] = -1
             fresh = np.flatnonzero(new[:-1] & (seq[:-1] == seq[1:]))
@@ -138,8 +167,7 @@ class TokenCounter:
 
     def __init__(self, path: str, remember: int = 800_000):
         self.merger, self.remember, self.known = RankMerger(path), remember, {}
-        self.split = regex.compile(PATTERN).findall
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.merger.special, key=len, reverse=True)))) if self.merger.special else None
+        self.split, self.special = regex.compile(PATTERN).findall, special_strings(self.merger.special)
 
     def __call__(self, texts: Iterable[str | None]) -> list[int]:
         parts, extra = [], []
@@ -159,3 +187,24 @@ class TokenCounter:
             self.known.update(zip(missing, self.merger.counts([x.encode() for x in missing]).tolist(), strict=True))
         get = self.known.__getitem__
         return [sum(map(get, p)) + e for p, e in zip(parts, extra, strict=True)]
+
+
+class LongEncoder:
+    """Ids of texts with pre-tokens of any length, each different pre-token merged once."""
+
+    def __init__(self, path: str):
+        self.merger, self.split = RankMerger(path), regex.compile(PATTERN).findall
+        self.special = special_strings(self.merger.special)
+
+    def __call__(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        for m in self.special.finditer(text) if self.special else ():
+            out += [self.plain(text[at : m.start()]), np.array([self.merger.special[m[0]]])]
+            at = m.end()
+        return np.concatenate([*out, self.plain(text[at:])])
+
+    def plain(self, text: str) -> np.ndarray:
+        parts = self.split(text)
+        known = list(dict.fromkeys(parts))
+        ids = dict(zip(known, self.merger.ids([x.encode() for x in known]), strict=True))
+        return np.concatenate([np.empty(0, np.int64), *map(ids.__getitem__, parts)])

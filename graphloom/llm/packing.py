@@ -16,6 +16,7 @@ input partition with a counter, so a rerun of a lost task gives the same ids.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Characters of a run.
+LONG = 4096
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
 
@@ -89,14 +92,22 @@ def id_source(path: str, end_id: int = 0):
     """text -> its ids and ``end_id``, exactly as the vocabulary file's own library gives them.
 
     The ranks of a byte-level BPE file are read once per worker; special strings inside a text
-    become their special id, as that library's default does.
+    become their special id, as that library's default does. Texts with a run of LONG characters
+    that may be one pre-token take a path without recursion, whose cost doesn't grow with a run's square.
     """
-    from .bpe import tiktoken_encoding
+    from .bpe import LongEncoder, tiktoken_encoding
 
-    enc = tiktoken_encoding(path)
+    enc, long_run, slow = tiktoken_encoding(path), re.compile(rf"\s{{{LONG}}}|\S{{{LONG}}}").search, []
 
     def ids(text: str | None) -> np.ndarray:
-        found = enc.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
+        if not text:
+            return np.array([end_id], "<u4")
+        if len(text) >= LONG and long_run(text):
+            if not slow:
+                slow.append(LongEncoder(path))
+            found = slow[0](text)
+        else:
+            found = enc.encode_to_numpy(text, allowed_special="all")
         return np.append(found, end_id).astype("<u4")
 
     return ids

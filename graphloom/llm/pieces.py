@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 Texts are cut into units (a run of blanks and what follows it: no piece crosses the start of a
-unit). The new units of a batch are one concatenated text: its suffix array is built, every
-piece finds its range of occurrences by binary search, and the occurrences are edges from their
-first position to their end. Edges are sorted by end position and relaxed in that order.
+unit), and between two letters that follow each other in no piece. The new parts of a batch are one
+concatenated text: its suffix array is built, every piece finds its range of occurrences by binary
+search, and the occurrences are edges from their first position to their end. Edges are sorted by
+end position and relaxed in that order, all parts' edges of one offset at once; long parts (few, as
+texts without blanks have many places to cut) one edge after the other, with a table of decisions.
 
 The models are BPE models, so what an edge relaxes is not a score: the encoding of a text's
 prefix is unique, and an edge extends the encoding before it exactly if its piece and the last
@@ -11,7 +13,7 @@ piece before it are what encoding both together gives. That is decided by walkin
 the merges along the touching sides of the two pieces, for all edges of a position at once. So
 the result is the library's own encoding, not an approximation of it.
 
-Scale: a map over the scan. Units seen before are looked up in a bounded table per worker.
+Scale: a map over the scan. Units seen before are looked up in a table per worker, bounded in number and length.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .token_counts import blocks
 
 BLANK = "▁"
 NEVER = np.int64(1 << 40)
+#: Letters of a part that is relaxed alone; decisions and letters of a unit that a worker remembers.
+LONG, DECISIONS, SHORT_UNIT = 256, 1_000_000, 64
 SCHEMA = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
 
@@ -134,6 +138,10 @@ class PieceModel:
             row[: len(p)] = [self.code[c] for c in p]
         self.length = np.array([len(p) for p in usable], np.int64)
         self.ids = np.array([symbol(p) for p in usable], np.int64)
+        #: Pairs of letters that are side by side in a piece.
+        beside = {self.code[a] << 20 | self.code[b] for p in order for a, b in itertools.pairwise(p)}
+        self.beside = np.array(sorted(beside), np.int64)
+        self.decided: dict[int, bool] = {}
         self.letters = np.zeros(0x110000, np.uint64)
         self.letters[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
 
@@ -215,12 +223,19 @@ class PieceModel:
         """The ids of each unit, as little-endian int32 bytes."""
         joined = "".join(units)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        ends = np.cumsum(sizes + 1) - 1  # a 0 stands behind each unit
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        whole = np.repeat(np.arange(len(units)), lengths)
+        key = self.letters[points].astype(np.int64)
+        pair = key[:-1] << 20 | key[1:]
+        apart = self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] != pair if len(self.beside) else np.ones(len(pair), bool)
+        first_of = np.flatnonzero(np.r_[True, (whole[1:] != whole[:-1]) | apart][: len(points)])
+        part_unit = whole[first_of]
+        sizes = np.diff(np.r_[first_of, len(points)])
+        ends = np.cumsum(sizes + 1) - 1  # a 0 stands behind each part
         starts = ends - sizes
-        unit = np.repeat(np.arange(len(units)), sizes)
+        unit = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(points)) + unit
-        n = int(ends[-1]) + 1
+        n = int(ends[-1]) + 1 if len(ends) else 1
         codes = np.zeros(n + self.found.shape[1] + 4, np.uint64)
         codes[place] = self.letters[points]
         words = codes[:-3] << np.uint64(48) | codes[1:-2] << np.uint64(32) | codes[2:-1] << np.uint64(16) | codes[3:]
@@ -239,6 +254,12 @@ class PieceModel:
         begin, end, symbol, step = begin[by], end[by], symbol[by], step[by]
         fresh = begin == origin[begin]
         last_symbol, came = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+        long = np.zeros(n, bool)
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            long[starts[k] : ends[k] + 1] = True
+        slow = long[begin]
+        long_last, long_came = self.relax_long(begin[slow], end[slow], symbol[slow], fresh[slow])
+        begin, end, symbol, step, fresh = (x[~slow] for x in (begin, end, symbol, step, fresh))
         cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.empty(0, np.int64)
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(step)], strict=True):
             b, e, s, take = begin[i:j], end[i:j], symbol[i:j], fresh[i:j].copy()
@@ -247,27 +268,51 @@ class PieceModel:
             last_symbol[e[take]], came[e[take]] = s[take], b[take]
         #: Back from the ends, one symbol a round.
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        at, own = ends.copy(), np.arange(len(units))
-        going = at > starts
+        at, own = ends.copy(), np.arange(len(sizes))
+        going = (at > starts) & (sizes <= LONG)
         at, own = at[going], own[going]
         while len(at):
             found.append((own, came[at], last_symbol[at]))
             at = came[at]
             going = at > starts[own]
             at, own = at[going], own[going]
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            trace, x = [], int(ends[k])
+            while x > starts[k]:
+                trace.append((long_came[x], long_last[x]))
+                x = long_came[x]
+            one = np.array(trace, np.int64)
+            found.append((np.full(len(one), k), one[:, 0], one[:, 1]))
         own, at, ids = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
         by = np.lexsort((at, own))
-        own, at, ids = own[by], at[by], ids[by]
+        own, at, ids = part_unit[own[by]], at[by] - own[by], ids[by]  # places as in the joined text
         cut = np.searchsorted(own, np.arange(len(units) + 1))
         flat, spelled = ids.astype("<i4").tobytes(), np.r_[0, np.cumsum(ids >= self.size)]
         out = [flat[4 * i : 4 * j] for i, j in itertools.pairwise(cut.tolist())]
         for k in np.flatnonzero(spelled[cut[1:]] > spelled[cut[:-1]]).tolist():
             one = []
             for a, s in zip(at[cut[k] : cut[k + 1]].tolist(), ids[cut[k] : cut[k + 1]].tolist(), strict=True):
-                one += [s] if s < self.size else [self.byte_id[b] for b in units[k][a - starts[k]].encode("utf-8", "surrogatepass")]
+                one += [s] if s < self.size else [self.byte_id[b] for b in joined[a].encode("utf-8", "surrogatepass")]
             out[k] = np.array(one, "<i4").tobytes()
         return out
 
+    def relax_long(self, begin: np.ndarray, end: np.ndarray, symbol: np.ndarray, fresh: np.ndarray) -> tuple[dict[int, int], dict[int, int]]:
+        """The last symbol and where it begins, by place, of edges in the order of their ends."""
+        last: dict[int, int] = {}
+        came: dict[int, int] = {}
+        decided = self.decided
+        for b, e, s, first in zip(begin.tolist(), end.tolist(), symbol.tolist(), fresh.tolist(), strict=True):
+            if not first:
+                pair = last[b] << 20 | s
+                if (ok := decided.get(pair)) is None:
+                    if len(decided) > DECISIONS:
+                        decided.clear()
+                    ok = decided[pair] = bool(self.compatible(np.array([last[b]]), np.array([s]))[0])
+                if not ok:
+                    continue
+            last[e], came[e] = s, b
+        return last, came
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes of fallback ids are joined, the dummy prefix goes, marks become blanks."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -297,11 +342,11 @@ class Encoder:
         known = self.known
         missing = list({u for u in set(itertools.chain.from_iterable(parts)) if u not in known})
         fresh = dict(zip(missing, self.model.encode_units(missing), strict=True)) if missing else {}
+        #: Once the table is full, rare units are encoded again in each batch, as long ones always are; the frequent ones came early.
         if len(known) + len(fresh) <= self.remember:
-            known.update(fresh)
-            fresh = known
-        #: Once the table is full, rare units are encoded again in each batch; the frequent ones came early.
-        get = known.__getitem__ if fresh is known or not fresh else lambda u: known.get(u) or fresh[u]
+            known.update((u, x) for u, x in fresh.items() if len(u) <= SHORT_UNIT)
+            fresh = {u: x for u, x in fresh.items() if len(u) > SHORT_UNIT}
+        get = known.__getitem__ if not fresh else lambda u: known.get(u) or fresh[u]
         return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in parts]
 
 

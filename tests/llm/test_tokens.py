@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from graphloom.llm import packing, pieces, token_counts
-from graphloom.llm.bpe import RankMerger, TokenCounter
+from graphloom.llm.bpe import LongEncoder, RankMerger, TokenCounter
 from tokenizers import Tokenizer
 
 from .helpers import TEXTS, no_documents, odd_documents, small
@@ -54,6 +54,31 @@ def test_ids_are_the_librarys(library):
         assert ids(t).tolist() == [*e.ids, 0]
 
 
+@pytest.fixture(scope="module")
+def long_texts():
+    rnd = random.Random(9)
+    n = 2_000_000
+    return [" " * n, "\n" * n, "x" + " " * n + "y", " \n\t" * (n // 3) + "end", "a" * n, "ab" * (n // 2), "中" * n, "".join(chr(rnd.randrange(0x4E00, 0x9F00)) for _ in range(300_000)), "<|endoftext|>" + "-=" * 100_000 + "<|endoftext|>", "ACGT" * 5000 + "".join(rnd.choices("acgt", k=200_000))]
+
+
+def test_long_runs(library, long_texts):
+    """Millions of blanks, line ends, one letter, letters of an unspaced script: counts and ids are the library's."""
+    ids, count = packing.id_source(BPE), TokenCounter(BPE)
+    for t in long_texts:
+        want = library.encode(t, add_special_tokens=False).ids
+        assert ids(t)[:-1].tolist() == want, t[:10]
+        assert count([t]) == [len(want)]
+    short = odd_texts(300, seed=3)
+    slow = LongEncoder(BPE)
+    assert [slow(t).tolist() for t in short] == [x.ids for x in library.encode_batch(short, add_special_tokens=False)]
+
+
+def test_op8_long_runs(spark, library, long_texts):
+    docs = list(enumerate(long_texts[:6]))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert sum(check_pieces(docs, packing.packed(df, BPE).collect(), library)) > 0
+
+
 def check_pieces(docs, rows, library):
     """Every id of every document lies in exactly one piece, sequences are gapless and full enough."""
     want = sorted((i, len(ids := [*library.encode(t or "", add_special_tokens=False).ids, 0]), ids) for i, t in docs if i is not None)
@@ -115,6 +140,13 @@ def test_pieces_are_the_librarys(processor):
     assert [encode.model.decode(x.tolist()) for x in got] == [processor.decode(w) for w in want]
 
 
+def test_long_units(processor):
+    """Texts without blanks: one letter, two, words run together, an unspaced script, letters that no piece has."""
+    rnd = random.Random(10)
+    texts = ["a" * 30_000, "ab" * 10_000, "the" * 10_000 + "end", "".join(chr(rnd.randrange(0x4E00, 0x9F00)) for _ in range(100_000)), "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=50_000)), "中文字" * 30_000, "\U0001f600" * 20_000, "=-" * 20_000, "x" * 255 + " " + "x" * 256 + " " + "x" * 257, ""]
+    assert [x.tolist() for x in pieces.Encoder(PIECES)(texts)] == processor.encode(texts)
+
+
 def test_runs_of_blanks(processor):
     texts = [" " * n + "the" * (n % 2) for n in range(70)]
     assert [x.tolist() for x in pieces.Encoder(PIECES)(texts)] == processor.encode(texts)
