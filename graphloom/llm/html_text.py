@@ -3,10 +3,18 @@
 A tree builder closes what HTML implies to be closed (paragraphs, list items, table parts),
 visibility rules drop what a browser doesn't show, and a renderer lays out the rest: one line a
 block, a blank line around paragraphs and the like, list markers with indentation, cells of a
-table padded to the widths of their columns.
+table padded to the widths of their columns, over spanned columns and rows too; a cell of several
+lines, such as a list or a table inside, takes several lines of its row.
+
+Rules of the layout that keep any page's text in proportion to the page: a table whose padding
+would pass SPARSE times its letters has its cells one below the other; tables inside more than
+DEPTH tables are plain blocks; indentation grows up to INDENT columns; row spans are followed in the
+first SPANNED columns. No text is dropped by them.
 
 Scale: a map over the scan; a page is held as one flat list of nodes and rendered without
-recursion, so nesting of any depth and pages of any length need memory in proportion only.
+recursion, in time and memory in proportion to its length, whatever its markup: the tokenizer
+remembers what it has found not to close, and the tree builder keeps stacks of the open elements
+that each rule asks for.
 """
 
 from __future__ import annotations
@@ -30,7 +38,9 @@ def words(s: str) -> frozenset[str]:
 #: Fixed values of HTML.
 VOID = words("area base br col embed hr img input link meta param source track wbr")
 RAW = words("script style textarea title xmp iframe noembed noframes plaintext")
-HIDDEN = words("head script style template noscript title iframe object canvas svg math audio video datalist param noembed noframes select input textarea link meta base col colgroup")
+HIDDEN = words("head script style template noscript title iframe object canvas audio video datalist param noembed noframes link meta base col colgroup defs desc metadata symbol annotation annotation-xml")
+ESCAPABLE = words("textarea title")
+TYPED = words("text search submit button reset email url tel number")
 BLOCK = words(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr td th thead tbody tfoot caption option optgroup"
@@ -43,6 +53,7 @@ IMPLIED = {
     "dt": (words("dt dd"), words("dl table td th")),
     "dd": (words("dt dd"), words("dl table td th")),
     "option": (words("option"), words("select datalist optgroup")),
+    "select": (words("select option optgroup"), words("table td th")),
     "tr": (words("tr td th caption colgroup"), words("table thead tbody tfoot")),
     "td": (words("td th caption"), words("tr table")),
     "th": (words("td th caption"), words("tr table")),
@@ -51,13 +62,87 @@ IMPLIED = {
     "tfoot": (words("thead tbody tfoot tr td th caption colgroup"), words("table")),
     "body": (words("head"), words("html")),
 }
-P_LIMIT = words("table td th caption button object")
+#: The p key is for all elements of ENDS_P.
+RULES = IMPLIED | {"p": (words("p"), words("table td th caption button object"))}
+#: tag -> the keys of RULES that ask for it.
+ASKED = {t: tuple(k for k, (names, limit) in RULES.items() if t in names | limit) for t in frozenset().union(*(n | limit for n, limit in RULES.values()))}
+CELLS = words("td th table")
+THROUGH_CELLS = words("table tr thead tbody tfoot td th body html")
 HEADINGS = words("h1 h2 h3 h4 h5 h6")
+SPARSE, DEPTH, INDENT, SPANNED = 8, 16, 64, 256
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
+NAME = re.compile(r"""[a-zA-Z][^\s/<>"']*""")
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+REFERENCE = re.compile(r"&#0*([0-9]+);?")
+
+
+def unescape(s: str) -> str:
+    """Character references as characters; numbers beyond all characters as the replacement character."""
+    if "&" not in s:
+        return s
+    if "&#" in s:
+        s = REFERENCE.sub(lambda m: f"&#{m[1]};" if len(m[1]) < 8 else "\ufffd", s)
+    return html.unescape(s)
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str, int]]:
+    """("text", text, "", end), ("open", name, attributes, end) or ("close", name, "", end) of a page.
+
+    What looks like a tag but never ends is text. The receiver may send the place to go on from.
+    """
+    at, size, last, stop = 0, len(source), source.rfind(">"), -1
+    failed: set[int] = set()  # quotes that open outside of others and after which no tag ends
+
+    def next_stop(pos: int) -> int:
+        m = STOP.search(source, pos)
+        return m.start() if m else size
+
+    while at < size:
+        lead = source.find("<", at)
+        if lead != at:
+            end = size if lead < 0 else lead
+            yield "text", source[at:end], "", end
+            at = end
+            continue
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if at > last:  # no tag any more
+            end = source.find("<!--", at)
+            yield "text", source[at : size if end < 0 else end], "", at
+            at = size if end < 0 else end
+            continue
+        if at < last:
+            after = source[at + 1]
+            if after in "!?":
+                at = source.index(">", at) + 1
+                continue
+            if after == "/" and (m := NAME.match(source, at + 2)):
+                at = source.index(">", m.end()) + 1
+                yield "close", m[0].lower(), "", at
+                continue
+            if m := NAME.match(source, at + 1):
+                if stop < m.end():  # else it is the first one from here on, too
+                    stop = next_stop(m.end())
+                end, walked = stop, []
+                while end < size and source[end] != ">" and end not in failed:
+                    walked.append(end)
+                    shut = source.find(source[end], end + 1)
+                    end = next_stop(shut + 1) if shut >= 0 else size
+                if end < size and source[end] == ">":
+                    went = yield "open", m[0].lower(), source[m.end() : end], end + 1
+                    at = went or end + 1
+                    continue
+                failed.update(walked)
+        end = source.find("<", at + 1)
+        end = size if end < 0 else end
+        yield "text", source[at:end], "", end
+        at = end
 
 
 class Tree:
@@ -65,74 +150,93 @@ class Tree:
 
     def __init__(self, source: str):
         self.tag, self.text, self.attrs, self.children = ["#root"], [""], [{}], [[]]
-        open_ = [0]
-        tag = self.tag
+        tag, open_ = self.tag, [0]
+        #: Places in open_ of the open elements by name, by rule that asks for them, and of cells and tables.
+        by_name: dict[str, list[int]] = {}
+        by_rule: dict[str, list[int]] = {k: [] for k in RULES}
+        cells: list[int] = [0]
 
         def add(name: str, text: str, attrs: dict) -> int:
             tag.append(name), self.text.append(text), self.attrs.append(attrs), self.children.append([])
             self.children[open_[-1]].append(len(tag) - 1)
             return len(tag) - 1
 
-        def close(names: frozenset[str], limit: frozenset[str]) -> None:
-            """Close the outermost open element of ``names`` above the nearest of ``limit``."""
-            for k in range(len(open_) - 1, 0, -1):
-                name = tag[open_[k]]
-                if name in limit:
+        def push(node: int) -> None:
+            name, k = tag[node], len(open_)
+            open_.append(node)
+            by_name.setdefault(name, []).append(k)
+            for rule in ASKED.get(name, ()):
+                by_rule[rule].append(k)
+            if name in CELLS:
+                cells.append(k)
+
+        def pop_to(k: int) -> None:
+            while len(open_) > k:
+                name = tag[open_.pop()]
+                by_name[name].pop()
+                for rule in ASKED.get(name, ()):
+                    by_rule[rule].pop()
+                if name in CELLS:
+                    cells.pop()
+
+        def close(rule: str) -> None:
+            """Close the outermost open element that the rule closes above the nearest of its limit."""
+            names, asked, k = RULES[rule][0], by_rule[rule], 0
+            for i in range(len(asked) - 1, -1, -1):
+                if tag[open_[asked[i]]] not in names:
                     break
-                if name in names:
-                    del open_[k:]
-            return
-
-        at, size = 0, len(source)
-        counted: dict[str, int] = {}
-        while at < size:
-            m = TOKEN.match(source, at)
-            if m is None:  # a "<" whose tag never ends
-                add("", html.unescape(source[at:]), {})
-                break
-            at = m.end()
-            if m[4]:
-                add("", html.unescape(m[4]) if "&" in m[4] else m[4], {})
-            elif m[2]:
-                name = m[2].lower()
-                if open_[-1] and tag[open_[-1]] == "head" and name not in HIDDEN and name not in ("head", "html"):
-                    open_.pop()  # the body is implied
+                k = asked[i]
+            if k:
+                pop_to(k)
+
+        stream = tokens(source)
+        token = next(stream, None)
+        while token:
+            kind, name, inside, at = token
+            went = None
+            if kind == "text":
+                add("", unescape(name), {})
+            elif kind == "open":
+                if tag[open_[-1]] == "head" and name not in HIDDEN and name not in ("head", "html"):
+                    pop_to(len(open_) - 1)  # the body is implied
                 if name in IMPLIED:
-                    close(*IMPLIED[name])
+                    close(name)
                 if name in ENDS_P:
-                    close(frozenset(("p",)), P_LIMIT)
+                    close("p")
                 if name in HEADINGS and tag[open_[-1]] in HEADINGS:
-                    open_.pop()
-                attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {}
+                    pop_to(len(open_) - 1)
+                attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(inside)} if inside.strip(" /\n\t") else {}
                 node = add(name, "", attrs)
                 if name in RAW:
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                    inner, at = (source[at : end.start()], end.end()) if end else (source[at:], size)
-                    open_.append(node), add("", inner, {}), open_.pop()
-                elif name not in VOID:
-                    open_.append(node)
-                    counted[name] = counted.get(name, 0) + 1
-            elif m[1]:
-                name = m[1].lower()
-                if name == "br":
-                    add("br", "", {})
-                elif name == "p" and not any(tag[x] == "p" for x in open_):
-                    add("p", "", {})
-                elif counted.get(name):
-                    for k in range(len(open_) - 1, 0, -1):
-                        if tag[open_[k]] == name:
-                            del open_[k:]
-                            break
-                        if tag[open_[k]] in ("td", "th", "table") and name not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html"):
-                            break
-
-
-def visible(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in HIDDEN:
-        return False
-    if not attrs:
-        return True
-    return not ("hidden" in attrs or INVISIBLE.search(attrs.get("style", "")))
+                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
+                    stop = source.find(">", end.end()) if end else -1
+                    inner, went = (source[at : end.start()], stop + 1) if stop >= 0 else (source[at:], len(source))
+                    push(node), add("", unescape(inner) if name in ESCAPABLE else inner, {}), pop_to(len(open_) - 1)
+                elif name not in VOID and not (inside.endswith("/") and by_name.get("svg")):
+                    push(node)
+            elif name == "br":
+                add("br", "", {})
+            elif name == "p" and not by_name.get("p"):
+                add("p", "", {})
+            elif by_name.get(name) and (name in THROUGH_CELLS or by_name[name][-1] >= cells[-1]):
+                pop_to(by_name[name][-1])
+            try:
+                token = stream.send(went) if went else next(stream)
+            except StopIteration:
+                break
+
+    def shown_options(self, select: int) -> set[int]:
+        """The options of a select element that a browser shows: all of a list, else the selected one or the first."""
+        found, stack = [], [select]
+        while stack:
+            x = stack.pop()
+            if self.tag[x] == "option":
+                found.append(x)
+            stack.extend(reversed(self.children[x]))
+        size = self.attrs[select].get("size", "")
+        if "multiple" in self.attrs[select] or re.fullmatch(r"\d{1,9}", size) and int(size) > 1:
+            return set(found)
+        return set([x for x in found if "selected" in self.attrs[x]][-1:] or found[:1])
 
 
 def width(s: str) -> int:
@@ -178,18 +282,75 @@ class Page:
             self.marker = ""
 
 
+class Table:
+    """The cells of a table: (row, column, lines)."""
+
+    def __init__(self):
+        self.cells: list[tuple[int, int, list[str]]] = []
+        self.row, self.column = -1, 0
+        self.until: dict[int, int] = {}  # column -> last row that a cell above reaches into
+
+    def next_row(self) -> None:
+        self.row, self.column = self.row + 1, 0
+
+    def add(self, lines: list[str], columns: int, rows: int) -> None:
+        if self.row < 0:
+            self.next_row()
+        while self.column < SPANNED and self.until.get(self.column, -1) >= self.row:
+            self.column += 1
+        if lines:
+            self.cells.append((self.row, self.column, lines))
+        if rows > 1:
+            self.until.update(dict.fromkeys(range(self.column, min(self.column + columns, SPANNED)), self.row + rows - 1))
+        self.column += columns
+
+    def lines(self) -> list[str]:
+        """One line a row, or as many as its longest cell has; cells are padded to the width of their column, columns are two blanks apart."""
+        wide: dict[int, int] = {}
+        for _, c, lines in self.cells:
+            wide[c] = max(wide.get(c, 0), max(map(width, lines)))
+        place, at = {}, 0
+        for c in sorted(wide):
+            place[c], at = at, at + wide[c] + 2
+        letters = sum(len(x) - x.count(" ") for _, _, lines in self.cells for x in lines)
+        out: list[list] = []
+        room, row, k = SPARSE * letters + 256, -1, 0
+        for r, c, lines in self.cells:
+            if r != row:
+                row, k = r, len(out)
+            for i, x in enumerate(lines):
+                if k + i == len(out):
+                    out.append([0])
+                line = out[k + i]
+                if x:
+                    line.append(" " * (place[c] - line[0]) + x)
+                    room -= place[c] - line[0] + len(x)
+                    line[0] = place[c] + width(x)
+                if room < 0:
+                    return [x for _, _, lines in self.cells for x in lines]
+        return ["".join(line[1:]) for line in out]
+
+
+def number(text: str, most: int) -> int:
+    return min(max(1, int(text)), most) if re.fullmatch(r"\d{1,9}", text) else 1
+
+
 def render(source: str) -> str:
     """The visible text of a page, laid out."""
     tree = Tree(source)
-    pages, stack = [Page()], [("open", 0)]
+    pages: list[Page] = [Page()]
+    stack: list[tuple] = [("open", 0, True)]  # (step, node, whether visibility is on, or what the step restores)
     lists: list[list] = []  # of open lists: [ordered, number]
-    tables: list[list[list[str]]] = []
+    tables: list[Table | None] = []
+    hidden_options: set[int] = set()
     pre = 0
     while stack:
-        step, x = stack.pop()
+        step, x, how = stack.pop()
         page, tag = pages[-1], tree.tag[x]
         if step == "open":
             if not tag:
+                if not how:
+                    continue
                 if pre:
                     for k, part in enumerate(tree.text[x].split("\n")):
                         if k:
@@ -200,64 +361,84 @@ def render(source: str) -> str:
                 else:
                     page.inline(tree.text[x])
                 continue
-            if not visible(tag, tree.attrs[x]):
+            attrs = tree.attrs[x]
+            if tag in HIDDEN or x in hidden_options:
                 continue
+            if attrs:
+                style = attrs.get("style", "")
+                if "hidden" in attrs or NO_BOX.search(style):
+                    continue
+                if own := VISIBILITY.findall(style):
+                    how = own[-1].lower() == "visible"
             if tag == "br":
                 if page.line:
                     page.end()
                 continue
-            if tag == "img":
-                if tree.attrs[x].get("alt", "").strip():
-                    page.inline(f" {tree.attrs[x]['alt']} ")
+            if tag in ("img", "input"):
+                said = attrs.get("alt", "") if tag == "img" else attrs.get("value", "") if attrs.get("type", "text").lower() in TYPED else ""
+                if how and said.strip():
+                    page.inline(f" {said} ")
                 continue
             if tag in BLOCK:
                 page.end()
                 page.gap = page.gap or tag in SPACED and not (tag in ("ul", "ol") and lists)
             if tag == "hr":
-                page.put("---")
+                if how:
+                    page.put("---")
                 page.gap = True
                 continue
-            if tag in ("ul", "ol", "menu", "dir"):
-                start = tree.attrs[x].get("start", "1")
-                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, page.prefix])
+            if tag == "select":
+                shown = tree.shown_options(x)
+                inner = list(tree.children[x])
+                while inner:
+                    y = inner.pop()
+                    if tree.tag[y] == "option" and y not in shown:
+                        hidden_options.add(y)
+                    inner.extend(tree.children[y])
+            elif tag in ("ul", "ol", "menu", "dir"):
+                start = attrs.get("start", "1")
+                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
             elif tag == "li":
-                own = lists[-1] if lists else [False, 1, page.prefix]
+                own = lists[-1] if lists else [False, 1]
                 mark = f"{own[1]}. " if own[0] else "- "
                 own[1] += 1
-                page.marker = (page.marker or page.prefix) + mark
-                page.prefix = page.prefix + " " * len(mark)
-                stack.append((f"prefix {len(mark)}", x))
+                stack.append(("prefix", x, page.prefix))
+                if len(page.marker) < INDENT:
+                    page.marker = (page.marker or page.prefix) + mark
+                if len(page.prefix) < INDENT:
+                    page.prefix += " " * len(mark)
             elif tag == "dd" or tag == "blockquote":
-                page.prefix += "  " if tag == "dd" else "> "
-                stack.append(("prefix 2", x))
+                stack.append(("prefix", x, page.prefix))
+                if len(page.prefix) < INDENT:
+                    page.prefix += "  " if tag == "dd" else "> "
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
-                tables[-1].append([])
-            elif tag in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
+                tables.append(Table() if len(tables) < DEPTH else None)
+            elif tag == "tr" and tables and tables[-1]:
+                tables[-1].next_row()
+            elif tag in ("td", "th") and tables and tables[-1]:
                 pages.append(Page())
+                stack.append(("cell", x, (lists, tables[-1])))
+                lists = []
             elif tag == "pre":
                 pre += 1
-            stack.append(("close", x))
-            stack.extend(("open", c) for c in reversed(tree.children[x]))
+            stack.append(("close", x, None))
+            stack.extend(("open", c, how) for c in reversed(tree.children[x]))
             continue
-        if step.startswith("prefix"):
+        if step == "prefix":
             page.end()
-            page.prefix = page.prefix[: len(page.prefix) - int(step.split()[1])]
-            page.marker = ""
+            page.prefix, page.marker = how, ""
             continue
-        if tag in ("td", "th") and tables and len(pages) > 1:
+        if step == "cell":
             page.end()
             pages.pop()
-            span = tree.attrs[x].get("colspan", "1")
-            tables[-1][-1].append(SPACE.sub(" ", " ".join(line.strip() for line in page.lines if line.strip())))
-            tables[-1][-1].extend([""] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,6}", span) else 0))
+            lists, mine = how
+            attrs = tree.attrs[x]
+            mine.add(page.lines, number(attrs.get("colspan", "1"), 1000), number(attrs.get("rowspan", "1"), 65534))
             continue
         if tag == "table" and tables:
             page.end()
-            for line in aligned(tables.pop()):
+            done = tables.pop()
+            for line in done.lines() if done else ():
                 page.put(line)
         elif tag in ("ul", "ol", "menu", "dir") and lists:
             lists.pop()
@@ -270,14 +451,6 @@ def render(source: str) -> str:
     return "\n".join(line.rstrip() for line in pages[0].lines)
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """One line a row; cells are padded to the width of their column, columns are two blanks apart."""
-    rows = [r for r in rows if any(r)]
-    columns = max(map(len, rows), default=0)
-    wide = [max((width(r[k]) for r in rows if k < len(r)), default=0) for k in range(columns)]
-    return ["  ".join(c + " " * (wide[k] - width(c)) for k, c in enumerate(r)).rstrip() for r in rows]
-
-
 def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, text, n_chars of each page.
 

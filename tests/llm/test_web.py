@@ -73,6 +73,15 @@ def test_rerun_of_a_lost_task(spark, tmp_path):
         ("a < b <c", "a < b <c"),
         ("<img alt='pic'><img src=x>z", "pic z"),
         ("<p>unclosed <a href='x", "unclosed <a href='x"),
+        ("<a title='1 > 0'>x</a><b c=\"'>y</b><i>", "x<b c=\"'>y"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td><ul><li>a<li>b</ul><td>c<tr><td>d<td>e</table>", "- a  c\n- b\nd    e"),
+        ("<table><tr><td>x<td><table><tr><td>aa<td>b<tr><td>c<td>d</table><tr><td>y<td>z</table>", "x  aa  b\n   c   d\ny  z"),
+        ("<table><tr><td><pre>a\n  b</pre><td>c</table>", "a    c\n  b"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<textarea>a &lt;b></textarea> <select><option>one<option selected>two</select> <select multiple><option>p<option>q</select>", "a <b>\ntwo\np\nq"),
+        ("<input value=go type=submit><input type=hidden value=no><svg><title>no</title><text>yes</text></svg><math><mi>x</mi></math>", "go yesx"),
+        ("&#65;&#00066;&#99999999999;&#" + "9" * 6000 + ";", "AB\ufffd\ufffd"),
     ],
 )
 def test_render(page, text):
@@ -86,6 +95,28 @@ def test_render_survives():
         assert "x" in render(junk)
 
 
+def letters(text):
+    return sum(len(x) for x in text.split())
+
+
+@pytest.mark.parametrize(
+    "page, most",
+    [
+        ("<p x='" * 80_000, 2), ("</a " * 800_000, 2), ("<a " * 160_000, 2), ("<a " * 160_000 + "'>", 2), ("<a<a" * 80_000 + "'>", 2), ("<p x='\"" * 40_001 + ">", 2), ("<div>" * 200_000 + "x</p>y", 2), ("<p><div>" * 100_000 + "x", 2),
+        ("<p><table><td>" + "<div>" * 100_000 + "x", 2), ("<ul>" + "<div>" * 50_000 + "<li>x" * 50_000, 20), ("<b><td>" + "<div>" * 50_000 + "</b>x" * 50_000, 4),
+        ("<table>" + "<tr><td>a<td>" * 50_000 + "b" * 60_000 + "<td>c</table>", 20), ("<table>" + "<tr><td>" + "w" * 200 + "<td>x" * 500 + "<tr><td>y" * 20_000, 20), ("<table><tr>" + "<td colspan=1000>x" * 50_000, 20),
+        ("<table><tr>" + "<td rowspan=65534>x" * 20_000 + "<tr><td>y" * 20_000, 20), ("<ul><li>x" * 50_000, 80), ("<blockquote>x" * 50_000, 80), ("<table><tr><td>x" * 20_000, 40), ("<script>" + "</script " * 50_000, 2),
+    ],
+)
+def test_render_is_linear(page, most):
+    """Broken and deep pages: in time, and in text of at most ``most`` characters for each letter shown (and a few)."""
+    import time
+
+    began = time.process_time()
+    text = render(page)
+    assert time.process_time() - began < 4 and len(text) <= most * letters(text) + 1000
+
+
 def test_op3(spark):
     out = {(r.page_id, r.n_chars): r.text for r in html_text.html_text(pages(spark)).collect()}
     assert out[1, 1] == "x" and out[2, 0] == "" and len(out) == 8
