@@ -11,12 +11,16 @@ pair of the wanted likeness cannot all lack (the rarest ones first), and Jaccard
 only where the lengths allow the likeness.
 
 Scale of ``with_next``: the text moves once, dealt by ranges of ids that hold about
-``RANGE_ROWS`` documents each (at most ``MAX_RANGES`` ranges, which bounds the table of their
-first ids that is broadcast). No global sort, no task with all rows.
+``RANGE_ROWS`` documents each (about ``MAX_RANGES`` ranges at most, which bounds the table of their
+first ids that is broadcast). Ranges are of equal width; one with too many rows, as ids may lie
+anywhere, is split into narrower ones until none has, and rows without id are dealt by the digest
+of their text. No global sort, no task with all rows.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ ANCHORS = (
     "de la que el los se por una "
     "le les et des est une pour dans"
 ).split()
-RANGE_ROWS, MAX_RANGES = 64, 65_536
+RANGE_ROWS, MAX_RANGES, PARTS = 64, 65_536, 64
 MARK = "\x01"
 
 
@@ -71,28 +75,53 @@ def as_text(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")), " ")
 
 
+def ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` (lane, at) with ``start``, the first place of the range that the row is in: ranges of equal width in each lane,
+    and ever narrower ones (by PARTS) where a range has more than 8 times its share of rows and more than one place."""
+    spark = rows.sparkSession
+    lanes = rows.groupBy("lane").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")).collect()
+    total = sum(x["n"] for x in lanes)
+    share = max(RANGE_ROWS, -(-total // MAX_RANGES))
+    width = {x["lane"]: max(1, -(-(x["high"] - x["low"] + 1) // max(1, x["n"] // share))) for x in lanes}
+    place = "decimal(38,0)"
+    cell = lambda low, w: F.call_function("div", F.col("at").cast("decimal(20,0)") - low, w).cast(place) * w + low
+    start = F.lit(None).cast(place)
+    for x in lanes:
+        start = F.when(F.col("lane") == x["lane"], cell(F.lit(x["low"]).cast("decimal(20,0)"), F.lit(width[x["lane"]]).cast("decimal(20,0)")).cast(place)).otherwise(start)
+    rows = rows.withColumn("start", start)
+    while any(w > 1 for w in width.values()):
+        heavy = rows.groupBy("lane", "start").agg(F.count("*").alias("n")).where(F.col("n") > 8 * share).collect()
+        width = {k: max(1, -(-w // PARTS)) for k, w in width.items()}
+        if not heavy:
+            break
+        #: At most total / (8 * share) rows, so MAX_RANGES / 8.
+        split = spark.createDataFrame([(x["lane"], x["start"], Decimal(width[x["lane"]])) for x in heavy], f"lane int, start {place}, width decimal(20,0)")
+        rows = rows.join(F.broadcast(split), ["lane", "start"], "left")
+        rows = rows.withColumn("start", F.when(F.col("width").isNotNull(), cell(F.col("start"), F.col("width")).cast(place)).otherwise(F.col("start"))).drop("width")
+    return rows
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, sigs, next_text, next_sigs: each row and the one that follows it by id (after the last: the first).
 
-    Rows without id come first; rows of one id follow each other by text. A single row follows itself.
+    Rows without id come first, by the digest of their text; rows of one id follow each other by text (they
+    share a task, however many). A single row follows itself.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = rows.select(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
-    width = max(1.0, (high - low + 1) / ranges)
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low)) / width), F.lit(-1)).cast("long")
-    rows = rows.withColumn("bucket", bucket)
-    #: At most MAX_RANGES + 2 rows.
-    firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first_id")).orderBy("bucket").collect()
-    to = [(r["bucket"], r["first_id"], firsts[k - 1]["bucket"]) for k, r in enumerate(firsts)]
-    before = F.broadcast(spark.createDataFrame(to, "bucket long, first_id long, before long"))
-    main = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("copy"))
-    copy = F.struct(F.col("before").alias("at"), F.lit(True).alias("copy"))
-    dealt = rows.join(before, "bucket").withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(main, copy)).otherwise(F.array(main))))
-    dealt = dealt.select("doc_id", "text", "to.at", "to.copy").repartition("at").withColumn("sigs", signatures(F.col("text")))
-    w = Window.partitionBy("at").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
+    digest = F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long")
+    #: Texts are only read for ranges if a row needs a digest.
+    at = F.col("doc_id") if rows.where("doc_id IS NULL").isEmpty() else F.coalesce("doc_id", digest)
+    rows = ranges(rows.select("doc_id", "text", F.col("doc_id").isNotNull().cast("int").alias("lane"), at.alias("at")))
+    #: A row a range.
+    firsts = rows.groupBy("lane", "start").agg(F.min("at").alias("first")).orderBy("lane", "start").collect()
+    to = [(r["lane"], r["start"], r["first"], k, (k - 1) % len(firsts)) for k, r in enumerate(firsts)]
+    known = F.broadcast(spark.createDataFrame(to, "lane int, start decimal(38,0), first long, number long, before long"))
+    main = F.struct(F.col("number").alias("to"), F.lit(False).alias("copy"))
+    copy = F.struct(F.col("before").alias("to"), F.lit(True).alias("copy"))
+    dealt = rows.join(known, ["lane", "start"]).withColumn("where", F.explode(F.when(F.col("at") == F.col("first"), F.array(main, copy)).otherwise(F.array(main))))
+    dealt = dealt.select("doc_id", "text", "lane", "at", "where.to", "where.copy").repartition("to").withColumn("sigs", signatures(F.col("text")))
+    w = Window.partitionBy("to").orderBy("copy", "lane", "at", "text")
     return dealt.select("doc_id", "text", "copy", "sigs", F.lead("text").over(w).alias("next_text"), F.lead("sigs").over(w).alias("next_sigs")).where("NOT copy").drop("copy")
 
 

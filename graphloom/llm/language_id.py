@@ -6,9 +6,9 @@ likely. The language set is chosen by penalised likelihood: languages join in th
 their proportions as long as the likelihood rises by more than the penalty. The prediction is
 the largest proportion of the chosen set, which is the score.
 
-Scale: fitting counts the languages (one small aggregation), then sums the gram counts of at
-most about ``docs_per_lang`` documents a language inside the tasks; what reaches the driver
-is one row of ``buckets`` numbers a language and task group. Prediction is a map over the
+Scale: fitting counts the languages (one small aggregation) and learns the ``most_langs`` most frequent,
+then sums the gram counts of at most about ``docs_per_lang`` documents of each inside the tasks; what
+reaches the driver is at most one number a language learned and bucket. Prediction is a map over the
 scan with the model (languages x buckets floats) in the closure.
 """
 
@@ -37,14 +37,15 @@ class Model:
     buckets: int
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 4096, docs_per_lang: int = 2000, smooth: float = 0.5) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 4096, docs_per_lang: int = 2000, most_langs: int = 256, smooth: float = 0.5) -> Model:
     """Gram distributions of the languages in ``labelled``; rows without text or language teach nothing.
 
     ``docs_per_lang`` bounds the sample: of a language with more documents, those whose hashed id
-    and text fall below the fitting share (about that many) are read.
+    and text fall below the fitting share (about that many) are read. ``most_langs`` bounds the model: of
+    more distinct languages, those of the most documents are learned, of as many documents the first by name.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((buckets, 0)), buckets)
@@ -137,8 +138,17 @@ def predict(docs: DataFrame, model: Model, held_out: Column | None = None, id_co
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
-def keep_known(docs: DataFrame, model: Model, least_share: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, whose main language has at least that share."""
+def evidence(counts: np.ndarray, share: np.ndarray, model: Model) -> np.ndarray:
+    """By how much the mixture of each row makes a gram of it more likely (natural log, on average) than if all were equally
+    likely: above 0 for text in the learned languages, below for noise and for languages unlike them. 0 without a gram."""
+    n = counts.sum(axis=1)
+    likely = np.einsum("ij,ij->i", counts, np.log(share.astype(np.float32) @ model.probs.T.astype(np.float32) + np.float32(1e-30)))
+    return np.where(n > 0, likely / np.maximum(n, 1) + np.log(model.buckets), 0.0)
+
+
+def keep_known(docs: DataFrame, model: Model, least_share: float, least_evidence: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose mixture has more than that evidence (see ``evidence``) and whose main language has
+    at least that share. Null texts, texts without a letter and all rows, where no language was learned, go."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +156,10 @@ def keep_known(docs: DataFrame, model: Model, least_share: float, text_col: str
         for b in batches:
             texts, keep = [t or "" for t in b.column(at).to_pylist()], []
             for i, j in blocks(texts, 300_000):
-                share, n = mixtures(grams.gram_counts(texts[i:j], model.buckets, letters), model)
-                keep += [bool(model.langs and k > 0 and row.max() >= least_share) for row, k in zip(share, n, strict=True)]
+                counts = grams.gram_counts(texts[i:j], model.buckets, letters)
+                share, n = mixtures(counts, model)
+                known = evidence(counts, share, model) > least_evidence if model.langs else n < 0
+                keep += ((n > 0) & known & (share.max(axis=1, initial=0) >= least_share)).tolist()
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -142,14 +142,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets
                 x = features(texts[i:j], measured[i:j], buckets)
                 used = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([posterior.get(votes(m), 0.5) for m in measured[i:j]]), pa.array(used, pa.list_(pa.int16())), pa.array([r[u] for r, u in zip(x, used, strict=True)], pa.list_(pa.float32()))],
-                    names=["y", "at", "x"],
+                    [b.column(1)[i:j], pa.array([posterior.get(votes(m), 0.5) for m in measured[i:j]]), pa.array(used, pa.list_(pa.int16())), pa.array([r[u] for r, u in zip(x, used, strict=True)], pa.list_(pa.float32()))],
+                    names=["key", "y", "at", "x"],
                 )
 
     #: Rows that repeat an id and its text count once, so that no group of copies can outgrow the bound.
     key = F.xxhash64("id", "text", F.lit(6))
-    chosen = rows.where(F.pmod(key, F.lit(1_000_000)) < share).groupBy(key.alias("key")).agg(F.first("text").alias("text")).select("text")
-    got = chosen.mapInArrow(sample, "y double, at array<short>, x array<float>").orderBy("y", F.hash("at", "x")).toArrow()
+    chosen = rows.where(F.pmod(key, F.lit(1_000_000)) < share).groupBy(key.alias("key")).agg(F.first("text").alias("text")).select("text", "key")
+    #: About train_docs rows come to the driver; sorted, so that the scorer doesn't depend on the order in which tasks end.
+    got = chosen.mapInArrow(sample, "key long, y double, at array<short>, x array<float>").toArrow().sort_by("key")
     y = got.column("y").to_numpy()
     x = np.zeros((len(y), buckets), np.float32)
     for row, at, value in zip(x, got.column("at").to_pylist(), got.column("x").to_pylist(), strict=True):

@@ -34,6 +34,17 @@ def test_stages(spark):
     assert sum(r.length for r in packed) == total and {r.doc_id for r in packed} == set(rows[4])
 
 
+def test_rows_of_one_id(spark):
+    """Rows are judged by their own text, with an id or without; of rows that repeat an id and its text one stays."""
+    rows = [(5, "aaa"), (5, "bbb"), (9, "aaa"), (None, "ccc"), (None, "bbb"), (None, "ddd"), (None, "ddd"), (7, "eee"), (7, "EEE"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, `row key` string, n_chars long")
+    got = corpus_pipeline.by_text(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got.collect()) == [(0, "ccc"), (0, "ddd"), (5, "bbb"), (7, "eee"), (8, ""), (9, "aaa")]
+    near = corpus_pipeline.by_likeness(spark, docs, SMALL)
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in near.collect()) == [(0, "ccc"), (0, "ddd"), (5, "aaa"), (5, "bbb"), (7, "eee"), (8, "")]
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark).select(*small(spark).columns)
     for _, stage in corpus_pipeline.STAGES:
