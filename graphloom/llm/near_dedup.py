@@ -1,39 +1,50 @@
 """Near-duplicate detection by Order MinHash with banded alignment.
 
-A text is its sequence of k-mers (``words`` consecutive words; a shorter text is one k-mer).
-Each of ``sketches`` sketches takes the ``several`` k-mers, labelled by their occurrence, with
-the smallest hashes of its own and keeps them in text order. Texts that share a sketch are
-candidates: like a set sketch it wants common k-mers, and unlike one it wants them in the same
-order. Texts of less than ``short`` k-mers, for which sketches miss links, and those near them in length also
-get the keys of a prefix filter, which misses none. Candidates are verified on whole texts: a banded alignment finds the longest common
-subsequence of their k-mer sequences; similarity = aligned / (all k-mers of both - aligned),
-and ``least`` or more is a link. The band is wide enough that no alignment of that similarity
-leaves it, so it costs no link.
-
-Scale: equal texts are one node, known by digest. Each bucket of nodes that share a sketch is
-linked through its most central node, the pivot, so a group of copies makes as many pairs as it
-has members, not its square. In buckets that this doesn't link, more pivots are tried, ``pivots``
-in all, and then every pair of nodes in different clusters is compared, or excluded by a bound
-that is exact (see ``between_clusters`` and ``unlinked_rest``). Links become classes by minimum
-labels with pointer jumping, in tables. Joins are sort-merge joins of kept tables, which adaptive execution splits
-where a key is hot; nothing but counts comes to the driver.
+A text is its sequence of k-mers (``words`` consecutive words; a shorter text is one k-mer; in
+scripts without blanks, a letter is a word). Each of ``sketches`` sketches takes the ``several``
+k-mers, labelled by their occurrence, with the smallest hashes of its own and keeps them in text
+order. Texts that share a sketch are in one bucket: like a set sketch it wants common k-mers, and
+unlike one it wants them in the same order. Texts of less than ``short`` k-mers, for which
+sketches miss links, and those near them in length also get the keys of a prefix filter, which
+misses none. Similarity = aligned / (all k-mers of both - aligned), where a banded alignment finds
+the longest common subsequence of whole texts; ``least`` or more is a link. The band is wide
+enough that no alignment of that similarity leaves it, so it costs no link.
+
+Scale: equal texts are one node, known by digest. A bucket's most central node is its pivot, and
+its other members are compared with that one only, so a group of copies makes as many pairs as it
+has members. What a pivot doesn't settle is dealt again to buckets of that pivot, by sketches of
+what a member has beyond the pivot (and, for what lies almost whole inside the pivot, of the member
+itself, by classes of lengths); these buckets have pivots of their own. From then on members that
+fail are dealt by sketches of twice as many k-mers each time, so what isn't alike parts, and the
+search ends when no bucket has two members that haven't met. There is no cap on partners, buckets
+or rounds; each round is linear in the members left. Links become classes by minimum labels with
+pointer jumping, in tables. Joins are sort-merge joins of kept tables, which adaptive execution
+splits where a key is hot; nothing but counts comes to the driver.
+
+A pair of similarity ``least`` or more can be missed if it shares no bucket, or if its members part
+at every pivot they share; test_near_dups.py and the README have the measured share of links kept.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Shelf, table
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similar", pa.float64()), ("common", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("new_a", pa.list_(pa.int64())), ("new_b", pa.list_(pa.int64()))])
+VERIFIED = pa.schema([("node", pa.int64()), ("pivot", pa.int64()), ("similar", pa.float64()), ("again", pa.list_(pa.int64()))])
+#: Letters of scripts that are written without blanks.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -44,17 +55,16 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 class Kmers:
-    """The k-mer sequence of a text as 64-bit numbers. Words are letters and digits, lower-cased."""
+    """The k-mer sequence of a text as 64-bit numbers. Words are letters and digits, lower-cased; a letter of UNSPACED is a word."""
 
     def __init__(self, words: int, remember: int = 400_000):
-        import re
-        import zlib
-
-        self.words, self.remember, self.known, self.split = words, remember, {}, re.compile(r"\w+").findall
+        self.words, self.remember, self.known = words, remember, {}
+        self.spaced, self.unspaced, self.mixed = re.compile(r"\w+").findall, re.compile(f"[{UNSPACED}]").search, re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+").findall
         self.number = lambda w: zlib.crc32(w) | (zlib.adler32(w) << 32)
 
     def __call__(self, text: str) -> np.ndarray:
-        words = self.split(text.lower())
+        text = text.lower()
+        words = self.spaced(text) if text.isascii() or not self.unspaced(text) else self.mixed(text)
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
@@ -87,63 +97,56 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
         return kmers + nth * np.uint64(0xA24BAED4963EE407)
 
 
-def sketch(kmers: np.ndarray, sketches: int, several: int) -> list[int]:
-    """One key a sketch: its number and its chosen k-mers in text order, hashed."""
-    if not len(kmers):
-        return []
-    x = labelled(kmers)
-    seeds = scramble(np.arange(1, sketches + 1, dtype=np.uint64) * MIX)
-    m = min(several, len(x))
-    keys = np.zeros(sketches, np.uint64)
+def seeds_of(sketches: int, first: int = 1) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for i in range(sketches):
-            h = (x ^ seeds[i]) * np.uint64(0xD6E8FEB86659FD93)
+        return scramble(np.arange(first, first + sketches, dtype=np.uint64) * MIX)
+
+
+def sketches_of(x: np.ndarray, seeds: np.ndarray, several: int, cells: int = 2_000_000) -> np.ndarray:
+    """One key a seed: its ``several`` k-mers of ``x`` (labelled) with the smallest hashes, in text order. Of so few k-mers that
+    all are taken, one key for all seeds. ``cells``: hashes held at once."""
+    if not len(x):
+        return np.empty(0, np.uint64)
+    if len(x) <= several:
+        seeds, chosen = seeds[:1], x[None, :]
+    else:
+        chosen, step = np.empty((len(seeds), several), np.uint64), max(1, cells // len(x))
+        for i in range(0, len(seeds), step):
+            with np.errstate(over="ignore"):
+                h = (x[None, :] ^ seeds[i : i + step, None]) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-            at = np.sort(np.argpartition(h, m - 1)[:m]) if m < len(x) else np.arange(m)
-            key = seeds[i]
-            for v in x[at]:
-                key = (key ^ v) * np.uint64(0x100000001B3)
-                key ^= key >> np.uint64(31)
-            keys[i] = key
-    return keys.view(np.int64).tolist()
-
-
-def sketch_all(kmers: np.ndarray, sketches: int, several: int, cells: int = 2_000_000) -> list[int]:
-    """``sketch`` with all sketches of a text at once, where they fit."""
-    n = len(kmers)
-    if n <= several or n * sketches > cells:
-        return sketch(kmers, sketches, several)
-    x = labelled(kmers)
-    seeds = scramble(np.arange(1, sketches + 1, dtype=np.uint64) * MIX)
+            chosen[i : i + step] = x[np.sort(np.argpartition(h, several - 1, axis=1)[:, :several], axis=1)]
     with np.errstate(over="ignore"):
-        h = (x[None, :] ^ seeds[:, None]) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        at = np.sort(np.argpartition(h, several - 1, axis=1)[:, :several], axis=1)
-        chosen, key = x[at], seeds.copy()
-        for j in range(several):
-            key = (key ^ chosen[:, j]) * np.uint64(0x100000001B3)
-            key ^= key >> np.uint64(31)
-    return key.view(np.int64).tolist()
+        powers = np.cumprod(np.full(chosen.shape[1], 0x100000001B3, np.uint64))
+        return scramble((scramble(chosen ^ seeds[:, None]) * powers).sum(axis=1, dtype=np.uint64) ^ seeds)
+
+
+def long_keys(keys: list[np.ndarray]) -> list[int]:
+    """Keys of sketches as even numbers: the odd ones are those of ``short_keys``."""
+    return [x & ~1 for x in np.concatenate(keys).view(np.int64).tolist()]
 
 
-def short_keys(kmers: np.ndarray, least: float, short: int) -> list[int]:
-    """Keys of which any two texts of similarity ``least`` share one, where one of them has less than ``short`` k-mers.
+def short_keys(x: np.ndarray, least: float, short: int, take: int = 1) -> list[int]:
+    """Odd keys of ``x`` (labelled) of which any two texts of similarity ``least`` share one, where one of them has less than ``short`` k-mers.
 
-    A link has at least least * n labelled k-mers in common, so one of the n - that + 1 smallest hashes of
-    either side (a prefix filter). None for texts too long for a link with a short one.
+    A link has at least ``need`` = least * n labelled k-mers in common, so ``take`` of the n - need + take smallest
+    hashes of either side (a prefix filter); a key is a set of so many. None for texts too long for a link with a short one.
     """
-    n = len(kmers)
-    if not n or math.ceil(least * n - 1e-9) >= short:
+    n, need = len(x), math.ceil(least * len(x) - 1e-9)
+    if not n or need >= short or take > need:
         return []
-    seed = scramble(np.array([MIX]))[0]
     with np.errstate(over="ignore"):
-        return np.sort(scramble((labelled(kmers) ^ seed) * MIX))[: n - math.ceil(least * n - 1e-9) + 1].view(np.int64).tolist()
+        first = np.sort(scramble((x ^ scramble(np.array([MIX]))[0]) * MIX))[: n - need + take]
+        chosen = np.array(list(itertools.combinations(first.tolist(), take)), np.uint64)
+        keys = scramble((chosen * np.cumprod(np.full(take, 0x100000001B3, np.uint64))).sum(axis=1, dtype=np.uint64))
+    return [k | 1 for k in keys.view(np.int64).tolist()]
 
 
 def aligned(a: list[int], b: list[int], band: int) -> int:
     """Length of the longest common subsequence whose matches lie within ``band`` of the diagonal.
 
-    Common ends are matched first; the rest is aligned bit-parallel: one big number is a row.
+    Common ends are matched first. Where most k-mers occur once, the rest is a longest rising run of
+    places; else it is aligned bit-parallel, a row being the 2 * band + 1 bits of the band.
     """
     i, n = 0, min(len(a), len(b))
     while i < n and a[i] == b[i]:
@@ -154,18 +157,35 @@ def aligned(a: list[int], b: list[int], band: int) -> int:
     common, a, b = i + j, a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return common
-    at: dict[int, int] = {}
+    at: dict[int, list[int]] = {}
     for k, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    window, row = (1 << (2 * band + 1)) - 1, full
+        at.setdefault(x, []).append(k)
+    if sum(len(at.get(y, ())) for y in b) <= 8 * len(b):
+        ends: list[int] = []
+        for k, y in enumerate(b):
+            for place in reversed(at.get(y, ())):
+                if -band <= place - k <= band:
+                    m = bisect_left(ends, place)
+                    ends[m : m + 1] = [place]
+        return common + len(ends)
+    found, row, low, high = 0, 0, 0, 0  # row: a bit for each place from low on, 0 where a match ends
     for k, y in enumerate(b):
-        match = at.get(y)
-        if match:
-            match &= window << (k - band) if k >= band else window >> (band - k)
-            hit = row & match
-            row = ((row + hit) | (row - hit)) & full
-    return common + len(a) - row.bit_count()
+        if low < k - band:  # places that leave the band
+            gone = min(k - band, high) - low
+            found += gone - (row & (1 << gone) - 1).bit_count()
+            row, low = row >> gone, low + gone
+        to = min(len(a), k + band + 1)
+        if to > high:
+            row |= (1 << to - low) - (1 << high - low)
+            high = to
+        places = at.get(y)
+        if places:
+            hit = 0
+            for place in places[bisect_left(places, low) : bisect_right(places, high - 1)]:
+                hit |= 1 << place - low
+            hit &= row
+            row = ((row + hit) | (row - hit)) & (1 << high - low) - 1
+    return common + found + high - low - row.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -179,115 +199,51 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return n / (low + high - n)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """a, b, similar of each pair of nodes, and what bounds other pairs: the numbers of labelled k-mers,
-    common and of each side, and of pairs that aren't linked those of one side only (new_a, new_b)."""
+def again(x: np.ndarray, beyond: np.ndarray, pivot: int, level: int, least: float, seeds: np.ndarray, several: int, short: int) -> list[int]:
+    """Keys of the buckets in which a node goes on; x: its labelled k-mers, beyond: those that the pivot lacks.
+
+    Buckets of the pivot: after the first, two of the k-mers beyond it, and for a node almost inside
+    it ``several`` of its own and its length (classes grow by 1 / least; two neighbouring ones, so that
+    linked nodes share one). The two shares overlap. After further pivots: of all its k-mers,
+    2 ** level times ``several``. Buckets of short texts: sets of one more of the first k-mers each time.
+    """
+    own = scramble(np.array([pivot * 2 + 1], np.int64).view(np.uint64) ^ MIX)
+    keys = []
+    if level:
+        keys.append(sketches_of(x, seeds, several << min(level, 40)) ^ own)
+    else:
+        if len(beyond) > 0.05 * len(x):
+            keys.append(sketches_of(beyond, seeds, 2) ^ scramble(own + np.uint64(1)))
+        if len(beyond) < 0.15 * len(x):
+            size, inside = int(math.log(len(x)) / math.log(1 / least)), sketches_of(x, seeds, several)
+            keys += [inside ^ scramble(own + np.uint64(2 + size + k)) for k in (0, 1)]
+    return long_keys(keys) + short_keys(x, least, short, level + 2)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, level: int, least: float, several: int, short: int, deals: int) -> DataFrame:
+    """node, pivot, similar of each pair of nodes (pairs: node, pivot), and the buckets in which the node goes on (see ``again``):
+    after the first pivots for all nodes, later for those that aren't linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kmers, last = Kmers(words), (None, None)
+        last, seeds, share = (None, None, None), seeds_of(deals, 1 << 20), least / (1 + least)
         for batch in batches:
             rows = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last[0] != b:
-                    last = (b, kmers(y))
-                one = kmers(x)
-                similar = similarity(one, last[1], least)
-                p, q = labelled(one).view(np.int64), labelled(last[1]).view(np.int64)
-                common = np.intersect1d(p, q, assume_unique=True)
-                own = (None, None) if similar >= least else (np.setdiff1d(p, common, assume_unique=True), np.setdiff1d(q, common, assume_unique=True))
-                rows.append((a, b, similar, len(common), len(p), len(q), *own))
+            for node, pivot, x, y in zip(*batch.columns, strict=True):
+                node, pivot, a = node.as_py(), pivot.as_py(), np.frombuffer(x.as_buffer(), np.uint64)
+                if last[0] != pivot:
+                    b = np.frombuffer(y.as_buffer(), np.uint64)
+                    last = (pivot, b, np.sort(labelled(b)))
+                _, b, sorted_b = last
+                p = labelled(a)
+                there = sorted_b[np.minimum(np.searchsorted(sorted_b, p), len(b) - 1)] == p
+                #: Aligned k-mers are common ones, so too few of these make no link.
+                similar = similarity(a, b, least) if there.sum() >= share * (len(a) + len(b)) - 1e-9 else 0.0
+                rows.append((node, pivot, similar, [] if level and similar >= least else again(p, p[~there], pivot, level, least, seeds, several, short)))
             columns = zip(*rows, strict=True) if rows else [()] * len(VERIFIED)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, VERIFIED.types, strict=True)], schema=VERIFIED)
 
-    one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar double, common long, n_a long, n_b long, new_a array<long>, new_b array<long>")
-
-
-def heads_of(decided: DataFrame, central: DataFrame, least: float) -> DataFrame:
-    """node, head, d of every linked node: its most central partner, or itself if it is more central
-    than those, and the number d of labelled k-mers that only one of both has."""
-    d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
-    links = decided.where(F.col("similar") >= least)
-    two = links.select(F.col("a").alias("node"), F.col("b").alias("other"), d.alias("d")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), d.alias("d")))
-    rank = central.select(F.col("node").alias("other"), F.col("central").alias("by"))
-    top = two.join(rank.hint("merge"), "other").groupBy("node").agg(F.max(F.struct("by", (-F.col("other")).alias("minus"), (-F.col("d")).alias("near"))).alias("top"))
-    own = F.struct(F.col("central").alias("by"), (-F.col("node")).alias("minus"), F.lit(0).cast("long").alias("near"))
-    best = F.greatest(F.col("top"), own)
-    return top.join(central.select("node", "central").hint("merge"), "node").select("node", (-best["minus"]).alias("head"), (-best["near"]).alias("d"))
-
-
-def between_clusters(buckets: DataFrame, heads: DataFrame, decided: DataFrame, texts: DataFrame, shelf: Shelf, words: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of linked nodes in the same bucket (``buckets``: bucket, node, n) that can still be a link
-    between clusters, and the verified pairs of the clusters' heads.
-
-    Nodes of one head (``heads``, see ``heads_of``) are connected. d is a metric: d(u, x) is at least
-    d(head of u, head of x) - d(u, head) - d(x, head), and a link has at most
-    (1 - least) / (1 + least) * (n_u + n_x). Heads are compared; what is left of each bucket's
-    clusters after three such bounds, for clusters, for a node and a cluster, for two nodes, is paired.
-    """
-    allow = (1 - least) / (1 + least)
-    d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
-    placed = shelf.keep(buckets.select("bucket", "node", "n").join(heads.hint("merge"), "node"), "placed")
-    clusters = placed.groupBy("bucket", "head").agg(F.max("d").alias("r"), F.max("n").alias("n"))
-    clusters = shelf.keep(clusters, "clusters")
-    one = clusters.select("bucket", F.col("head").alias("a"), F.col("r").alias("r_a"), F.col("n").alias("n_a"))
-    other = clusters.select("bucket", F.col("head").alias("b"), F.col("r").alias("r_b"), F.col("n").alias("n_b"))
-    meet = shelf.keep(one.join(other.hint("merge"), "bucket").where("a < b"), "cluster_pairs")
-    pairs = meet.select("a", "b").distinct().join(decided.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-    fresh = shelf.keep(verified(shelf.keep(pairs, "head_pairs"), texts, words, least), "heads_verified")
-    apart = decided.unionByName(fresh).where(F.col("similar") < least).select("a", "b", d.alias("apart"))
-    left = meet.join(apart.hint("merge"), ["a", "b"]).where(F.col("apart") - F.col("r_a") - F.col("r_b") <= F.lit(allow) * (F.col("n_a") + F.col("n_b")) + 1e-9)
-    u = placed.select("bucket", F.col("head").alias("a"), F.col("node").alias("u"), F.col("d").alias("d_u"), F.col("n").alias("n_u"))
-    x = placed.select("bucket", F.col("head").alias("b"), F.col("node").alias("x"), F.col("d").alias("d_x"), F.col("n").alias("n_x"))
-    left = left.join(u.hint("merge"), ["bucket", "a"]).where(F.col("apart") - F.col("d_u") - F.col("r_b") <= F.lit(allow) * (F.col("n_u") + F.col("n_b")) + 1e-9)
-    left = shelf.keep(left.select("bucket", "b", "u", "d_u", "n_u", "apart"), "left")
-    reach = (F.col("apart") - F.col("d_u") - F.col("d_x") <= F.lit(allow) * (F.col("n_u") + F.col("n_x")) + 1e-9) & (F.least("n_u", "n_x") >= F.lit(least) * F.greatest("n_u", "n_x"))
-    return left.join(x.hint("merge"), ["bucket", "b"]).where(reach).select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct(), fresh
-
-
-def unlinked_rest(rest: DataFrame, buckets: DataFrame, decided: DataFrame, texts: DataFrame, shelf: Shelf, words: int, least: float) -> DataFrame:
-    """a, b: every pair of a node in ``rest`` (bucket, node) with a node of its bucket (``buckets``:
-    bucket, node, n) that can still be a link, given what the nodes of ``rest`` failed against.
-
-    Let u have failed pivot o. u and x have at most common(u, o) labelled k-mers in common plus
-    those that are not in o, and a link needs share * (n_u + n_x) of them, share = least / (1 + least).
-    So x either is short enough for common(u, o) alone (first part: a range of lengths, joined by
-    classes of lengths), or contains k-mers that u has and o has not (second part: joined by k-mer,
-    the rarest that any such x must share).
-    Variants of one text that differ in places of their own make neither, however many they are.
-    """
-    share = least / (1 + least)
-    rest, buckets = rest.select("bucket", "node"), buckets.select("bucket", "node", "n")
-    side = lambda me, n, new: decided.where(F.col("similar") < least).select(F.col(me).alias("node"), F.col(n).alias("n_u"), "common", F.col(new).alias("new"))
-    failed = side("a", "n_a", "new_a").unionByName(side("b", "n_b", "new_b")).join(rest.select("node").distinct().hint("merge"), "node", "left_semi")
-    best = failed.groupBy("node").agg(F.max_by(F.struct("n_u", "common", "new"), F.col("common") / (F.size("new") + 1)).alias("best"))
-    best = shelf.keep(best.select("node", "best.*"), "best")
-
-    level = lambda n: F.floor(F.log(n) / F.log(F.lit(1.02)))
-    low, high = F.ceil(F.lit(least) * F.col("n_u") - 1e-9), F.floor(F.col("common") / share - F.col("n_u") + 1e-9)
-    short = rest.join(best.drop("new").hint("merge"), "node").where(low <= high).select("bucket", F.col("node").alias("u"), low.alias("low"), high.alias("high"))
-    short = short.withColumn("level", F.explode(F.sequence(level(F.col("low").cast("double")), level(F.col("high").cast("double")))))
-    by_length = short.join(buckets.withColumn("level", level(F.col("n").cast("double"))).hint("merge"), ["bucket", "level"]).where("u <> node AND n BETWEEN low AND high").select("u", F.col("node").alias("x"))
-
-    near = shelf.keep(buckets.join(rest.select("bucket").distinct().hint("merge"), "bucket", "left_semi").select("node", "n").distinct(), "near")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kmers = Kmers(words)
-        for b in batches:
-            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = labelled(kmers(text.as_py())).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node)), pa.array(np.full(len(x), len(x)))], names=["kmer", "x", "n_x"])
-
-    has = shelf.keep(texts.join(near.select("node").hint("merge"), "node").select("node", "text").mapInArrow(spread, "kmer long, x long, n_x long"), "has")
-    #: Beyond the lengths of the first part, x must have at least ``more`` of u's new k-mers, so one of all but the more - 1 most frequent.
-    more = F.greatest(F.ceil(F.lit(share) * (F.col("n_u") + F.greatest(high + 1, low)) - F.col("common") - 1e-9), F.lit(1))
-    new = shelf.keep(best.select(F.col("node").alias("u"), "n_u", (F.size("new") - more + 1).alias("rarest"), F.explode("new").alias("kmer")), "new")
-    often = has.groupBy("kmer").agg(F.count("*").alias("df"))
-    ranked = new.join(often.hint("merge"), "kmer", "left").withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.coalesce("df", F.lit(0)), "kmer")))
-    asked = shelf.keep(ranked.where("rank <= rarest").select("u", "n_u", "kmer"), "asked")
-    fits = F.least("n_u", "n_x") >= F.lit(least) * F.greatest("n_u", "n_x")
-    by_kmer = asked.join(has.hint("merge"), "kmer").where((F.col("u") != F.col("x")) & fits).select("u", "x")
-    return by_length.unionByName(by_kmer).select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
+    one, two = texts.select("node", F.col("kmers").alias("x")), texts.select(F.col("node").alias("pivot"), F.col("kmers").alias("y"))
+    return pairs.join(one.hint("merge"), "node").join(two.hint("merge"), "pivot").select("node", "pivot", "x", "y").mapInArrow(run, "node long, pivot long, similar double, again array<long>")
 
 
 def classes(links: DataFrame, shelf: Shelf) -> DataFrame:
@@ -312,14 +268,15 @@ def classes(links: DataFrame, shelf: Shelf) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, sketches: int = 24, several: int = 5, pivots: int = 3, short: int = 16) -> DataFrame:
-    """doc_id, class_id, kept, copies, n_links of each row: classes of texts linked by similarity or equal.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, sketches: int = 24, several: int = 5, short: int = 16, deals: int = 12) -> DataFrame:
+    """doc_id, class_id, kept, copies, n_links, text_sha256 of each row: classes of texts linked by similarity or equal.
 
     class_id is the smallest id of the class, and its row is the one that is kept. copies: rows with
-    this very text; n_links: verified links of this text with other texts. Null counts as empty;
+    this very text; n_links: links of this text with other texts that were verified. Null counts as empty;
     texts without a word are only linked with equal texts. Rows without id join the class of their
     text and are kept only if nothing in it has an id. Rows that repeat an id and its text are kept
-    or dropped together. An empty table gives an empty result; other columns are ignored.
+    or dropped together; of texts of one class that share the smallest id, that with the smallest
+    digest is kept. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     shelf = Shelf(spark, "near")
@@ -327,77 +284,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("key", F.unhex(F.sha2("text", 256)))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kmers = Kmers(words)
+        kmers, seeds = Kmers(words), seeds_of(sketches)
         for b in batches:
-            keys, sizes = [], []
-            for t in b.column(2).to_pylist():
-                x = kmers(t)
-                keys.append(sketch_all(x, sketches, several) + short_keys(x, least, short)), sizes.append(len(x))
+            sizes, keys = [], []
+            for t in b.column(2):
+                x = labelled(kmers(t.as_py()))
+                sizes.append(len(x)), keys.append(long_keys([sketches_of(x, seeds, several)]) + short_keys(x, least, short))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sketch"])
 
     seen = shelf.keep(rows.select("doc_id", "key", "text").mapInArrow(sketched, "doc_id long, key binary, n long, sketch array<long>"), "sketches")
-    nodes = seen.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    nodes = seen.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = shelf.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = shelf.keep(seen.select("doc_id", "key").join(nodes.select("key", "node", "first", "copies").hint("merge"), "key").drop("key"), "members")
 
-    #: Buckets of several nodes. A node's sketches are those of any of its rows.
-    own = seen.select("doc_id", "key", "sketch").join(nodes.select("key", "node", "first", "n").hint("merge"), "key").where("doc_id <=> first")
-    each = shelf.keep(own.dropDuplicates(["node"]).select("node", "n", F.explode("sketch").alias("bucket")), "each")
+    #: Buckets of several nodes.
+    each = nodes.select("node", "n", F.explode("sketch").alias("bucket"))
     sizes = shelf.keep(each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     cand = shelf.keep(each.join(sizes.hint("merge"), "bucket"), "cand")
-    shelf.drop("each")
     central = shelf.keep(cand.groupBy("node").agg(F.sum("size").alias("central"), F.max("n").alias("n")), "central")
-    active = shelf.keep(cand.select("bucket", "node").join(central.hint("merge"), "node"), "active0")
-
-    #: The texts of candidate nodes, one row a node.
-    wanted = shelf.keep(central.select("node").join(nodes.hint("merge"), "node").select("node", "key", F.col("first").alias("doc_id")), "wanted")
-    texts = rows.join(wanted.withColumnRenamed("doc_id", "first").hint("merge"), "key").where("doc_id <=> first").select("node", "text")
-    texts = shelf.keep(texts.dropDuplicates(["node"]), "texts")
-
-    everything, decided, split = active, None, None
+    shelf.drop("sizes")
 
-    def compare(pairs: DataFrame, name: str) -> DataFrame:
-        """The verified pairs so far and those of ``pairs`` that aren't among them."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kmers = Kmers(words)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kmers(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "kmers"])
+
+    #: The k-mers of candidate nodes, one row a node.
+    wanted = shelf.keep(central.select("node").join(nodes.hint("merge"), "node").select("node", "key", "first"), "wanted")
+    texts = rows.join(wanted.hint("merge"), "key").where("doc_id <=> first").dropDuplicates(["node"]).select("node", "text")
+    texts = shelf.keep(texts.mapInArrow(spread, "node long, kmers binary"), "texts")
+
+    members = cand.select("bucket", "node", F.lit(True).alias("open"))
+    decided = None
+    for level in itertools.count():
+        members = shelf.keep(members.join(central.hint("merge"), "node"), f"members{level}")
+        #: Of short texts, the one with the fewest k-mers is the pivot: what shares as many k-mers with it is as near to it.
+        rank = F.when(F.col("bucket").bitwiseAND(1) == 1, -F.col("n")).otherwise(F.col("central"))
+        pivots = members.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), (-F.col("node")).alias("minus"), "open")).alias("top"), F.count("*").alias("size"), F.max("open").alias("any_open"))
+        pivots = pivots.where("size > 1 AND any_open").select("bucket", (-F.col("top.minus")).alias("pivot"), F.col("top.open").alias("pivot_open"))
+        pivots = shelf.keep(pivots, f"pivots{level}")
+        pairs = members.join(pivots.hint("merge"), "bucket").where("node <> pivot AND (open OR pivot_open)").select("node", "pivot").distinct()
         if decided is not None:
-            pairs = pairs.join(decided.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        new = shelf.keep(verified(shelf.keep(pairs, f"{name}-pairs"), texts, words, least), f"{name}-verified")
-        return new if decided is None else decided.unionByName(new)
-
-    for k in range(pivots):
-        pivot = active.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("top"), F.count("*").alias("left")).where("left > 1")
-        pivot = shelf.keep(pivot.select("bucket", (-F.col("top.minus")).alias("pivot")), f"pivots{k}")
-        meet = shelf.keep(active.join(pivot.hint("merge"), "bucket").where("node <> pivot"), f"meet{k}")
-        decided = compare(meet.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), f"round{k}")
-        known = decided.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "similar").unionByName(decided.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "similar"))
-        left = meet.join(known.hint("merge"), ["node", "pivot"]).where(F.col("similar") < least)
-        active = shelf.keep(left.select("bucket", "node", "central", "n"), f"active{k + 1}")
-        if active.isEmpty():
+            pairs = pairs.join(decided.select("node", "pivot").hint("merge"), ["node", "pivot"], "left_anti")
+        pairs = shelf.keep(pairs, f"pairs{level}")
+        if pairs.isEmpty():
             break
-        #: Buckets of three or more that one pivot doesn't link: what later pivots find has yet to meet what earlier ones found.
-        split = sizes.where("size > 2").join(active.hint("merge"), "bucket", "left_semi").select("bucket") if split is None else split
-    if split is not None:
-        mine = shelf.keep(everything.join(split.hint("merge"), "bucket", "left_semi"), "mine")
-        heads = shelf.keep(heads_of(decided, central, least), "heads-before")
-        alone = mine.join(heads.select("node").hint("merge"), "node", "left_anti").select("bucket", "node")
-        around = mine.join(heads.hint("merge"), "node").select("bucket", "head").distinct()
-        meet = alone.join(around.hint("merge"), "bucket").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-        decided = compare(meet.distinct(), "to-heads")
-        #: Nodes with links meet through their clusters' heads, the others by what they have of their own.
-        heads = shelf.keep(heads_of(decided, central, least), "heads-of")
-        pairs, fresh = between_clusters(mine, heads, decided, texts, shelf, words, least)
-        alone = shelf.keep(mine.join(heads.select("node").hint("merge"), "node", "left_anti").select("bucket", "node"), "alone")
-        pairs = pairs.unionByName(unlinked_rest(alone, mine, decided, texts, shelf, words, least)).distinct()
-        decided = decided.unionByName(fresh)
-        decided = compare(pairs, "rest")
-    links = shelf.keep(decided.where(F.col("similar") >= least).select("a", "b"), "links")
-    labels = classes(links, shelf)
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = shelf.keep(labels.join(nodes.select("node", "first").hint("merge"), "node").join(counts, "node"), "named")
-    heads = shelf.keep(named.groupBy("label").agg(F.min("first").alias("class_id")), "heads")
-    found = shelf.keep(named.join(heads.hint("merge"), "label").select("node", "class_id", "n_links"), "found")
-    out = members.join(found.hint("merge"), "node", "left")
-    class_id = F.coalesce("class_id", "first")
-    out = out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        found = shelf.keep(verified(pairs, texts, level, least, several, short, deals), f"verified{level}")
+        shelf.drop(f"members{level}", f"pivots{level}")
+        decided = found if decided is None else decided.unionByName(found)
+        members = found.select("node", (F.col("similar") < least).alias("open"), F.explode("again").alias("bucket"))
+        members = members.groupBy("bucket", "node").agg(F.max("open").alias("open"))
+    if decided is None:
+        found = None
+    else:
+        links = shelf.keep(decided.where(F.col("similar") >= least).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "links")
+        labels = classes(links, shelf)
+        counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        named = shelf.keep(labels.join(nodes.select("node", "first", "key").hint("merge"), "node").join(counts, "node"), "named")
+        heads = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "key")).alias("head"))
+        heads = shelf.keep(heads.select("label", F.col("head.first").alias("class_id"), F.col("head.key").alias("head")), "heads")
+        found = shelf.keep(named.join(heads.hint("merge"), "label").select("node", "class_id", "head", "n_links"), "found")
+    out = seen.select("doc_id", "key").join(nodes.select("key", "node", "first", "copies").hint("merge"), "key")
+    none = F.lit(None)
+    out = out.withColumns({"class_id": none.cast("long"), "head": none.cast("binary"), "n_links": none.cast("long")}) if found is None else out.join(found.hint("merge"), "node", "left")
+    class_id = F.when(F.col("n_links").isNull(), F.col("first")).otherwise(F.col("class_id"))
+    kept = F.col("doc_id").eqNullSafe(class_id) & (F.coalesce("head", "key") == F.col("key"))
+    out = out.select(
+        "doc_id", class_id.alias("class_id"), kept.alias("kept"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.lower(F.hex("key")).alias("text_sha256")
+    )
     out = shelf.keep(out, "result")
     shelf.drop_all_but("result")
     return out
