@@ -243,7 +243,9 @@ def verified(pairs: DataFrame, texts: DataFrame, level: int, least: float, sever
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, VERIFIED.types, strict=True)], schema=VERIFIED)
 
     one, two = texts.select("node", F.col("kmers").alias("x")), texts.select(F.col("node").alias("pivot"), F.col("kmers").alias("y"))
-    return pairs.join(one.hint("merge"), "node").join(two.hint("merge"), "pivot").select("node", "pivot", "x", "y").mapInArrow(run, "node long, pivot long, similar double, again array<long>")
+    if not level:  # later rounds have few pairs: these are broadcast where their measured size allows
+        one, two = one.hint("merge"), two.hint("merge")
+    return pairs.join(one, "node").join(two, "pivot").select("node", "pivot", "x", "y").mapInArrow(run, "node long, pivot long, similar double, again array<long>")
 
 
 def classes(links: DataFrame, shelf: Shelf) -> DataFrame:
