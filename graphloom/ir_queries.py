@@ -11,11 +11,11 @@ from . import analyses
 from .functions.predicates import PredicateError
 from .graph_queries import CONV, RING, SESSION, SQL, TRADE, dot, flat, query
 from .model import PropertyGraph
-from .operators import domains, prune
+from .operators import domains, polyhedra, prune
 from .operators.fixpoint import Rules
 from .operators.kept import shared_folder
 from .plans import sqltext
-from .plans.pattern import read_pattern
+from .plans.pattern import PatternError, read_pattern
 from .plans.planner import candidates, match
 from .sources import ir, sinks, views
 
@@ -117,6 +117,12 @@ def query_json(spark, sf):
     return sinks.query_json(g, dot("""u [label="(?P<asks>)|is('user')"]; v; u -> v"""))
 
 
+@query(f"""WITH {RAW} SELECT '  "' || node_id || '" [ label="' || node_id || '|' || kind || '" ];' AS line FROM irn
+ UNION ALL SELECT '  "' || src || '" -> "' || dst || '" [ label="' || label || '", color="' || CASE etype WHEN 'DATA' THEN 'blue' WHEN 'CONTROL' THEN 'red' ELSE 'black' END || '", style="' || CASE etype WHEN 'ASSOCIATED' THEN 'dashed' ELSE '' END || '" ];' FROM ire""")
+def export_ir_dot(spark, sf):
+    return sinks.ir_dot_lines(ir.ir_graph(*code(spark, sf))).select("line")
+
+
 @query(f"WITH {TRADE} SELECT 'o' AS vertex, count(*) AS n FROM tn WHERE list_contains(types, 'orders') UNION ALL SELECT 'c', count(*) FROM tn WHERE list_contains(types, 'BUILDING') UNION ALL SELECT 'x', count(*) FROM tn")
 def candidate_counts(spark, sf):
     return candidates(views.trade(spark, sf), dot("""o [label="is('orders')"]; c [label="is('BUILDING')"]; o -> c -> x"""))
@@ -160,6 +166,28 @@ def unknown_name(spark, sf):
     return spark.createDataFrame([("nowhere", error)], "name string, is_error boolean")
 
 
+NO_PATTERNS = {
+    "not connected": "a -> b; c",
+    "repeated start": """a [label="[]|is('orders')"]""",
+    "two paths into a vertex": """a -> b [label="*|"]; c -> b [label="*|"]; a -> c""",
+    "path to its own source": """a; a -> a [label="*|"]""",
+    "unknown option": """a [label="(?Q<x>)|true"]""",
+}
+
+
+@query("SELECT unnest([" + ", ".join(f"'{k}'" for k in NO_PATTERNS) + "]) AS pattern, true AS is_error")
+def invalid_patterns(spark, sf):
+    """Patterns without a meaning are errors, all of them before any job runs."""
+    graph, rows = views.trade(spark, sf), []
+    for name, body in NO_PATTERNS.items():
+        try:
+            match(graph, dot(body))
+            rows.append((name, False))
+        except (PatternError, PredicateError):
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "pattern string, is_error boolean")
+
+
 # Rules and pruning
 
 
@@ -308,6 +336,14 @@ def octagon_bounds(spark, sf):
     return domains.octagon_bounds(t.select("conv_id", F.inline(F.when(F.col("k") == 1, first).otherwise(later))), ["conv_id"])
 
 
+@query("""SELECT s_suppkey, name, 0::DOUBLE AS lo, CASE name WHEN 'x' THEN s_suppkey WHEN 'y' THEN s_suppkey // 3 ELSE s_suppkey // 2 END::DOUBLE AS hi FROM supplier, (VALUES ('x'), ('y'), ('z')) AS n(name)""")
+def polyhedron_bounds(spark, sf):
+    """Polyhedra in grouped functions: x, y, z >= 0, x + 3 * y + 2 * z <= the supplier's number."""
+    form = lambda c, **terms: F.struct(F.create_map(*[v for n, k in terms.items() for v in (F.lit(n), F.lit(float(k)))]).alias("terms"), c.cast("double").alias("c"))
+    rows = F.array(*(form(F.lit(0), **{n: -1}) for n in "xyz"), form(F.col("s_suppkey") + 0.5, x=1, y=3, z=2))
+    return polyhedra.polyhedron_bounds(views.table(spark, sf, "supplier").select("s_suppkey", F.inline(rows)), ["s_suppkey"])
+
+
 @query(f"WITH {RING} SELECT node_id, parity FROM rn WHERE node_id = 7")
 def find_node(spark, sf):
     return views.ring(spark, sf).find(7).select("node_id", F.element_at("types", 2).alias("parity"))

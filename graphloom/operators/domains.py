@@ -181,12 +181,14 @@ def merge_by(df: DataFrame, keys: list[str], state: str) -> DataFrame:
 
     Groups of any size: bounds are aggregated variable by variable, and what is gathered is one row a variable.
     """
-    alive = df.groupBy(*keys).agg(F.count(state).alias("states"))
-    each = df.select(*keys, F.explode(state).alias("name", "i")).groupBy(*keys, "name").agg(F.min("i.lo").alias("lo"), F.max("i.hi").alias("hi"), F.count("*").alias("n"))
-    both = F.col("n") == F.col("states")
-    value = F.struct(F.when(both, F.col("lo")).otherwise(-INF).alias("lo"), F.when(both, F.col("hi")).otherwise(INF).alias("hi"))
-    joined = alive.join(each, keys, "left").groupBy(*keys, "states").agg(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", value.alias("i")))).alias("all"))
-    return joined.select(*keys, F.when(F.col("states") > 0, F.map_from_entries("all")).cast(STATE).alias(state))
+    name, i, lo, hi, n, states, entries = (f"state {x}" for x in ("variable", "interval", "lo", "hi", "n", "states", "entries"))
+    alive = df.groupBy(*keys).agg(F.count(state).alias(states))
+    each = df.select(*keys, F.explode(state).alias(name, i)).groupBy(*keys, name).agg(F.min(F.col(i)["lo"]).alias(lo), F.max(F.col(i)["hi"]).alias(hi), F.count("*").alias(n))
+    both = F.col(n) == F.col(states)
+    value = F.struct(F.when(both, F.col(lo)).otherwise(-INF).alias("lo"), F.when(both, F.col(hi)).otherwise(INF).alias("hi"))
+    entry = F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("key"), value.alias("value")))
+    joined = alive.join(each, keys, "left").groupBy(*keys, states).agg(F.collect_list(entry).alias(entries))
+    return joined.select(*keys, F.when(F.col(states) > 0, F.map_from_entries(entries)).cast(STATE).alias(state))
 
 
 def merge_states(c: Column) -> Column:
@@ -245,10 +247,12 @@ def form_text(a: Column) -> Column:
 
 def sum_forms(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys, ``column``: the sum of each group's forms; coefficients are summed variable by variable."""
-    each = df.select(*keys, F.explode(F.map_concat(F.col(column)["terms"], F.map_from_arrays(F.array(F.lit("")), F.array(F.col(column)["constant"])))).alias("name", "k"))
-    total = each.groupBy(*keys, "name").agg(number(F.sum("k")).alias("k"))
-    parts = total.groupBy(*keys).agg(F.collect_list(F.when((F.col("name") != "") & (F.col("k") != 0), F.struct("name", "k"))).alias("all"), F.max(F.when(F.col("name") == "", F.col("k"))).alias("constant"))
-    return parts.select(*keys, F.struct(F.map_from_entries("all").alias("terms"), F.col("constant").alias("constant")).alias(column))
+    v, k, c, entries = (f"form {x}" for x in ("variable", "coefficient", "constant", "entries"))
+    each = df.select(*keys, F.explode(F.map_concat(F.col(column)["terms"], F.map_from_arrays(F.array(F.lit("")), F.array(F.col(column)["constant"])))).alias(v, k))
+    total = each.groupBy(*keys, v).agg(number(F.sum(k)).alias(k))
+    entry = F.when((F.col(v) != "") & (F.col(k) != 0), F.struct(F.col(v).alias("key"), F.col(k).alias("value")))
+    parts = total.groupBy(*keys).agg(F.collect_list(entry).alias(entries), F.max(F.when(F.col(v) == "", F.col(k))).alias(c))
+    return parts.select(*keys, F.struct(F.map_from_entries(entries).alias("terms"), F.col(c).alias("constant")).alias(column))
 
 
 def constraint_of(left: Column, relation: Column, right: Column) -> Column:

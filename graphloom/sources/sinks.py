@@ -47,6 +47,17 @@ def dot_edges(graph: PropertyGraph) -> DataFrame:
     return e.select("graph_id", "src", "dst", line.alias("line"))
 
 
+def ir_dot_lines(graph: PropertyGraph) -> DataFrame:
+    """graph_id, line: the DOT statements of raw IR: nodes by number with number and type, edges with label, colour and style."""
+    number = quoted(F.col("node_id").cast("string"))
+    nodes = graph.nodes.select("graph_id", F.concat(F.lit("  "), number, F.lit(" [ label="), quoted(F.concat_ws("|", F.col("node_id").cast("string"), F.col("types")[0])), F.lit(" ];")).alias("line"))
+    color = F.create_map(*[F.lit(x) for kv in COLORS.items() for x in kv])[F.col("etype")]
+    style = F.when(F.col("etype") == "ASSOCIATED", "dashed").otherwise("")
+    ends = [quoted(F.col(c).cast("string")) for c in ("src", "dst")]
+    line = F.concat(F.lit("  "), ends[0], F.lit(" -> "), ends[1], F.lit(" [ label="), quoted(F.coalesce("label", F.lit(""))), F.lit(", color="), quoted(color), F.lit(", style="), quoted(style), F.lit(" ];"))
+    return nodes.unionByName(graph.edges.select("graph_id", line.alias("line")))
+
+
 def write_dot(graph: PropertyGraph, path: str) -> None:
     """One folder of text lines a graph: header, nodes, edges, end, in this order by file name."""
     spark = graph.nodes.sparkSession

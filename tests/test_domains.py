@@ -1,6 +1,7 @@
 import pytest
 from graphloom.operators import domains as D
 from graphloom.operators.domains import Constraint, Linear, Octagon
+from graphloom.operators.polyhedra import Polyhedron
 from pyspark.sql import functions as F
 
 INF = float("inf")
@@ -62,3 +63,78 @@ def test_octagons():
     assert Octagon([]).assume(-1, "f", 0, None, -5.001) == Octagon([]).assume(-1, "f", 0, None, -5.4)
     assert o.widen(o.join(p)).bounds("x") == (0, INF)
     assert o == o.closed() and o != p
+
+
+def test_forms_over_tables(spark):
+    n = lambda x: str(x)
+    a, b = D.form({"x": 2, "y": -1}, 3), D.form({"y": 1, "z": 0.5}, -1)
+    assert value(spark, D.form_text(D.form_plus(a, b))) == "2*x + 0.5*z + 2"
+    assert value(spark, D.form_text(D.form_times(D.form({}, -2), a))) == "-4*x + 2*y + -6"
+    c = D.constraint_of(a, F.lit("<="), b)
+    assert value(spark, D.constraint_text(c)) == "2*x + -2*y + -0.5*z + 4 <= 0" and value(spark, D.constraint_text(D.constraint_negated(c))).endswith(" > 0")
+    for bad in (D.form_times(a, b), D.constraint_of(a, F.lit("~"), b)):
+        with pytest.raises(Exception, match="linear|relation"):
+            value(spark, F.to_json(bad))
+    rows = spark.range(3).select((F.col("id") % 2).alias("k"), D.form({"x": F.col("id"), "y": 1}, 1).alias("f"))
+    got = {r.k: n(r.t) for r in D.sum_forms(rows, ["k"], "f").select("k", D.form_text(F.col("f")).alias("t")).collect()}
+    assert got == {0: "2*x + 2*y + 2", 1: "1*x + 1*y + 1"}
+
+
+def test_merge_by(spark):
+    s = lambda **b: F.map_from_arrays(F.array(*map(F.lit, b)), F.array(*(D.interval(*x) for x in b.values())))
+    k = F.col("id")
+    rows = spark.range(6).select((k % 3).alias("g"), F.when(k == 0, s(x=(0, 1), y=(2, 2))).when(k == 3, s(x=(5, 7))).when(k == 1, s(x=(1, 1))).when(k.isin(2, 5), F.lit(None)).alias("s"))
+    got = {r.g: r.s for r in D.merge_by(rows, ["g"], "s").collect()}
+    pairs = lambda m: {v: (i.lo, i.hi) for v, i in m.items()}
+    assert pairs(got[0]) == {"x": (0, 7), "y": (-INF, INF)} and pairs(got[1]) == {"x": (1, 1)} and got[2] is None
+
+
+def test_substitute(spark):
+    s = F.map_from_arrays(F.array(F.lit("x"), F.lit("y")), F.array(D.interval(0, 10), D.interval(4, 9)))
+    get = lambda st, n: value(spark, D.bound_of(st, n))
+    before = D.substitute(s, "y", {"x": 2}, 1)
+    assert get(before, "x") == (2, 4) and get(before, "y") == (-INF, INF)
+    assert get(D.substitute(s, "x", {"x": 1}, 5), "x") == (-5, 5) and value(spark, D.substitute(s, "y", {"x": 1}, 100)) is None
+
+
+def test_octagons_over_tables(spark):
+    rows = [(1, 1, "x", 0, None, 5.0), (1, -1, "x", 0, None, 0.0), (1, 1, "y", -1, "x", 2.5), (2, 1, "x", 0, None, 1.0), (2, -1, "x", 0, None, -2.0)]
+    df = spark.createDataFrame(rows, "g long, a int, x string, b int, y string, c double")
+    assert sorted(map(tuple, D.octagon_bounds(df, ["g"]).collect())) == [(1, "x", 0.0, 5.0), (1, "y", -INF, 7.0)]
+
+
+def test_polyhedra():
+    """Against the points of a grid: what they satisfy, hulls that hold both, bounds, entailment, assignments both ways."""
+    import itertools
+    import random
+
+    rnd, grid = random.Random(4), list(itertools.product(range(-4, 5), repeat=2))
+
+    def random_one():
+        p = Polyhedron().assume(Linear.of(x=1), "<=", 4).assume(Linear.of(x=1), ">=", -4).assume(Linear.of(y=1), "<=", 4).assume(Linear.of(y=1), ">=", -4)
+        made = [(rnd.randint(-2, 2), rnd.randint(-2, 2), rnd.choice(["<=", "<", ">=", ">", "="] if rnd.random() < 0.2 else ["<=", ">="]), rnd.randint(-5, 5)) for _ in range(rnd.randrange(4))]
+        for a, b, rel, c in made:
+            p = p.assume(Linear.of(x=a, y=b), rel, c)
+        holds = {"<=": lambda v, c: v <= c, "<": lambda v, c: v < c, ">=": lambda v, c: v >= c, ">": lambda v, c: v > c, "=": lambda v, c: v == c}
+        return p, {(x, y) for x, y in grid if all(holds[rel](a * x + b * y, c) for a, b, rel, c in made)}
+
+    has = lambda p, x, y: all(sum({"x": x, "y": y}[n] * k for n, k in t) <= b for t, b in p.rows)
+    for _ in range(25):
+        (p, points), (q, others) = random_one(), random_one()
+        assert points == {g for g in grid if has(p, *g)} and not (points and p.bottom)
+        hull = p.join(q)
+        assert all(has(hull, *g) for g in points | others) and (p.bottom or hull.entails(hull.join(p)))
+        assert {g for g in grid if has(p.meet(q), *g)} == points & others
+        if points:
+            low, high = p.bounds("x")
+            assert low <= min(x for x, _ in points) and high >= max(x for x, _ in points)
+            assert p.entails(p.widen(hull)) and hull.entails(p.widen(hull))
+        after = p.assign("x", Linear.of(1, x=1, y=1))
+        assert all(has(after, x + y + 1, y) for x, y in points)
+        before = p.substitute("x", Linear.of(1, x=1, y=1))
+        assert {g for g in grid if has(before, *g)} == {(x, y) for x, y in grid if has(p, x + y + 1, y)}
+    one, two = (Polyhedron().assume(Linear.of(x=1), "=", k).assume(Linear.of(y=1), "=", 2 * k) for k in (0, 3))
+    line = one.join(two)
+    assert line.bounds("y") == (0, 6) and line.entails(Polyhedron().assume(Linear.of(y=1, x=-2), "=", 0)) and line.forget("x").names == {"y"}
+    assert Polyhedron().assume(Linear.of(x=1), ">=", 5.001).same(Polyhedron().assume(Linear.of(x=1), ">=", 5.4)) and Polyhedron().top
+    assert one.assume(Linear.of(x=1), "!=", 0).bottom and not line.assume(Linear.of(x=1), "!=", 0).bottom
