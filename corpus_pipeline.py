@@ -66,10 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read again."""
+    """All stages over ``documents``; each is written to the shared folder and read again, and what it needed is deleted then."""
     shelf, docs = Shelf(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(Shelf.opened)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = shelf.keep(docs, f"stage{k}")
+            Shelf.clear(before)
+            if k:
+                shelf.drop(f"stage{k - 1}")
     return docs
