@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Shelf:
-    """Tables written into the shared folder: they cut the lineage and outlive lost executors."""
+    """Tables written into the shared folder: they cut the lineage and outlive lost executors.
+
+    What an operator returns may read its shelf, so the shelf stays; ``clear`` deletes those of operators whose results are no longer read.
+    """
+
+    opened: ClassVar[list[Shelf]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.opened.append(self)
+
+    @classmethod
+    def clear(cls, since: int) -> None:
+        """Delete the shelves opened after the first ``since`` ones."""
+        while len(cls.opened) > since:
+            shelf = cls.opened.pop()
+            delete(shelf.spark, shelf.path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what reads it back."""

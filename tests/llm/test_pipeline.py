@@ -34,6 +34,16 @@ def test_stages(spark):
     assert sum(r.length for r in packed) == total and {r.doc_id for r in packed} == set(rows[4])
 
 
+def test_run_leaves_its_last_tables_only(spark):
+    from graphloom.llm.shared import Shelf, shared_folder
+
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(shared_folder(spark)), spark._jsc.hadoopConfiguration())
+    there = lambda: {x.getPath().getName() for x in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)))}
+    Shelf.opened[:], before = [], there()
+    out = corpus_pipeline.run(spark, SMALL)
+    assert len(there() - before) == 1 and out.count() > 0
+
+
 def test_rows_of_one_id(spark):
     """Rows are judged by their own text, with an id or without; of rows that repeat an id and its text one stays."""
     rows = [(5, "aaa"), (5, "bbb"), (9, "aaa"), (None, "ccc"), (None, "bbb"), (None, "ddd"), (None, "ddd"), (7, "eee"), (7, "EEE"), (8, None), (8, None)]

@@ -45,7 +45,10 @@ def test_op1(spark, library):
         r = out[i, len((t or "").encode())]
         assert (r.n_tokens, r.over_limit) == (n, n > 1024)
     assert token_counts.token_counts(no_documents(spark), BPE).count() == 0
-    assert token_counts.op1_token_counts(spark, "/root/testdata/sf0.001").count() == small(spark).count()
+    texts = {r.doc_id: r.text or "" for r in small(spark).collect()}
+    rows = token_counts.op1_token_counts(spark, "/root/testdata/sf0.001").collect()
+    want = dict(zip(texts, (len(x.ids) for x in library.encode_batch(list(texts.values()), add_special_tokens=False)), strict=True))
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == sorted((i, len(t.encode()), want[i], want[i] > 1024) for i, t in texts.items())
 
 
 def test_ids_are_the_librarys(library):
