@@ -22,7 +22,7 @@ pointer jumping, in tables. Joins are sort-merge joins of kept tables, which ada
 splits where a key is hot; nothing but counts comes to the driver.
 
 A pair of similarity ``least`` or more can be missed if it shares no bucket, or if its members part
-at every pivot they share; test_near_dups.py and the README have the measured share of links kept.
+at every pivot they share; the README has the measured share of links kept.
 """
 
 from __future__ import annotations
