@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..model import EDGES, NODES, PropertyGraph, shaped
 from ..plans.pattern import Pattern, read_pattern
 from ..plans.planner import captured, match
+from . import paths
 from .kept import forget, keep
 
 KEY = ["graph_id", "node_id"]
@@ -167,25 +169,58 @@ def attach(graph: PropertyGraph, what: Attach) -> tuple[PropertyGraph, bool]:
     ), True
 
 
-def apply_recursively(graph: PropertyGraph, pattern: str | Pattern, methods: DataFrame, start: DataFrame, wanted: Column | None = None, rounds: int = 1000) -> DataFrame:
-    """graph_id, round: the graphs (of methods) that a pattern reaches from ``start`` (graph_id).
+def apply_recursively(graph: PropertyGraph, pattern: str | Pattern, methods: DataFrame, start: DataFrame, wanted: Column | None = None, rounds: int | None = None) -> DataFrame:
+    """graph_id, round: the graphs (of methods) that a pattern reaches from ``start`` (graph_id), and over how few calls.
 
-    In each graph of the frontier the pattern is matched; bound nodes (of paths, the last) that name a target
-    method lead to that method's graph (methods: graph_id, method_class, method_name), unless seen or not ``wanted``.
+    In each graph that is reached the pattern is matched; bound nodes (of paths, the last) that name a target
+    method lead to that method's graph (methods: graph_id, method_class, method_name), unless not ``wanted``. The graphs
+    are finite, so this ends; with ``rounds`` it is an error if the last of that many still finds a graph.
+
+    All graphs that any nodes' methods could lead to are matched at once, and chains of calls followed by ``paths.shortest``.
+    With * edges only graphs that are really reached are matched, round by round: in others, paths may be beyond their limit.
     """
     pattern = read_pattern(pattern) if isinstance(pattern, str) else pattern
+    methods = methods.where(wanted) if wanted is not None else methods
+    if pattern.kleene:
+        return by_rounds(graph, pattern, methods, start, rounds)
+    methods = methods.select(F.col("graph_id").alias("to"), "method_class", "method_name").distinct()
+    named = lambda nodes: nodes.select("graph_id", "method_class", "method_name").distinct().join(methods, ["method_class", "method_name"]).select(F.col("graph_id").alias("last"), "to").distinct()
+    starts = start.select(F.lit(0).alias("start"), F.col("graph_id").alias("last"))
+    may = keep(named(graph.nodes.where("method_name IS NOT NULL")))
+    reach = paths.shortest(starts, may)
+    near = reach.select(F.col("last").alias("graph_id"))
+    here = PropertyGraph(*(t.join(near, "graph_id", "left_semi").select(t.columns) for t in (graph.nodes, graph.edges)))
+    does = keep(named(callers(here, pattern)))
+    if does.count() < may.join(near.withColumnRenamed("graph_id", "last"), "last", "left_semi").count():
+        narrower = paths.shortest(starts, does)
+        forget(reach)
+        reach = narrower
+    forget(may, does)
+    if rounds is not None and not reach.where(F.col("hops") >= rounds).isEmpty():
+        raise RuntimeError(f"not done after {rounds} rounds")
+    return reach.select(F.col("last").alias("graph_id"), F.col("hops").cast("int").alias("round"))
+
+
+def callers(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
+    """The nodes with a method that a pattern binds, of paths the last."""
+    rows = match(graph, pattern)
+    types = dict(rows.dtypes)
+    last = lambda v: F.col(f"`{v}`") if not types[v].startswith("array") else F.when(F.size(f"`{v}`") > 0, F.element_at(f"`{v}`", -1))
+    bound = rows.select("graph_id", F.explode(F.array(*(last(v) for v in pattern.vertices))).alias("node_id")).where("node_id IS NOT NULL").distinct()
+    return bound.join(graph.nodes.where("method_name IS NOT NULL"), KEY)
+
+
+def by_rounds(graph: PropertyGraph, pattern: Pattern, methods: DataFrame, start: DataFrame, rounds: int | None) -> DataFrame:
+    """``apply_recursively``, matching only the graphs of the frontier."""
     new = keep(start.select("graph_id").distinct().withColumn("round", F.lit(0)))
     seen = new
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
+        if rounds is not None and k > rounds:
+            raise RuntimeError(f"not done after {rounds} rounds")
         here = PropertyGraph(graph.nodes.join(new, "graph_id", "left_semi"), graph.edges.join(new, "graph_id", "left_semi"))
-        rows = match(here, pattern)
-        last = lambda v: F.col(f"`{v}`") if not dict(rows.dtypes)[v].startswith("array") else F.when(F.size(f"`{v}`") > 0, F.element_at(f"`{v}`", -1))  # noqa: B023, E731
-        bound = rows.select("graph_id", F.explode(F.array(*(last(v) for v in pattern.vertices))).alias("node_id")).where("node_id IS NOT NULL").distinct()
-        calls = bound.join(here.nodes.where("method_name IS NOT NULL"), KEY).select("method_class", "method_name").distinct()
-        found = methods.where(wanted) if wanted is not None else methods
-        found = found.join(calls, ["method_class", "method_name"], "left_semi").select("graph_id").distinct().join(seen, "graph_id", "left_anti")
+        calls = callers(here, pattern).select("method_class", "method_name").distinct()
+        found = methods.join(calls, ["method_class", "method_name"], "left_semi").select("graph_id").distinct().join(seen, "graph_id", "left_anti")
         new = keep(found.withColumn("round", F.lit(k)))
         if new.isEmpty():
             return seen
         seen = keep(seen.unionByName(new))
-    raise RuntimeError(f"not done after {rounds} rounds")

@@ -116,6 +116,38 @@ def test_worklist(spark):
     assert ids(apply_recursively(g, p, methods, start, F.col("method_name") != "c"), "graph_id") == [1, 2]
 
 
+def test_worklist_of_a_long_chain(spark):
+    """1 calls 2, 2 calls 3, and so on up to 1003, which nobody could reach in 1000 rounds; 5 calls 3 as well, and 2000 isn't called."""
+    calls = [(g, 1, ["Invoke"], "C", str(g + 1)) for g in range(1, 1003)] + [(5, 2, ["Invoke"], "C", "3"), (7, 2, ["Other"], "C", "2000")]
+    g = PropertyGraph.of(spark.createDataFrame(calls, "graph_id long, node_id long, types array<string>, method_class string, method_name string"), spark.sql("SELECT 1L AS graph_id, 1L AS src, 1L AS dst"))
+    methods = spark.createDataFrame([(k, "C", str(k)) for k in [*range(1, 1004), 2000]], "graph_id long, method_class string, method_name string")
+    p = "digraph { v [label=\"is('Invoke')\"] }"
+    start = spark.sql("SELECT 1L AS graph_id")
+    assert sorted(map(tuple, apply_recursively(g, p, methods, start).collect())) == [(k, k - 1) for k in range(1, 1004)]
+    with pytest.raises(RuntimeError):
+        apply_recursively(g, p, methods, start, rounds=1002)
+
+
+def test_shortest_against_search(spark):
+    """Chains, cycles, trees and random hops, some of which branch too much for doubling."""
+    from random import Random
+
+    r = Random(3)
+    hops = {"chain": [(k, k + 1) for k in range(40)], "cycle": [(k, (k + 1) % 17) for k in range(17)], "tree": [(k, 2 * k + d) for k in range(1, 30) for d in (0, 1)]}
+    hops |= {f"random {n}": [(r.randrange(30), r.randrange(30)) for _ in range(n)] for n in (40, 150)}
+    hops["chain, then random"] = hops["chain"] + [(40 + a, 40 + b) for a, b in hops["random 150"]]
+    for name, e in hops.items():
+        want = set()
+        for start in (0, 1, 2):
+            dist, front = {start: 0}, [start]
+            while front:
+                front = [b for a in front for x, b in e if x == a and b not in dist and not dist.update({b: dist[a] + 1})]
+            want |= {(start, k, d) for k, d in dist.items()}
+        starts = spark.createDataFrame([(k, k) for k in (0, 1, 2)], "start long, last long")
+        got = paths.shortest(starts, spark.createDataFrame(e, "last long, to long")).collect()
+        assert len(got) == len(want) and {tuple(x) for x in got} == want, name
+
+
 def test_dataflow(spark):
     c = "CONTROL"
     g = PropertyGraph.local(spark, [(0, ["A"]), (1, ["B"]), (2, ["C"]), (3, ["D"])], [(0, 1, c, ""), (1, 2, c, ""), (2, 1, c, ""), (2, 3, c, "")])
