@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
+from . import paths
 from .kept import forget, keep
 
 KEY = ["graph_id", "node_id"]
@@ -90,25 +91,17 @@ def simplify(graph: PropertyGraph, start: str = "StartNode", returns: str = "Ret
     return out
 
 
-def resolve_placeholders(edges: DataFrame, placeholders: DataFrame, rounds: int = 64) -> DataFrame:
+def resolve_placeholders(edges: DataFrame, placeholders: DataFrame) -> DataFrame:
     """Edges (src, dst) whose dst is a placeholder (placeholders: node_id) lead to that placeholder's
-    targets instead, until none is left; a cycle of placeholders resolves to what leads out of it."""
+    targets instead, until none is left; a cycle of placeholders resolves to what leads out of it. Chains of
+    any length are followed, by ``paths.shortest``."""
     marks = keep(placeholders.select(F.col("node_id").alias("dst")).distinct())
+    sources = marks.withColumnRenamed("dst", "src")
     e = keep(edges.select("src", "dst").distinct())
-    out = keep(e.join(marks, "dst", "left_semi").select(F.col("src").alias("mark"), F.col("dst").alias("via")).join(marks.withColumnRenamed("dst", "mark"), "mark", "left_semi").distinct())
-    final = e.join(marks, "dst", "left_anti").select("src", "dst")
-    exits = final.join(marks.withColumnRenamed("dst", "src"), "src", "left_semi").select(F.col("src").alias("via"), F.col("dst").alias("to"))
-    reach = keep(marks.select(F.col("dst").alias("mark"), F.col("dst").alias("via")))
-    new = reach
-    for _ in range(rounds):
-        more = new.join(out.select(F.col("mark").alias("via"), F.col("via").alias("next")), "via").select("mark", F.col("next").alias("via")).distinct()
-        new = keep(more.join(reach, ["mark", "via"], "left_anti"))
-        if new.isEmpty():
-            break
-        reach = keep(reach.unionByName(new))
-    else:
-        raise RuntimeError(f"placeholders are chained more than {rounds} deep")
-    targets = reach.join(exits, "via").select(F.col("mark").alias("dst"), "to").distinct()
-    resolved = e.join(marks, "dst", "left_semi").join(targets, "dst").select("src", F.col("to").alias("dst"))
-    outside = final.unionByName(resolved).distinct()
-    return outside.join(marks.withColumnRenamed("dst", "src"), "src", "left_anti").select("src", "dst")
+    final, first = (e.join(sources, "src", "left_anti").join(marks, "dst", how).select("src", "dst") for how in ("left_anti", "left_semi"))
+    out = e.join(sources, "src", "left_semi")
+    exits = out.join(marks, "dst", "left_anti").select(F.col("src").alias("last"), F.col("dst").alias("to"))
+    starts = first.select(F.col("dst").alias("start"), F.col("dst").alias("last"))
+    reach = paths.shortest(starts, out.join(marks, "dst", "left_semi").select(F.col("src").alias("last"), F.col("dst").alias("to")))
+    targets = reach.join(exits, "last").select(F.col("start").alias("dst"), "to").distinct()
+    return final.unionByName(first.join(targets, "dst").select("src", F.col("to").alias("dst"))).distinct()

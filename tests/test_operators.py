@@ -52,6 +52,13 @@ def test_placeholders(spark):
     assert sorted(map(tuple, prune.resolve_placeholders(e, marks).collect())) == [(1, 2), (3, 4)]
 
 
+def test_placeholders_in_a_long_chain(spark):
+    """0 -> 1 -> ... -> 100 -> 101, all but the ends placeholders, and one more way out at 50."""
+    e = spark.createDataFrame([(i, i + 1) for i in range(101)] + [(50, 200)], "src long, dst long")
+    marks = spark.createDataFrame([(i,) for i in range(1, 101)], "node_id long")
+    assert sorted(map(tuple, prune.resolve_placeholders(e, marks).collect())) == [(0, 101), (0, 200)]
+
+
 def test_rules(spark):
     g = PropertyGraph.local(spark, [(i, ["N"]) for i in range(4)], [(0, 1, "DATA", ""), (1, 2, "DATA", ""), (2, 3, "DATA", "")])
     rules = Rules(F.lit(0).cast("long"), "long")
