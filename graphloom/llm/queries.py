@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, pieces, quality, token_counts, warc
+from . import exact_dedup, fill_middle, fingerprints, html_text, language_id, near_dedup, packing, pieces, prefix_trie, quality, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_minhash": near_dedup.op9_minhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
-SQL = {"op2_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+SQL = {"op2_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op12_fill_middle": fill_middle.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
