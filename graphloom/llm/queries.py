@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fill_middle, fingerprints, html_text, language_id, near_dedup, packing, pieces, prefix_trie, quality, token_counts, warc
+from . import exact_dedup, fill_middle, fingerprints, html_text, language_id, near_dedup, neighbours, packing, pieces, prefix_trie, quality, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_minhash": near_dedup.op9_minhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_neighbours": neighbours.op11_neighbours,
     "op12_fill_middle": fill_middle.op12_fill_middle,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
