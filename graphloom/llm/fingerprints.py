@@ -34,7 +34,7 @@ ANCHORS = (
     "le les et des est une pour dans"
 ).split()
 RANGE_ROWS, MAX_RANGES, PARTS = 64, 65_536, 64
-MARK = "\x01"
+MARK, JOINED = "\x01", "\x02"
 
 
 def one_of(names: list[str]) -> str:
@@ -54,12 +54,15 @@ def signatures(text: Column, length: int = 2, distance: int = 1, anchors: list[s
     """The sorted signature set of a text: array<int>. Equal texts have equal sets; case and signs don't count."""
     clean = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
     marked = F.regexp_replace(clean, f" (?={one_of(anchors)} )", f" {MARK}")
-    word = f"(?: {MARK}[^ ]+)*+ [^{MARK} ]+"
-    spans = F.regexp_extract_all(marked, F.lit(f"{MARK}(?=([^ ]+(?:{word}){{{length * distance}}}) )"), F.lit(1))
+    #: Anchors in a row become one word, so that each run is passed once for each chain over it, however long it is.
+    runs = F.regexp_replace(marked, f"({MARK}[^ ]+) (?={MARK})", f"$1{JOINED}")
+    spans = F.regexp_extract_all(runs, F.lit(f" {MARK}(?=([^ ]+(?:(?: {MARK}[^ ]+)?+ [^{MARK} ]+){{{length * distance}}}) )"), F.lit(1))
     chains = F.transform(spans, lambda s: F.regexp_replace(s, f" {MARK}[^ ]+", ""))
     if distance > 1:
         chains = F.transform(chains, lambda s: F.array_join(F.filter(F.split(s, " "), lambda _, k: k % distance == 0), " "))
-    found = F.sort_array(F.array_distinct(F.transform(chains, lambda s: F.hash(s))))
+    #: Each anchor of the run starts a chain with the same content words.
+    spread = F.transform(chains, lambda s: once(F.split(s, " ", 2), lambda x: F.transform(F.array_distinct(F.split(x[0], f"{JOINED}{MARK}")), lambda w: F.hash(F.concat(w, F.lit(" "), x[1])))))
+    found = F.sort_array(F.array_distinct(F.flatten(spread)))
     return once(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.hash(text))))
 
 

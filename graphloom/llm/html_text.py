@@ -225,18 +225,25 @@ class Tree:
             except StopIteration:
                 break
 
-    def shown_options(self, select: int) -> set[int]:
-        """The options of a select element that a browser shows: all of a list, else the selected one or the first."""
-        found, stack = [], [select]
+    def hidden_options(self) -> set[int]:
+        """The options a browser doesn't show: of each select element's own options (those inside no select nearer to them), it
+        shows all of a list, else the selected one or the first."""
+        own: dict[int, list[int]] = {}
+        stack: list[tuple[int, int]] = [(0, -1)]
         while stack:
-            x = stack.pop()
-            if self.tag[x] == "option":
-                found.append(x)
-            stack.extend(reversed(self.children[x]))
-        size = self.attrs[select].get("size", "")
-        if "multiple" in self.attrs[select] or re.fullmatch(r"\d{1,9}", size) and int(size) > 1:
-            return set(found)
-        return set([x for x in found if "selected" in self.attrs[x]][-1:] or found[:1])
+            x, select = stack.pop()
+            if self.tag[x] == "option" and select >= 0:
+                own.setdefault(select, []).append(x)
+            elif self.tag[x] == "select":
+                select = x
+            stack.extend((y, select) for y in reversed(self.children[x]))
+        hidden: set[int] = set()
+        for select, found in own.items():
+            size = self.attrs[select].get("size", "")
+            if not ("multiple" in self.attrs[select] or re.fullmatch(r"\d{1,9}", size) and int(size) > 1):
+                hidden.update(found)
+                hidden.difference_update([x for x in found if "selected" in self.attrs[x]][-1:] or found[:1])
+        return hidden
 
 
 def width(s: str) -> int:
@@ -342,7 +349,7 @@ def render(source: str) -> str:
     stack: list[tuple] = [("open", 0, True)]  # (step, node, whether visibility is on, or what the step restores)
     lists: list[list] = []  # of open lists: [ordered, number]
     tables: list[Table | None] = []
-    hidden_options: set[int] = set()
+    hidden_options = tree.hidden_options() if "select" in tree.tag else set()
     pre = 0
     while stack:
         step, x, how = stack.pop()
@@ -387,15 +394,7 @@ def render(source: str) -> str:
                     page.put("---")
                 page.gap = True
                 continue
-            if tag == "select":
-                shown = tree.shown_options(x)
-                inner = list(tree.children[x])
-                while inner:
-                    y = inner.pop()
-                    if tree.tag[y] == "option" and y not in shown:
-                        hidden_options.add(y)
-                    inner.extend(tree.children[y])
-            elif tag in ("ul", "ol", "menu", "dir"):
+            if tag in ("ul", "ol", "menu", "dir"):
                 start = attrs.get("start", "1")
                 lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
             elif tag == "li":

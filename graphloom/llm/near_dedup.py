@@ -142,11 +142,46 @@ def short_keys(x: np.ndarray, least: float, short: int, take: int = 1) -> list[i
     return [k | 1 for k in keys.view(np.int64).tolist()]
 
 
+def differences(a: list[int], b: list[int], band: int, most: int) -> int | None:
+    """How many elements of both are outside the longest common subsequence (as in ``aligned``), if at most ``most``, else None.
+
+    With each difference more, the furthest place on each diagonal is found from those beside it; equal stretches are passed in leaps.
+    """
+    goal = len(a) - len(b)
+    if abs(goal) > band:
+        return None
+    x, y, far = np.array(a, np.uint64), np.array(b, np.uint64), {}
+
+    def passed(i: int, j: int) -> int:
+        leap = 8
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            unlike = x[i : i + leap][: len(b) - j] != y[j : j + leap][: len(a) - i]
+            if (k := int(unlike.argmax())) or unlike[0]:
+                return i + k
+            i, j, leap = i + len(unlike), j + len(unlike), 2 * leap
+        return i
+
+    for d in range(most + 1):
+        edge = d if d <= band else band - (d - band) % 2
+        for k in range(-edge, edge + 1, 2):
+            i = max(far.get(k + 1, -1), far[k - 1] + 1 if k - 1 in far else -1) if d else 0
+            if 0 <= i <= len(a) and 0 <= i - k <= len(b):
+                far[k] = passed(i, i - k)
+        if far.get(goal, -1) == len(a):
+            return d
+    return None
+
+
+#: Differences looked for first where k-mers repeat; bytes of bit masks that an alignment may keep.
+FEW, MASKS = 256, 1 << 26
+
+
 def aligned(a: list[int], b: list[int], band: int) -> int:
     """Length of the longest common subsequence whose matches lie within ``band`` of the diagonal.
 
     Common ends are matched first. Where most k-mers occur once, the rest is a longest rising run of
-    places; else it is aligned bit-parallel, a row being the 2 * band + 1 bits of the band.
+    places; else, beyond FEW differences, it is aligned bit-parallel: a row is the 2 * band + 1 bits of the
+    band, and the places of a k-mer are a mask of bits made once for the next ``band`` rows.
     """
     i, n = 0, min(len(a), len(b))
     while i < n and a[i] == b[i]:
@@ -168,8 +203,13 @@ def aligned(a: list[int], b: list[int], band: int) -> int:
                     m = bisect_left(ends, place)
                     ends[m : m + 1] = [place]
         return common + len(ends)
+    if (apart := differences(a, b, band, FEW)) is not None:
+        return common + (len(a) + len(b) - apart) // 2
     found, row, low, high = 0, 0, 0, 0  # row: a bit for each place from low on, 0 where a match ends
+    step = max(band, 4096)
     for k, y in enumerate(b):
+        if k % step == 0:  # masks: places from base on, as far as the next rows reach
+            base, top, masks, room = max(0, k - band), k + step + band, {}, MASKS
         if low < k - band:  # places that leave the band
             gone = min(k - band, high) - low
             found += gone - (row & (1 << gone) - 1).bit_count()
@@ -178,16 +218,34 @@ def aligned(a: list[int], b: list[int], band: int) -> int:
         if to > high:
             row |= (1 << to - low) - (1 << high - low)
             high = to
-        places = at.get(y)
-        if places:
-            hit = 0
-            for place in places[bisect_left(places, low) : bisect_right(places, high - 1)]:
-                hit |= 1 << place - low
+        if (mask := masks.get(y)) is not None:
+            hit = mask >> low - base & row
+        elif places := at.get(y):
+            first, last = bisect_left(places, low), bisect_right(places, high - 1)
+            if last - first <= 32:
+                hit = 0
+                for place in places[first:last]:
+                    hit |= 1 << place - low
+            elif room > 0:
+                masks[y] = bits(places[bisect_left(places, base) : bisect_right(places, top)], base)
+                room -= masks[y].bit_length() // 8
+                hit = masks[y] >> low - base
+            else:
+                hit = bits(places[first:last], low)
             hit &= row
-            row = ((row + hit) | (row - hit)) & (1 << high - low) - 1
+        else:
+            continue
+        row = ((row + hit) | (row - hit)) & (1 << high - low) - 1
     return common + found + high - low - row.bit_count()
 
 
+def bits(places: list[int], base: int) -> int:
+    """A number with a bit for each place, counted from ``base``."""
+    out = np.zeros(places[-1] - base + 1, np.uint8)
+    out[np.array(places) - base] = 1
+    return int.from_bytes(np.packbits(out, bitorder="little").tobytes(), "little")
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """aligned / (|a| + |b| - aligned); 0.0 where the lengths alone keep it below ``least``."""
     low, high = sorted((len(a), len(b)))
@@ -276,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is the smallest id of the class, and its row is the one that is kept. copies: rows with
     this very text; n_links: links of this text with other texts that were verified. Null counts as empty;
     texts without a word are only linked with equal texts. Rows without id join the class of their
-    text and are kept only if nothing in it has an id. Rows that repeat an id and its text are kept
+    text and are kept only if nothing in it has an id. Texts of any length are compared whole. Rows that repeat an id and its text are kept
     or dropped together; of texts of one class that share the smallest id, that with the smallest
     digest is kept. An empty table gives an empty result; other columns are ignored.
     """

@@ -97,12 +97,14 @@ def id_source(path: str, end_id: int = 0):
     """
     from .bpe import LongEncoder, tiktoken_encoding
 
-    enc, long_run, slow = tiktoken_encoding(path), re.compile(rf"\s{{{LONG}}}|\S{{{LONG}}}").search, []
+    #: Passes shorter runs, each once, and stops where a long one begins.
+    short_runs = re.compile(rf"(?:\S{{1,{LONG - 1}}}+(?!\S)|\s{{1,{LONG - 1}}}+(?!\s))*+").match
+    enc, slow = tiktoken_encoding(path), []
 
     def ids(text: str | None) -> np.ndarray:
         if not text:
             return np.array([end_id], "<u4")
-        if len(text) >= LONG and long_run(text):
+        if len(text) >= LONG and short_runs(text).end() < len(text):
             if not slow:
                 slow.append(LongEncoder(path))
             found = slow[0](text)

@@ -261,7 +261,7 @@ class PieceModel:
         long_last, long_came = self.relax_long(begin[slow], end[slow], symbol[slow], fresh[slow])
         begin, end, symbol, step, fresh = (x[~slow] for x in (begin, end, symbol, step, fresh))
         cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.empty(0, np.int64)
-        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(step)], strict=True):
+        for i, j in itertools.pairwise([*cuts.tolist(), len(step)]):
             b, e, s, take = begin[i:j], end[i:j], symbol[i:j], fresh[i:j].copy()
             rest = np.flatnonzero(~take)
             take[rest[self.compatible(last_symbol[b[rest]], s[rest])]] = True

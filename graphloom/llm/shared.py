@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The shelves opened inside the innermost ``owned`` of this thread or task, if there is one.
+SCOPE: ContextVar[list[Shelf] | None] = ContextVar("shelves", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[list[Shelf]]:
+    """A list of the shelves that are opened inside, by this thread alone: what runs them may delete them once their results are no longer read."""
+    mine: list[Shelf] = []
+    token = SCOPE.set(mine)
+    try:
+        yield mine
+    finally:
+        SCOPE.reset(token)
+
+
 class Shelf:
     """Tables written into the shared folder: they cut the lineage and outlive lost executors.
 
-    What an operator returns may read its shelf, so the shelf stays; ``clear`` deletes those of operators whose results are no longer read.
+    What an operator returns may read its shelf, so the shelf stays until its owner deletes it (see ``owned``).
     """
 
     opened: ClassVar[list[Shelf]] = []
@@ -25,6 +43,11 @@ class Shelf:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.opened.append(self)
+        if (mine := SCOPE.get()) is not None:
+            mine.append(self)
+
+    def delete(self) -> None:
+        delete(self.spark, self.path)
 
     @classmethod
     def clear(cls, since: int) -> None:

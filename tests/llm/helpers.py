@@ -12,6 +12,12 @@ TEXTS = [
     (6, "THE CAT sat on the mat and the dog lay by the door of the house in the sun."),
     (None, "no id here, but a text of some words that is long enough"),
     (7, "!!! ??? 123"),
+    (9, "a" * 300),
+    (10, " " * 300),
+    (11, "cat " * 20_000),
+    (12, "the " * 20_000 + "cat sat"),
+    (13, "<select><table><td>" * 2000),
+    (14, ("中" * 4000 + "\n") * 5),
     (8, "éè \U0001f600 中文 <|endoftext|> <s> \t\n x"),
 ]
 

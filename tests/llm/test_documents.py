@@ -84,6 +84,31 @@ def test_aligned_in_a_band():
     assert near_dedup.aligned([1, 2] * 10_000 + [3], [4] + [1, 2] * 10_000, 50) == 20_000
 
 
+def test_aligned_repetitions():
+    """Few differences, many differences, and masks without room, against each other; a million repeated words in seconds."""
+    import time
+
+    rnd, few, room = random.Random(11), near_dedup.FEW, near_dedup.MASKS
+    cases = []
+    for letters in (1, 2, 3):
+        for _ in range(150):
+            a = [rnd.randrange(letters) for _ in range(rnd.randrange(150))]
+            b = [rnd.randrange(letters) if rnd.random() < 0.2 else x for x in a if rnd.random() > 0.1]
+            cases.append((a, b, abs(len(a) - len(b)) + rnd.randrange(1, 40)))
+    found = []
+    try:
+        for near_dedup.FEW, near_dedup.MASKS in ((256, room), (-1, room), (-1, 0), (5, 100)):
+            found.append([near_dedup.aligned(*c) for c in cases])
+    finally:
+        near_dedup.FEW, near_dedup.MASKS = few, room
+    assert found[0] == found[1] == found[2] == found[3]
+    km, began = near_dedup.Kmers(5), time.time()
+    for word in ("cat ", "the cat "):
+        a, b = km("x start " + word * 500_000 + "end one"), km("y begin " + word * 499_990 + "and two")
+        assert near_dedup.similarity(a, b, 0.8) > 0.99
+    assert time.time() - began < 60
+
+
 def test_band_loses_no_link():
     rnd = random.Random(6)
     for _ in range(200):
@@ -343,11 +368,42 @@ def test_op4_brute(spark):
 
 
 def test_op4_ties(spark):
-    """Of languages that explain a text equally well, the first by name; of as frequent ones, the first by name is learned."""
+    """Of languages that explain a text equally well, the first by name."""
     docs = spark.createDataFrame([(k, "same words here", lang) for k, lang in enumerate(["b", "a", "c"])], "doc_id long, text string, lang string")
     model = language_id.fit(docs)
     assert {(r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()} == {("a", 1.0)}
-    assert language_id.fit(docs, most_langs=2).langs == ["a", "b"]
+    assert language_id.fit(docs, cells=3 * 64).buckets == 64
+    with pytest.raises(ValueError):
+        language_id.fit(docs, cells=47)
+
+
+def test_op4_many_languages(spark):
+    """Of 400 languages every one can be predicted, the rarest and those that mix too; a text of two languages gets both."""
+    rnd = random.Random(8)
+    letters = [chr(c) for c in range(0x61, 0x17F) if chr(c).isalpha() and chr(c) == chr(c).lower()]
+    voices = {f"l{k:03}": ["".join(rnd.choices(rnd.sample(letters, 14), k=rnd.randrange(2, 7))) for _ in range(40)] for k in range(400)}
+    say = lambda lang, n: " ".join(rnd.choices(voices[lang], k=n))
+    rows = [(lang, say(lang, 60)) for lang in voices for _ in range(1 if lang == "l123" else rnd.randrange(2, 5))]
+    model = language_id.fit(spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert len(model.langs) == 400
+    asked = [("l123", say("l123", 40)), *((lang, say(lang, 40)) for lang in rnd.sample(sorted(voices), 99))]
+    mixed = [(a, b, f"{say(a, 60)} {say(b, 40)}") for a, b in (rnd.sample(sorted(voices), 2) for _ in range(20))]
+    docs = spark.createDataFrame(list(enumerate([*(t for _, t in asked), *(t for *_, t in mixed)])), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    assert [got[k].lang_pred for k in range(100)] == [lang for lang, _ in asked]
+    sets = [{x.split(":")[0] for x in got[100 + k].languages.split()} for k in range(20)]
+    assert sum(s == {a, b} for s, (a, b, _) in zip(sets, mixed, strict=True)) >= 18
+    #: The same texts taken together.
+    texts = [*(t for _, t in asked[:30]), *(t for *_, t in mixed[:10])]
+    counts = grams.gram_counts(texts, model.buckets, grams.letter_table())
+    alone, _ = language_id.mixtures(counts, model)
+    few = language_id.TOGETHER
+    try:
+        language_id.TOGETHER = 1000
+        together, _ = language_id.mixtures(counts, model)
+    finally:
+        language_id.TOGETHER = few
+    assert (alone.argmax(axis=1) == together.argmax(axis=1)).all() and ((alone > 0) == (together > 0)).all(axis=1).mean() >= 0.9
 
 
 def test_unknown_languages_go(spark):
@@ -454,3 +510,24 @@ def test_op6_odd(spark):
     assert not out[2][0].keep and out[2][0].score == 0 and len(out[5]) == 2 and out[5][0] == out[5][1]
     assert quality.keep_good(docs, model).columns == docs.columns
     assert quality.classify(no_documents(spark), quality.fit(no_documents(spark))).count() == 0
+
+
+def test_op7_runs_of_anchors(spark):
+    """Signatures against a plain version, and a run of a million anchors."""
+    rnd = random.Random(5)
+    words = ["the", "of", "und", "la", "a", "cat", "dog", "x1", "The", "sat!"]
+    texts = ["", "the", "the of", "the of cat", "the cat the", *(" ".join(rnd.choice(words) for _ in range(rnd.randrange(40))) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length, distance in ((2, 1), (1, 1), (2, 2)):
+        chains = []
+        for k, t in enumerate(texts):
+            w = re.findall(r"\w+", t.lower())
+            for i, anchor in enumerate(w):
+                content = [x for x in w[i + 1 :] if x not in fingerprints.ANCHORS][: length * distance]
+                if anchor in fingerprints.ANCHORS and len(content) == length * distance:
+                    chains.append((k, " ".join([anchor, *content[distance - 1 :: distance]])))
+        plain = spark.createDataFrame(chains, "doc_id long, chain string").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.hash("chain"))).alias("want"))
+        both = docs.join(plain, "doc_id", "left").select("doc_id", fingerprints.signatures(F.col("text"), length, distance).alias("got"), F.coalesce("want", F.array(F.hash("text"))).alias("want"))
+        assert both.where("got <> want").isEmpty()
+    long = spark.createDataFrame([("the " * 1_000_000 + "cat sat",), ("the cat sat",)], "text string")
+    assert len({tuple(r[0]) for r in long.select(fingerprints.signatures(F.col("text"))).collect()}) == 1

@@ -168,3 +168,37 @@ def test_op5(spark, processor):
     for r in pieces.op5_sentencepiece(spark, "/root/testdata/sf0.001").collect():
         want = processor.encode(texts[r.doc_id] or "")
         assert (r.n_ids, r.ids_crc32) == (len(want), zlib.crc32(np.array(want, "<i4").tobytes())) and r.round_trip
+
+
+def test_op5_long_units_alone():
+    """Batches whose new units are all long, after known short ones too."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for first in ([], ["the cat sat"]):
+        for text in ("a" * 300, " " * 300, "\n" * 300, "the cat sat " + "a" * 300, "中" * 1000, "\U0001f600" * 400, "x" * 257 + " " + "y" * 258, "a" * 255, "", None):
+            encode = pieces.Encoder(PIECES)
+            encode(first)
+            assert [x.tolist() for x in encode([text])] == [library.encode(text or "")]
+
+
+@pytest.mark.parametrize("text", ["a" * 300, " " * 300])
+def test_one_row(spark, text):
+    """A table of one row with one long unit, for every operator on documents."""
+    from graphloom.llm import exact_dedup, fill_middle, fingerprints, language_id, near_dedup, quality
+
+    docs = spark.createDataFrame([(1, text, "en", "s", 300)], "doc_id long, text string, lang string, source string, n_chars long")
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert [r.ids for r in pieces.encoded(docs, PIECES).collect()] == [library.encode(text)]
+    assert [r.round_trip for r in pieces.digests(docs, PIECES).collect()] == [pieces.decoded(pieces.encoded(docs, PIECES), PIECES).collect()[0].text == text]
+    for out in (token_counts.token_counts(docs, BPE), packing.packed(docs, BPE), language_id.predict(docs, language_id.fit(docs)), fingerprints.fingerprints(docs), near_dedup.near_duplicates(docs), exact_dedup.exact_dedup(docs), fill_middle.fill_middle(docs)):
+        assert out.count() >= 1
+    assert quality.keep_good(docs, quality.fit(docs)).count() <= 1
+
+
+def test_runs_are_passed_once(library):
+    """Lines of thousands of letters: time in proportion to the text."""
+    import time
+
+    text = ("中" * 4000 + "\n") * 100
+    ids, began = packing.id_source(BPE), time.time()
+    assert ids(text)[:-1].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert time.time() - began < 10

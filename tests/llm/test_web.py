@@ -130,3 +130,14 @@ def test_op3(spark):
     for r in html_text.op3_html_text(spark, SMALL).collect():
         body = re.sub(r"(?s)<head>.*?</head>|<!--.*?-->|<script.*?</script>|<style.*?</style>", " ", source[r.page_id])
         assert words(r.text) == words(html.unescape(re.sub(r"<[^>]*>", " ", body))), r.page_id
+
+
+def test_nested_selects():
+    """Options belong to the nearest select; many levels take time in proportion."""
+    import time
+
+    assert render("<select><option>a<option selected>b<table><tr><td><select multiple><option>c<option>d</select></table></select>").split() == ["b", "c", "d"]
+    assert render("<select><optgroup><option>a</optgroup><option>b</select><option>c").split() == ["a", "c"]
+    began = time.time()
+    assert render("<select><option>a<option selected>b<table><td>" * 50_000).split() == ["b"] * 50_000
+    assert time.time() - began < 60
