@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences: five stages, each a table in Parquet.
 
 A stage gets the documents its predecessor kept and decides on all of them; all but the last
-return rows of ``documents`` unchanged.
+return rows of ``documents`` unchanged. For every stage, a null text counts as empty, rows without id are judged by their text,
+texts of any length are read whole, an empty table gives an empty result, and columns beside id and text only pass through
+(quality and language learn from labels where there are any).
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, language_id, near_dedup, packing, quality
-from graphloom.llm.shared import Shelf, table
+from graphloom.llm.shared import Shelf, owned, table
 
 #: Below this share of the main language, a document is taken for a jumble of languages.
 LEAST_SHARE = 0.3
@@ -35,12 +37,12 @@ def kept_rows(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps; equal texts get equal verdicts, so repeated rows stay or go together."""
     return quality.keep_good(docs, quality.fit(docs))
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language."""
+    """Documents with a main language; texts without a letter (null and empty ones too) go. Repeated rows stay or go together."""
     model = language_id.fit(docs.where(~language_id.is_held_out()))
     return language_id.keep_known(docs, model, LEAST_SHARE)
 
@@ -69,11 +71,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again, and what it needed is deleted then."""
     shelf, docs = Shelf(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        before = len(Shelf.opened)
-        docs = stage(spark, docs, sf_dir)
+        with owned() as shelves:
+            docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = shelf.keep(docs, f"stage{k}")
-            Shelf.clear(before)
+            for used in shelves:
+                used.delete()
             if k:
                 shelf.drop(f"stage{k - 1}")
     return docs
