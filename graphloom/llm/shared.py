@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,24 +37,14 @@ class Shelf:
     What an operator returns may read its shelf, so the shelf stays until its owner deletes it (see ``owned``).
     """
 
-    opened: ClassVar[list[Shelf]] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.opened.append(self)
         if (mine := SCOPE.get()) is not None:
             mine.append(self)
 
     def delete(self) -> None:
         delete(self.spark, self.path)
 
-    @classmethod
-    def clear(cls, since: int) -> None:
-        """Delete the shelves opened after the first ``since`` ones."""
-        while len(cls.opened) > since:
-            shelf = cls.opened.pop()
-            delete(shelf.spark, shelf.path)
-
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what reads it back."""
         df.write.option("compression", "zstd").mode("error").parquet(f"{self.path}/{name}")

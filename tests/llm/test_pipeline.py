@@ -35,11 +35,11 @@ def test_stages(spark):
 
 
 def test_run_leaves_its_last_tables_only(spark):
-    from graphloom.llm.shared import Shelf, shared_folder
+    from graphloom.llm.shared import shared_folder
 
     files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(shared_folder(spark)), spark._jsc.hadoopConfiguration())
     there = lambda: {x.getPath().getName() for x in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)))}
-    Shelf.opened[:], before = [], there()
+    before = there()
     out = corpus_pipeline.run(spark, SMALL)
     assert len(there() - before) == 1 and out.count() > 0
 
@@ -65,3 +65,28 @@ def test_odd_documents(spark):
         empty = stage(spark, empty, SMALL)
     assert empty.count() == 0
     assert near_dedup.near_duplicates(small(spark).where("false")).count() == 0
+
+
+def test_other_threads_keep_their_tables(spark):
+    """An operator's query in a second thread of the driver, while the pipeline runs."""
+    import threading
+
+    from graphloom.llm import exact_dedup
+
+    want = sorted(map(tuple, exact_dedup.op10_exact_dedup(spark, SMALL).collect()))
+    found, going = [], threading.Event()
+
+    def beside():
+        out = exact_dedup.op10_exact_dedup(spark, SMALL)
+        going.set()
+        done.wait(600)
+        found.append(sorted(map(tuple, out.collect())))
+
+    done = threading.Event()
+    thread = threading.Thread(target=beside)
+    thread.start()
+    rows = corpus_pipeline.run(spark, SMALL)
+    assert going.wait(600)
+    done.set()
+    thread.join()
+    assert found == [want] and rows.count() > 0
