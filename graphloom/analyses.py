@@ -9,10 +9,15 @@ from .model import PropertyGraph
 from .operators.prune import resolve_placeholders
 from .plans.planner import captured, match
 
-#: Node types that only pass a value on.
-PASSING = ("PiNode", "ValueProxyNode", "ValuePhiNode")
-#: Node types that are no values.
-NO_VALUES = ("StoreFieldNode", "FrameState", "CommitAllocationNode")
+#: Node types that only pass a value on, and node types that are no values.
+PASSING = ("PiNode", "VirtualInstanceNode", "ValuePhiNode", "VirtualObjectState", "MaterializedObjectState")
+NO_VALUES = ("PiNode", "VirtualInstanceNode", "ValuePhiNode", "BeginNode", "MergeNode", "EndNode", "FrameState", "VirtualObjectState", "MaterializedObjectState")
+
+
+def commits(graph: PropertyGraph) -> DataFrame:
+    """graph_id, commit, object: the allocated objects that each commit of allocations makes real."""
+    pattern = """digraph { c [label="(?P<commit>)|is('CommitAllocationNode')"]; o [label="(?P<object>)|is('AllocatedObjectNode')"]; c -> o [label="name() = 'commit'"] }"""
+    return captured(match(graph, pattern), pattern).distinct()
 
 
 def points_to(graph: PropertyGraph, field: str = "field", passing: tuple[str, ...] = PASSING, no_values: tuple[str, ...] = NO_VALUES) -> DataFrame:
@@ -23,7 +28,7 @@ def points_to(graph: PropertyGraph, field: str = "field", passing: tuple[str, ..
     all that its objects' field holds, whatever the order; loads of each other end in nothing.
     """
     either = lambda types: " or ".join(f"is('{t}')" for t in types)
-    stored = f"""digraph {{ value [label="(?P<value>)|not ({either((*passing, *no_values))})"]; nop [label="{either(passing)}"]; store [label="(?P<node>)|is('StoreFieldNode')"];
+    stored = f"""digraph {{ value [label="(?P<value>)|not ({either(dict.fromkeys((*passing, *no_values)))})"]; nop [label="{either(passing)}"]; store [label="(?P<node>)|is('StoreFieldNode')"];
         value -> nop [label="*|is('DATA')"]; nop -> store [label="name() = 'value'"] }}"""
     held = f"""digraph {{ alloc [label="(?P<object>)|is('AllocatedObjectNode')"]; nop [label="{either(passing)}"]; at [label="(?P<node>)|is('StoreFieldNode') or is('LoadFieldNode')"];
         alloc -> nop [label="*|is('DATA')"]; nop -> at [label="name() = 'object'"] }}"""

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions.predicates import EdgeTarget, to_column
 from .model import PropertyGraph
-from .operators import dataflow, domains, paths, prune
-from .operators.fixpoint import Attach, Rules, apply_recursively
+from .operators import dataflow, domains, numeric, paths, prune
+from .operators.fixpoint import Attach, Rules, apply_recursively, recursive_matches
 from .plans import sqltext
 from .plans.planner import captured, match, match_all
 from .sources import sinks, views
@@ -36,10 +36,10 @@ te AS (
  UNION ALL SELECT DISTINCT 6000000000000 + l_orderkey, 4000000000000 + l_suppkey, 'DATA', 'supplier' FROM lineitem)"""
 SESSION = """
 sn AS (SELECT event_id AS node_id, event_type AS kind, user_id FROM events),
-se AS (SELECT * FROM (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS dst, user_id FROM events) WHERE dst IS NOT NULL)"""
+se AS (SELECT * FROM (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst, user_id FROM events) WHERE dst IS NOT NULL)"""
 CONV = """
-cn AS (SELECT conv_id * 8 + turn AS node_id, role FROM conversations),
-ce AS (SELECT a.conv_id * 8 + a.turn AS src, a.conv_id * 8 + b.turn AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+cn AS (SELECT conv_id * 1048576 + turn AS node_id, role FROM conversations),
+ce AS (SELECT a.conv_id * 1048576 + a.turn AS src, a.conv_id * 1048576 + b.turn AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 RING = """
 sz AS (SELECT count(*) AS n FROM supplier),
 rn AS (SELECT s_suppkey AS node_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Even' ELSE 'Odd' END AS parity FROM supplier),
@@ -125,9 +125,10 @@ def chain_2hop(spark, sf):
     return flat(match(views.trade(spark, sf), dot("""o [label="is('orders')"]; c [label="is('customer')"]; n [label="is('nation')"]; o -> c [label="name() = 'customer'"]; c -> n [label="name() = 'nation'"]""")))
 
 
-@query("SELECT 3000000000000 + c_custkey AS c, 4000000000000 + s_suppkey AS s, 2000000000000 + c_nationkey AS n FROM customer JOIN supplier ON s_nationkey = c_nationkey")
+@query("SELECT 2000000000000 + c_nationkey AS n, c, s FROM (SELECT c_nationkey, string_agg(3000000000000 + c_custkey, ',' ORDER BY c_custkey) AS c FROM customer GROUP BY 1) JOIN (SELECT s_nationkey, string_agg(4000000000000 + s_suppkey, ',' ORDER BY s_suppkey) AS s FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey")
 def fan_in(spark, sf):
-    return flat(match(views.trade(spark, sf), dot("""c [label="is('customer')"]; s [label="is('supplier')"]; n; c -> n; s -> n""")))
+    """What leads to a nation, as groups: customers times suppliers grow with the square of a nation."""
+    return flat(match(views.trade(spark, sf), dot("""c [label="[]|is('customer')"]; s [label="[]|is('supplier')"]; n; c -> n; s -> n""")))
 
 
 @query("WITH p AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT 6000000000000 + l_orderkey AS o, 5000000000000 + l_partkey AS p, 4000000000000 + l_suppkey AS s FROM p JOIN s USING (l_orderkey)")
@@ -274,30 +275,46 @@ def attach_derived(spark, sf):
     return e.join(g.nodes.select(F.col("node_id").alias("d"), F.col("attrs")["owed"].cast("long").alias("owed")), "d").select(F.col("a").alias("source"), F.lit("Debtor").alias("cls"), "owed")
 
 
-@query("""WITH RECURSIVE n AS (SELECT count(DISTINCT user_id) AS n FROM events), u AS (SELECT DISTINCT user_id FROM events), has AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'),
-call AS (SELECT h.user_id AS a, (h.user_id * 3 + 1) % n AS b FROM has h, n), w AS (SELECT 1::BIGINT AS graph_id UNION SELECT b FROM w JOIN call ON a = graph_id JOIN u ON user_id = b) SELECT graph_id FROM w""")
-def worklist_multi_graph(spark, sf):
+WORKLIST = """WITH RECURSIVE n AS (SELECT count(DISTINCT user_id) AS n FROM events), u AS (SELECT DISTINCT user_id FROM events), has AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'),
+call AS (SELECT h.user_id AS a, (h.user_id * 3 + 1) % n AS b FROM has h, n), w AS (SELECT 1::BIGINT AS graph_id UNION SELECT b FROM w JOIN call ON a = graph_id JOIN u ON user_id = b)"""
+
+
+def user_calls(spark, sf):
+    """Every user's events are a graph; a purchase calls another user's."""
     g = views.session(spark, sf, by_user=True)
     n = g.nodes.select("graph_id").distinct().count()
     buys = F.array_contains("types", "purchase")
     nodes = g.nodes.withColumn("method_class", F.when(buys, F.lit("user"))).withColumn("method_name", F.when(buys, ((F.col("graph_id") * 3 + 1) % n).cast("string")))
     methods = g.nodes.select("graph_id").distinct().select("graph_id", F.lit("user").alias("method_class"), F.col("graph_id").cast("string").alias("method_name"))
     start = spark.range(1, 2).select(F.col("id").alias("graph_id"))
-    return apply_recursively(PropertyGraph.of(nodes, g.edges), dot("""v [label="is('purchase')"]"""), methods, start).select("graph_id")
+    return PropertyGraph.of(nodes, g.edges), methods, start
+
+
+@query(f"{WORKLIST} SELECT graph_id FROM w")
+def worklist_multi_graph(spark, sf):
+    g, methods, start = user_calls(spark, sf)
+    return apply_recursively(g, dot("""v [label="is('purchase')"]"""), methods, start).select("graph_id")
+
+
+@query(f"{WORKLIST} SELECT graph_id, event_id AS v FROM w LEFT JOIN events ON user_id = graph_id AND event_type = 'purchase'")
+def worklist_matches(spark, sf):
+    """The matches in each graph that the worklist reaches; a graph without one has a row of nulls."""
+    g, methods, start = user_calls(spark, sf)
+    return recursive_matches(g, dot("""v [label="is('purchase')"]"""), methods, start).drop("round")
 
 
 # Dataflow and domains
 
 
 
-@query(f"""WITH {CONV}, t AS (SELECT conv_id, turn, role FROM conversations) SELECT b.conv_id * 8 + b.turn AS node_id, coalesce(string_agg(DISTINCT a.role, ',' ORDER BY a.role) FILTER (a.turn < b.turn), '') AS before, string_agg(DISTINCT a.role, ',' ORDER BY a.role) AS after
+@query(f"""WITH {CONV}, t AS (SELECT conv_id, turn, role FROM conversations) SELECT b.conv_id * 1048576 + b.turn AS node_id, coalesce(string_agg(DISTINCT a.role, ',' ORDER BY a.role) FILTER (a.turn < b.turn), '') AS before, string_agg(DISTINCT a.role, ',' ORDER BY a.role) AS after
 FROM t b JOIN t a ON a.conv_id = b.conv_id AND a.turn <= b.turn AND (SELECT count(*) FROM t c WHERE c.conv_id = b.conv_id AND c.turn BETWEEN a.turn AND b.turn) = b.turn - a.turn + 1 GROUP BY b.conv_id, b.turn""")
 def dataflow_forward_union(spark, sf):
     out = dataflow.forwards(views.conversation(spark, sf), dataflow.gather_types(["system", "user", "assistant"]))
     return flat(out.select("node_id", "before", "after"))
 
 
-@query(f"""WITH {CONV}, t AS (SELECT conv_id, turn, role FROM conversations) SELECT b.conv_id * 8 + b.turn AS node_id, coalesce(string_agg(DISTINCT a.role, ',' ORDER BY a.role) FILTER (a.turn > b.turn), '') AS before, string_agg(DISTINCT a.role, ',' ORDER BY a.role) AS after
+@query(f"""WITH {CONV}, t AS (SELECT conv_id, turn, role FROM conversations) SELECT b.conv_id * 1048576 + b.turn AS node_id, coalesce(string_agg(DISTINCT a.role, ',' ORDER BY a.role) FILTER (a.turn > b.turn), '') AS before, string_agg(DISTINCT a.role, ',' ORDER BY a.role) AS after
 FROM t b JOIN t a ON a.conv_id = b.conv_id AND a.turn >= b.turn AND (SELECT count(*) FROM t c WHERE c.conv_id = b.conv_id AND c.turn BETWEEN b.turn AND a.turn) = a.turn - b.turn + 1 GROUP BY b.conv_id, b.turn""")
 def dataflow_backward_union(spark, sf):
     out = dataflow.backwards(views.conversation(spark, sf), dataflow.gather_types(["system", "user", "assistant"]))
@@ -344,13 +361,13 @@ def state_assume_assign(spark, sf):
 # Pruning
 
 
-@query(f"WITH {CONV} SELECT node_id FROM cn WHERE node_id NOT IN (SELECT c.conv_id * 8 + c.turn FROM conversations c JOIN (SELECT conv_id, turn FROM conversations WHERE role = 'assistant') f ON f.conv_id = c.conv_id AND c.turn >= f.turn WHERE (SELECT count(*) FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn BETWEEN f.turn AND c.turn) = c.turn - f.turn + 1) AND node_id NOT IN (SELECT a.conv_id * 8 + a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE NOT EXISTS (SELECT 1 FROM conversations z WHERE z.conv_id = a.conv_id AND z.turn = a.turn - 1))")
+@query(f"WITH {CONV} SELECT node_id FROM cn WHERE node_id NOT IN (SELECT c.conv_id * 1048576 + c.turn FROM conversations c JOIN (SELECT conv_id, turn FROM conversations WHERE role = 'assistant') f ON f.conv_id = c.conv_id AND c.turn >= f.turn WHERE (SELECT count(*) FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn BETWEEN f.turn AND c.turn) = c.turn - f.turn + 1) AND node_id NOT IN (SELECT a.conv_id * 1048576 + a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE NOT EXISTS (SELECT 1 FROM conversations z WHERE z.conv_id = a.conv_id AND z.turn = a.turn - 1))")
 def prune_forward(spark, sf):
     g = views.conversation(spark, sf)
     return prune.remove_forwards(g, g.nodes.where(F.array_contains("types", "assistant")).select("graph_id", "node_id")).nodes.select("node_id")
 
 
-@query("""SELECT b.conv_id * 8 + b.turn AS node_id FROM conversations b JOIN conversations e ON e.conv_id = b.conv_id AND e.turn >= b.turn AND e.role = 'assistant'
+@query("""SELECT b.conv_id * 1048576 + b.turn AS node_id FROM conversations b JOIN conversations e ON e.conv_id = b.conv_id AND e.turn >= b.turn AND e.role = 'assistant'
 AND NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = e.conv_id AND x.turn = e.turn + 1)
 WHERE (SELECT count(*) FROM conversations x WHERE x.conv_id = b.conv_id AND x.turn BETWEEN b.turn AND e.turn) = e.turn - b.turn + 1""")
 def remove_leaves(spark, sf):
@@ -408,3 +425,40 @@ def web_targets(spark, sf):
 
 
 
+
+
+def order_programs(spark, sf):
+    """A program a graph: of each order, x := 0; while x < items: if quantity <= 25, z := x + 1, else z := x + 2; x := z. Nodes: 0 start, 1 loop head,
+    2 branch, 3 and 4 its arms, 5 their merge, 6 behind the loop."""
+    lines = views.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("graph_id")).agg(F.count("*").alias("items"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    types = F.create_map(*[x for k, t in enumerate(["StartNode", "LoopBeginNode", "IfNode", "BeginNode", "BeginNode", "MergeNode", "LoopExitNode"]) for x in (F.lit(k), F.lit(t))])
+    nodes = lines.select("graph_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("node_id")).withColumn("types", F.array(types[F.col("node_id")]))
+    form, limit = numeric.step, F.col("items").cast("double")
+    parts = [
+        (0, 1, "next", [form("assign", "x")]),
+        (1, 2, "trueSuccessor", [form("assume", "x", "<", None, limit)]),
+        (1, 6, "falseSuccessor", [form("assume", "x", ">=", None, limit)]),
+        (2, 3, "trueSuccessor", [form("assume", "quantity", "<=", None, 25)]),
+        (2, 4, "falseSuccessor", [form("assume", "quantity", ">", None, 25)]),
+        (3, 5, "next", [form("assign", "z", "", {"x": 1}, 1)]),
+        (4, 5, "next", [form("assign", "z", "", {"x": 1}, 2)]),
+        (5, 1, "next", [form("assign", "x", "", {"z": 1}), form("forget", "z")]),
+    ]
+    each = F.array(*(F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.lit(label).alias("label"), F.array(*ops).alias("steps")) for a, b, label, ops in parts))
+    steps = lines.select("graph_id", F.inline(each))
+    edges = steps.select("graph_id", "src", "dst", F.lit("CONTROL").alias("etype"), "label")
+    bounds = domains.interval(F.col("low").cast("double"), F.col("high").cast("double"))
+    start = lines.select("graph_id", F.lit(0).alias("node_id"), F.create_map(F.lit("quantity"), bounds).alias("state"))
+    return PropertyGraph.of(nodes, edges), steps, start
+
+
+@query("""WITH o AS (SELECT l_orderkey AS graph_id, count(*) AS items, ceil(min(l_quantity))::DOUBLE AS low, floor(max(l_quantity))::DOUBLE AS high FROM lineitem GROUP BY l_orderkey),
+s AS (SELECT *, CASE WHEN low <= 25 THEN 1 ELSE 2 END AS least, CASE WHEN high > 25 THEN 2 ELSE 1 END AS most FROM o)
+SELECT graph_id, 1 AS node_id, 'x' AS name, 0.0::DOUBLE AS lo, (items - 1 + most)::DOUBLE AS hi FROM s UNION ALL SELECT graph_id, 6, 'x', items, items - 1 + most FROM s UNION ALL SELECT graph_id, 5, 'z', least, items - 1 + most FROM s
+UNION ALL SELECT graph_id, 5, 'x', 0, items - 1 FROM s UNION ALL SELECT graph_id, 3, 'quantity', low, least(high, 25) FROM s WHERE low <= 25 UNION ALL SELECT graph_id, 4, 'quantity', greatest(low, 26), high FROM s WHERE high > 25""")
+def numeric_loops(spark, sf):
+    graph, steps, start = order_programs(spark, sf)
+    states = numeric.analyse(graph, steps, start, F.array_contains("types", "LoopBeginNode"))
+    rows = states.select("graph_id", "node_id", F.explode("state").alias("name", "bounds"))
+    wanted = F.concat_ws(" ", F.col("node_id").cast("string"), "name").isin("1 x", "6 x", "5 z", "5 x", "3 quantity", "4 quantity")
+    return rows.where(wanted).select("graph_id", F.col("node_id").cast("int").alias("node_id"), "name", "bounds.lo", "bounds.hi")

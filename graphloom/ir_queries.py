@@ -104,7 +104,7 @@ def pattern_export(spark, sf):
     return spark.createDataFrame([(p.export(), read_pattern(p.export()) == p)], "dot string, same boolean")
 
 
-@query(f"""WITH {CONV}, c AS (SELECT conv_id AS graph_id, conv_id * 8 + turn AS id, role FROM conversations), e AS (SELECT src // 8 AS graph_id, src, dst FROM ce),
+@query(f"""WITH {CONV}, c AS (SELECT conv_id AS graph_id, conv_id * 1048576 + turn AS id, role FROM conversations), e AS (SELECT src // 1048576 AS graph_id, src, dst FROM ce),
 lines AS (SELECT graph_id, 0 AS k, '  "ir' || id || '" [ label="' || role || '", shape="ellipse", root="false" ];' AS line FROM c
  UNION ALL SELECT graph_id, 1, '  "ir' || src || '" -> "ir' || dst || '" [ label="next", color="red", style="", weight="10" ];' FROM e),
 t AS (SELECT graph_id, 'digraph G {{' || chr(10) || string_agg(line, chr(10) ORDER BY k, line) || chr(10) || '}}' || chr(10) AS t FROM lines GROUP BY graph_id),
@@ -112,7 +112,7 @@ r AS (SELECT e.graph_id, string_agg('{{"u":["' || src || '"],"v":["' || dst || '
 SELECT graph_id, '{{"graph":' || to_json(t)::VARCHAR || ',"queryResults":[' || coalesce(r, '') || '],"queryVertices":{{"u":"asks","v":""}}}}' AS json FROM t LEFT JOIN r USING (graph_id)""")
 def query_json(spark, sf):
     g = views.conversation(spark, sf)
-    own = lambda df, c: df.withColumn("graph_id", F.floor(F.col(c) / 8).cast("long"))
+    own = lambda df, c: df.withColumn("graph_id", F.shiftright(c, 20))
     g = PropertyGraph.of(own(g.nodes, "node_id"), own(g.edges, "src"))
     return sinks.query_json(g, dot("""u [label="(?P<asks>)|is('user')"]; v; u -> v"""))
 
@@ -211,14 +211,14 @@ def methods(spark: SparkSession, sf: str) -> PropertyGraph:
     return PropertyGraph.of(g.nodes.withColumn("types", types), g.edges.withColumn("label", F.when(F.col("dst") % 8 == 6, "exceptionEdge").otherwise("next")))
 
 
-@query(f"""WITH {RUNS} SELECT c.conv_id * 8 + c.turn AS node_id FROM conversations c JOIN runs r ON r.conv_id = c.conv_id AND c.turn BETWEEN lo AND hi
+@query(f"""WITH {RUNS} SELECT c.conv_id * 1048576 + c.turn AS node_id FROM conversations c JOIN runs r ON r.conv_id = c.conv_id AND c.turn BETWEEN lo AND hi
 WHERE NOT (hi >= 6 AND lo <= 5 AND (c.turn >= 6 OR lo = 5)) AND NOT (lo >= 6 AND hi = 7)""")
 def remove_exceptions(spark, sf):
     return prune.remove_exceptions(methods(spark, sf)).nodes.select("node_id")
 
 
 @query(f"""WITH {RUNS}, cut AS (SELECT conv_id, lo, CASE WHEN lo <= 5 AND hi >= 6 THEN 5 ELSE hi END AS hi FROM runs WHERE NOT (lo = 5 AND hi >= 6) AND NOT (lo >= 6 AND hi = 7))
-SELECT c.conv_id * 8 + c.turn AS node_id FROM conversations c JOIN cut r ON r.conv_id = c.conv_id AND c.turn BETWEEN lo AND hi JOIN conversations e ON e.conv_id = r.conv_id AND e.turn = r.hi WHERE e.role = 'assistant'""")
+SELECT c.conv_id * 1048576 + c.turn AS node_id FROM conversations c JOIN cut r ON r.conv_id = c.conv_id AND c.turn BETWEEN lo AND hi JOIN conversations e ON e.conv_id = r.conv_id AND e.turn = r.hi WHERE e.role = 'assistant'""")
 def simplify(spark, sf):
     return prune.simplify(methods(spark, sf)).nodes.select("node_id")
 

@@ -33,7 +33,12 @@ def interval(lo: Column | float, hi: Column | float) -> Column:
 
 
 def top() -> Column:
-    return interval(-INF, INF)
+    return F.struct(F.lit(-INF).alias("lo"), F.lit(INF).alias("hi"))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), where ``value`` is one expression, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def is_empty(a: Column) -> Column:
@@ -154,7 +159,8 @@ def forget(state: Column, *names: str) -> Column:
 
 def zip_states(a: Column, b: Column, how) -> Column:
     """Variable by variable; one that a side doesn't declare is unbounded there (both are conformed)."""
-    return F.map_zip_with(a, b, lambda _, x, y: how(F.coalesce(x, top()), F.coalesce(y, top())))
+    sides = lambda x, y: F.struct(F.coalesce(x, top()).alias("x"), F.coalesce(y, top()).alias("y"))
+    return F.map_zip_with(a, b, lambda _, x, y: let(sides(x, y), lambda s: how(s["x"], s["y"])))
 
 
 def join_states(a: Column, b: Column) -> Column:

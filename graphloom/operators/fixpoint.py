@@ -201,6 +201,18 @@ def apply_recursively(graph: PropertyGraph, pattern: str | Pattern, methods: Dat
     return reach.select(F.col("last").alias("graph_id"), F.col("hops").cast("int").alias("round"))
 
 
+def recursive_matches(graph: PropertyGraph, pattern: str | Pattern, methods: DataFrame, start: DataFrame, wanted: Column | None = None, rounds: int | None = None, max_length: int = 32) -> DataFrame:
+    """graph_id, round and the pattern's vertices: the matches in every graph that ``apply_recursively`` reaches.
+
+    A reached graph without a match has one row with nulls, so the graphs are the same. All graphs are matched at once.
+    """
+    pattern = read_pattern(pattern) if isinstance(pattern, str) else pattern
+    reached = keep(apply_recursively(graph, pattern, methods, start, wanted, rounds).select("graph_id", F.col("round").alias("calls to it")))
+    here = PropertyGraph(*(t.join(reached, "graph_id", "left_semi").select(t.columns) for t in (graph.nodes, graph.edges)))
+    found = match(here, pattern, max_length=max_length)
+    return reached.join(found, "graph_id", "left").withColumnRenamed("calls to it", "round")
+
+
 def callers(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
     """The nodes with a method that a pattern binds, of paths the last."""
     rows = match(graph, pattern)

@@ -49,24 +49,17 @@ def simple_paths(graph: PropertyGraph, starts: DataFrame, edge: Column, node: Co
 def reachable(graph: PropertyGraph, starts: DataFrame, edge: Column, node: Column | None = None, zero: bool = True) -> DataFrame:
     """graph_id, start, last: what paths from each start reach, without the paths; cycles are fine.
 
-    By doubling: after round k all paths of less than 2 ** k hops are known, and the ends of paths of
-    exactly 2 ** k hops, so rounds grow with the logarithm of the longest shortest path. ``zero``: starts
+    Only what the starts reach is walked, by ``shortest``, whose jumps grow only while that keeps them few. ``zero``: starts
     reach themselves, else only by a path.
     """
-    jump = keep(hops(graph, edge, node).select("graph_id", F.col("src").alias("last"), F.col("dst").alias("to")))
-    had = -1
-    first = starts.select("graph_id", "start").distinct()
-    reach = first.withColumn("last", F.col("start")) if zero else first.withColumnRenamed("start", "last").join(jump, ["graph_id", "last"]).select("graph_id", F.col("last").alias("start"), F.col("to").alias("last"))
-    reach = keep(reach)
-    while (has := reach.count()) > had:
-        more = reach.join(jump, ["graph_id", "last"]).select("graph_id", "start", F.col("to").alias("last"))
-        wider = keep(reach.unionByName(more).distinct())
-        twice = jump.withColumnRenamed("to", "via").join(jump.withColumnRenamed("last", "via"), ["graph_id", "via"]).select("graph_id", "last", "to").distinct()
-        longer = keep(twice)
-        forget(reach, jump)
-        reach, jump, had = wider, longer, has
-    forget(jump)
-    return reach
+    at = lambda c: F.struct("graph_id", F.col(c).alias("node"))
+    step = keep(hops(graph, edge, node).select(at("src").alias("last"), at("dst").alias("to")))
+    first = starts.select("graph_id", "start").distinct().select(at("start").alias("start"), at("start").alias("last"))
+    if not zero:
+        first = first.join(step, "last").select("start", F.col("to").alias("last"))
+    reach = shortest(first, step)
+    forget(step)
+    return reach.select("start.graph_id", F.col("start.node").alias("start"), F.col("last.node").alias("last"))
 
 
 #: Jumps are doubled while there can be at most so many of them for each hop.

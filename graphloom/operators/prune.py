@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
 from . import paths
-from .kept import forget, keep
+from .kept import forget, keep, keep_counted
 
 KEY = ["graph_id", "node_id"]
 
@@ -91,17 +91,52 @@ def simplify(graph: PropertyGraph, start: str = "StartNode", returns: str = "Ret
     return out
 
 
+def run_ends(one: DataFrame) -> DataFrame:
+    """node, to: where runs of nodes that only lead on end (one: node, to, a row a node); nodes whose run is a cycle have no row.
+
+    By pointer jumping: rounds grow with the logarithm of the longest run, a round has a row a node.
+    """
+    ends, n = keep_counted(one.select("node", "to"))
+    for _ in range(n.bit_length() + 1):
+        ahead = ends.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+        jumped, moved = keep_counted(ends.join(ahead, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), F.col("moved"))
+        forget(ends)
+        ends = jumped
+        if not moved:
+            break
+    out = keep(ends.join(one.select(F.col("node").alias("to")), "to", "left_anti").select("node", "to"))
+    forget(ends)
+    return out
+
+
 def resolve_placeholders(edges: DataFrame, placeholders: DataFrame) -> DataFrame:
     """Edges (src, dst) whose dst is a placeholder (placeholders: node_id) lead to that placeholder's
-    targets instead, until none is left; a cycle of placeholders resolves to what leads out of it. Chains of
-    any length are followed, by ``paths.shortest``."""
+    targets instead, until none is left; a cycle of placeholders resolves to what leads out of it.
+
+    Placeholders that only lead to one other placeholder are skipped by ``run_ends``, so that a chain with one way out costs
+    a row a placeholder; chains of the rest are followed by ``paths.shortest``.
+    """
     marks = keep(placeholders.select(F.col("node_id").alias("dst")).distinct())
     sources = marks.withColumnRenamed("dst", "src")
     e = keep(edges.select("src", "dst").distinct())
     final, first = (e.join(sources, "src", "left_anti").join(marks, "dst", how).select("src", "dst") for how in ("left_anti", "left_semi"))
     out = e.join(sources, "src", "left_semi")
-    exits = out.join(marks, "dst", "left_anti").select(F.col("src").alias("last"), F.col("dst").alias("to"))
-    starts = first.select(F.col("dst").alias("start"), F.col("dst").alias("last"))
-    reach = paths.shortest(starts, out.join(marks, "dst", "left_semi").select(F.col("src").alias("last"), F.col("dst").alias("to")))
+    only = out.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1").join(marks, "dst", "left_semi")
+    only = keep(only.select(F.col("src").alias("node"), F.col("dst").alias("to")))
+    ends = run_ends(only)
+
+    def skipped(rows: DataFrame, c: str) -> DataFrame:
+        """``rows`` with the placeholder that ``c`` leads to instead of ``c``; rows that lead into a closed cycle go."""
+        stays = rows.join(only.select(F.col("node").alias(c)), c, "left_anti")
+        moved = rows.join(ends.select(F.col("node").alias(c), F.col("to").alias("end of run")), c).withColumn(c, F.col("end of run")).drop("end of run")
+        return stays.select(rows.columns).unionByName(moved.select(rows.columns))
+
+    mine = out.join(only.select(F.col("node").alias("src")), "src", "left_anti")
+    exits = mine.join(marks, "dst", "left_anti").select(F.col("src").alias("last"), F.col("dst").alias("to"))
+    first = keep(skipped(first, "dst").distinct())
+    steps = keep(skipped(mine.join(marks, "dst", "left_semi").select("src", "dst"), "dst").distinct().select(F.col("src").alias("last"), F.col("dst").alias("to")))
+    starts = first.select(F.col("dst").alias("start"), F.col("dst").alias("last")).distinct()
+    reach = paths.shortest(starts, steps)
+    forget(steps)
     targets = reach.join(exits, "last").select(F.col("start").alias("dst"), "to").distinct()
     return final.unionByName(first.join(targets, "dst").select("src", F.col("to").alias("dst"))).distinct()

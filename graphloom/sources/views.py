@@ -13,6 +13,8 @@ from ..model import PropertyGraph
 
 KIND = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "orders": 6}
 BASE = 10**12
+#: Numbers of turns that a conversation's nodes have room for.
+TURNS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +67,7 @@ def session(spark: SparkSession, sf_dir: str, by_user: bool = False) -> Property
     events = table(spark, sf_dir, "events")
     graph = (F.col("user_id") if by_user else F.lit(0)).cast("long").alias("graph_id")
     nodes = events.select(graph, F.col("event_id").alias("node_id"), F.array("event_type", F.lit("Event")).alias("types"), F.col("event_type").alias("name"))
-    following = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts"))
+    following = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     edges = events.select(graph, F.col("event_id").alias("src"), following.alias("dst"), F.lit("CONTROL").alias("etype"), F.lit("next").alias("label")).where("dst IS NOT NULL")
     return PropertyGraph.of(nodes, edges)
 
@@ -73,7 +75,7 @@ def session(spark: SparkSession, sf_dir: str, by_user: bool = False) -> Property
 def conversation(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Turns; each one leads to the next of its conversation."""
     turns = table(spark, sf_dir, "conversations")
-    at = F.col("conv_id") * 8 + F.col("turn")
+    at = F.col("conv_id") * TURNS + F.col("turn")
     nodes = turns.select(at.alias("node_id"), F.array("role", F.lit("Turn")).alias("types"), F.col("role").alias("name"))
     here = turns.select(at.alias("src"), (at + 1).alias("dst"), (F.col("turn") + 1).alias("turn"), "conv_id")
     edges = here.join(turns.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")

@@ -1,11 +1,12 @@
 import json
+import math
 
 import pytest
 from graphloom import analyses
 from graphloom.functions.predicates import EdgeTarget, to_column
 from graphloom.model import PropertyGraph
 from graphloom.operators import dataflow, paths, prune
-from graphloom.operators.fixpoint import Attach, Rules, apply_recursively
+from graphloom.operators.fixpoint import Attach, Rules, apply_recursively, recursive_matches
 from graphloom.plans.planner import candidates
 from graphloom.sources import ir, sinks
 from pyspark.sql import functions as F
@@ -202,3 +203,80 @@ def test_exports(spark, tmp_path):
 def test_candidates(spark):
     rows = candidates(code(spark), "digraph { a [label=\"is('StartNode')\"]; b [label=\"is('FixedNode')\"]; c [label=\"'x' = 1\"]; a -> b -> c }")
     assert {r.vertex: r.n for r in rows.collect()} == {"a": 1, "b": 7, "c": 0}
+
+
+def test_recursive_matches(spark):
+    """Matches of reached graphs; a reached graph without any keeps a row."""
+    calls = [(1, 1, ["Invoke"], "C", "2"), (1, 2, ["Invoke"], "C", "3"), (2, 1, ["Other"], None, None), (3, 7, ["Invoke"], "D", "9"), (4, 1, ["Invoke"], "C", "1")]
+    g = PropertyGraph.of(spark.createDataFrame(calls, "graph_id long, node_id long, types array<string>, method_class string, method_name string"), spark.sql("SELECT 1L AS graph_id, 1L AS src, 1L AS dst"))
+    methods = spark.createDataFrame([(k, "C", str(k)) for k in range(1, 5)], "graph_id long, method_class string, method_name string")
+    got = recursive_matches(g, "digraph { v [label=\"is('Invoke')\"] }", methods, spark.sql("SELECT 1L AS graph_id"))
+    assert sorted(map(tuple, got.select("graph_id", "round", "v").collect()), key=repr) == [(1, 0, 1), (1, 0, 2), (2, 1, None), (3, 1, 7)]
+
+
+def test_placeholders(spark):
+    """Chains with one way out in a row each, closed cycles, cycles with a way out, branches, chains into them."""
+    n = 5000
+    edges = [(-1, 0), *((k, k + 1) for k in range(n)), (n, -2), (-3, 100_000), *((100_000 + k, 100_000 + (k + 1) % 7) for k in range(7)), (-4, 200_000), (200_000, 200_001), (200_001, 200_000), (200_001, -5), (200_000, -6)]
+    edges += [(-7, 300_000), (300_000, 0), (300_000, 100_003), (300_000, -8), (-9, -10), (400_000, 400_000), (-11, 400_000)]
+    marks = [*range(n + 1), *range(100_000, 100_007), 200_000, 200_001, 300_000, 400_000]
+    got = prune.resolve_placeholders(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(m,) for m in marks], "node_id long"))
+    assert sorted(map(tuple, got.collect())) == sorted([(-1, -2), (-4, -5), (-4, -6), (-7, -2), (-7, -8), (-9, -10)])
+    ends = prune.run_ends(spark.createDataFrame([e for e in edges if 0 <= e[0] < n] + [(100_000 + k, 100_000 + (k + 1) % 7) for k in range(7)], "node long, to long"))
+    assert ends.count() == n and {r.to for r in ends.collect()} == {n}
+
+
+def test_reach_of_one_start(spark):
+    """Only what the start reaches is walked, in a graph whose squares would be far larger."""
+    from random import Random
+
+    r = Random(5)
+    edges = [(r.randrange(20_000), r.randrange(20_000)) for _ in range(60_000)] + [(30_000 + r.randrange(300), 30_000 + r.randrange(300)) for _ in range(9000)]
+    g = PropertyGraph.of(spark.createDataFrame([(0, ["N"])], "node_id long, types array<string>"), spark.createDataFrame(edges, "src long, dst long"))
+    out, seen, front = {}, {0}, [0]
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    while front:
+        front = [b for a in front for b in out.get(a, []) if b not in seen and not seen.add(b)]
+    starts = spark.createDataFrame([(0, 0)], "graph_id long, start long")
+    assert ids(paths.reachable(g, starts, to_column("true", EdgeTarget())), "last") == sorted(seen)
+    first = {b for a, b in edges if a == 0}
+    assert first <= set(ids(paths.reachable(g, starts, to_column("true", EdgeTarget()), zero=False), "last"))
+
+
+def test_numeric(spark):
+    """Two nested loops, an arm that can't be taken, an unknown variable, and a cycle without a head."""
+    from graphloom.operators import numeric
+
+    step = numeric.step
+    parts = [
+        (1, 0, 1, [step("assign", "i")]),
+        (1, 1, 2, [step("assume", "i", "<", None, 10)]),
+        (1, 2, 3, [step("assign", "j", "", {"i": 0}, -1)]),
+        (1, 3, 4, [step("assume", "j", "<=", {"limit": 1}, 10)]),
+        (1, 4, 3, [step("assign", "j", "", {"j": 1}, 3)]),
+        (1, 3, 5, [step("assume", "j", ">", None, 20)]),
+        (1, 5, 1, [step("assign", "i", "", {"i": 1}, 1)]),
+        (1, 1, 6, [step("assume", "i", ">=", None, 10)]),
+        (1, 6, 7, [step("assume", "i", "!=", None, 10)]),
+        (1, 0, 8, [step("assume", "n", ">", None, 4), step("assign", "m", "", {"n": -2}, 1), step("forget", "n")]),
+        (2, 0, 1, []),
+        (2, 1, 0, [step("assign", "k", "", {"k": 1}, 1)]),
+        (3, 5, 6, []),
+    ]
+    flows = None
+    for graph, a, b, ops in parts:
+        row = spark.range(1).select(F.lit(graph).cast("long").alias("graph_id"), F.lit(a).cast("long").alias("src"), F.lit(b).cast("long").alias("dst"), F.lit(f"{a}").alias("label"), F.array(*ops).cast(f"array<{numeric.STEP}>").alias("steps"))
+        flows = row if flows is None else flows.unionByName(row)
+    nodes = spark.createDataFrame([(g, k, ["LoopBegin"] if (g, k) in ((1, 1), (1, 3)) else ["N"]) for g in (1, 2, 3) for k in range(9)], "graph_id long, node_id long, types array<string>")
+    g = PropertyGraph.of(nodes, flows.select("graph_id", "src", "dst", F.lit("CONTROL").alias("etype"), "label"))
+    start = spark.sql("SELECT * FROM VALUES (1L, 0L, map('limit', named_struct('lo', 10D, 'hi', 10D))), (2L, 0L, map('k', named_struct('lo', 0D, 'hi', 0D))), (3L, 0L, NULL) AS t(graph_id, node_id, state)")
+    out = numeric.analyse(g, flows.where("size(steps) > 0"), start, F.array_contains("types", "LoopBegin"), patience=6)
+    got = {(r.graph_id, r.node_id): {k: (v.lo, v.hi) for k, v in r.state.items() if (v.lo, v.hi) != (-math.inf, math.inf)} for r in out.collect()}
+    assert {k[1] for k in got if k[0] == 1} == set(range(9)) and not {k for k in got if k[0] == 3}
+    limit, inf = {"limit": (10, 10)}, math.inf
+    #: The inner head gives up the outer loop's counter, which no condition of the inner loop holds.
+    assert got[1, 1] == {**limit, "i": (0, inf)} and got[1, 2] == {**limit, "i": (0, 9)} and got[1, 6] == {**limit, "i": (10, inf)} and got[1, 7] == {**limit, "i": (11, inf)}
+    assert got[1, 3] == {**limit, "i": (0, inf), "j": (-1, 23)} and got[1, 4] == {**limit, "i": (0, inf), "j": (-1, 20)} and got[1, 5] == {**limit, "i": (0, inf), "j": (21, 23)}
+    assert got[1, 8] == {**limit, "m": (-inf, -9)}
+    assert got[2, 0] == {"k": (0, math.inf)} and got[2, 1] == {"k": (0, math.inf)}
