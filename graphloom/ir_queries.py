@@ -94,14 +94,22 @@ def control_listing(spark, sf):
     return sinks.control_lines(views.session(spark, sf)).drop("graph_id")
 
 
-EXPORTED = dot("""a [label="[](?P<x>)|is('orders') and not (name = 'n')"]; b; a -> b [label="*|is('DATA')"]""").replace("name = 'n'", "five = 5")
+def event_types(spark, sf) -> list[str]:
+    """The vocabulary of event types, which patterns are made from."""
+    return sorted(r[0] for r in views.table(spark, sf, "events").where("event_type IS NOT NULL").select("event_type").distinct().collect())
 
 
-@query("""SELECT 'digraph "G" {' || chr(10) || '  "a" [ label="[](?P<x>)|is(''orders'') and not five = 5" ];' || chr(10) || '  "b" [ label="1 = 1" ];' || chr(10) || '  "a" -> "b" [ label="*|is(''DATA'')" ];' || chr(10) || '}' || chr(10) AS dot, true AS same""")
+@query(f"""WITH {SESSION} SELECT kind, 'digraph "G" {{' || chr(10) || '  "a" [ label="(?P<x>)|is(' || chr(39) || kind || chr(39) || ') or not five = 5" ];' || chr(10) || '  "b" [ label="1 = 1" ];' || chr(10) || '  "a" -> "b" [ label="name() = ' || chr(39) || 'next' || chr(39) || '" ];' || chr(10) || '}}' || chr(10) AS dot, true AS same, count(dst) AS n
+FROM sn LEFT JOIN se ON src = node_id GROUP BY kind""")
 def pattern_export(spark, sf):
-    """A pattern as text, and whether reading the text gives the same pattern."""
-    p = read_pattern(EXPORTED)
-    return spark.createDataFrame([(p.export(), read_pattern(p.export()) == p)], "dot string, same boolean")
+    """For each type of event, a pattern as text, whether reading the text gives the same pattern, and how often what was read matches."""
+    graph, rows, found = views.session(spark, sf), [], []
+    for kind in event_types(spark, sf):
+        p = read_pattern(dot(f"""a [label="(?P<x>)|is('{kind}') or not (five = 5)"]; b; a -> b [label="name() = 'next'"]"""))
+        again = read_pattern(p.export())
+        rows.append((kind, p.export(), again == p))
+        found.append(match(graph, again).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n"))
+    return spark.createDataFrame(rows, "kind string, dot string, same boolean").join(views.union(found), "kind")
 
 
 @query(f"""WITH {CONV}, c AS (SELECT conv_id AS graph_id, conv_id * 1048576 + turn AS id, role FROM conversations), e AS (SELECT src // 1048576 AS graph_id, src, dst FROM ce),
@@ -155,37 +163,39 @@ def sql_backend_kleene(spark, sf):
     return flat(sqltext.match_by_sql(views.conversation(spark, sf), dot("""u [label="is('user')"]; w; u -> w [label="*|is('CONTROL')"]""")))
 
 
-@query("SELECT 'nowhere' AS name, true AS is_error")
-def unknown_name(spark, sf):
-    """A name that the predicate language doesn't have is an error, not a match of nothing."""
+def is_error(graph: PropertyGraph, pattern: str) -> bool:
     try:
-        match(views.trade(spark, sf), dot("""v [label="nowhere = 5"]"""))
-        error = False
-    except PredicateError:
-        error = True
-    return spark.createDataFrame([("nowhere", error)], "name string, is_error boolean")
+        match(graph, pattern)
+    except (PatternError, PredicateError):
+        return True
+    return False
+
+
+@query("SELECT event_type AS name, count(*) AS n, true AS is_error, false AS as_text FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def unknown_name(spark, sf):
+    """A name that the predicate language doesn't have is an error, not a match of nothing: the types of events, as names and as text."""
+    graph = views.session(spark, sf)
+    rows = [(t, is_error(graph, dot(f"""v [label="{t} = 5"]""")), is_error(graph, dot(f"""v [label="'{t}' = 'x'"]"""))) for t in event_types(spark, sf)]
+    events = views.table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+    return events.join(spark.createDataFrame(rows, "name string, is_error boolean, as_text boolean"), "name").select("name", "n", "is_error", "as_text")
 
 
 NO_PATTERNS = {
-    "not connected": "a -> b; c",
-    "repeated start": """a [label="[]|is('orders')"]""",
-    "two paths into a vertex": """a -> b [label="*|"]; c -> b [label="*|"]; a -> c""",
-    "path to its own source": """a; a -> a [label="*|"]""",
-    "unknown option": """a [label="(?Q<x>)|true"]""",
+    "not connected": """a [label="is('{t}')"]; a -> b; c""",
+    "repeated start": """a [label="[]|is('{t}')"]""",
+    "two paths into a vertex": """a [label="is('{t}')"]; a -> b [label="*|"]; c -> b [label="*|"]; a -> c""",
+    "path to its own source": """a [label="is('{t}')"]; a -> a [label="*|"]""",
+    "unknown option": """a [label="(?Q<x>)|is('{t}')"]""",
 }
 
 
-@query("SELECT unnest([" + ", ".join(f"'{k}'" for k in NO_PATTERNS) + "]) AS pattern, true AS is_error")
+@query("SELECT unnest([" + ", ".join(f"'{k}'" for k in NO_PATTERNS) + "]) AS pattern, event_type AS kind, n, true AS is_error FROM (SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type)")
 def invalid_patterns(spark, sf):
-    """Patterns without a meaning are errors, all of them before any job runs."""
-    graph, rows = views.trade(spark, sf), []
-    for name, body in NO_PATTERNS.items():
-        try:
-            match(graph, dot(body))
-            rows.append((name, False))
-        except (PatternError, PredicateError):
-            rows.append((name, True))
-    return spark.createDataFrame(rows, "pattern string, is_error boolean")
+    """Patterns without a meaning are errors, all of them before any job runs, for each type of event."""
+    graph = views.session(spark, sf)
+    rows = [(name, t, is_error(graph, dot(body.replace("{t}", t)))) for name, body in NO_PATTERNS.items() for t in event_types(spark, sf)]
+    events = views.table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return events.join(spark.createDataFrame(rows, "pattern string, kind string, is_error boolean"), "kind").select("pattern", "kind", "n", "is_error")
 
 
 # Rules and pruning

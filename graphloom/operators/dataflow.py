@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from .kept import forget, keep
+from .kept import Latest, forget, keep, keep_counted, kept_as
 
 KEY = ["graph_id", "node_id"]
 
@@ -34,31 +34,32 @@ def run(graph: PropertyGraph, analysis: Analysis, backwards: bool = False, round
 
     Forwards, before is the merge over control predecessors' after; backwards, over successors'. Nodes
     without any start from ``initial``. All nodes of a round use the values of the last one. A round
-    only computes the nodes that what changed in the last one leads to.
+    only computes the nodes that what changed in the last one leads to, and writes those that change.
     """
     give, take = ("dst", "src") if backwards else ("src", "dst")
     edges = keep(graph.edges.where("etype = 'CONTROL'").select("graph_id", F.col(give).alias("give"), F.col(take).alias("take")).distinct())
     nodes = keep(graph.nodes)
     text = lambda *c: F.to_json(F.struct(*c))
-    state = keep(nodes.withColumn("before", analysis.initial).withColumn("after", analysis.flow(F.col("before"))).select(*KEY, "before", "after"))
+    first, n = keep_counted(nodes.withColumn("before", analysis.initial).withColumn("after", analysis.flow(F.col("before"))).select(*KEY, "before", "after"))
+    states = Latest(KEY, first, n)
     #: All nodes with a giver are computed in the first round; later those whose givers changed.
-    todo = keep(edges.select("graph_id", F.col("take").alias("node_id")).distinct())
+    given, moved = edges, None
     for _ in range(rounds):
-        given = edges.join(todo.withColumnRenamed("node_id", "take"), ["graph_id", "take"], "left_semi")
-        met = given.join(state.select("graph_id", F.col("node_id").alias("give"), "after"), ["graph_id", "give"])
+        if moved is not None:
+            todo = edges.join(moved, ["graph_id", "give"], "left_semi").select("graph_id", "take").distinct()
+            given = edges.join(todo, ["graph_id", "take"], "left_semi")
+        after = states.of(None if moved is None else given.select("graph_id", F.col("give").alias("node_id")).distinct())
+        met = given.join(after.select("graph_id", F.col("node_id").alias("give"), "after"), ["graph_id", "give"])
         met = met.groupBy("graph_id", F.col("take").alias("node_id")).agg(analysis.merge(F.col("after")).alias("before"))
         new = nodes.join(met, KEY).withColumn("after", analysis.flow(F.col("before"))).select(*KEY, "before", "after")
-        old = state.select(*KEY, text("before", "after").alias("old"), F.col("after").alias("was"))
-        new = new.join(old, KEY).where(text("before", "after") != F.col("old"))
-        new = keep(new.select(*KEY, "before", "after", (text("after") != F.to_json(F.struct(F.col("was").alias("after")))).alias("moved")))
-        if new.isEmpty():
-            forget(edges, nodes, todo, new)
-            return state
-        wider = keep(state.join(new.select(*KEY), KEY, "left_anti").unionByName(new.drop("moved")))
+        old = states.of(None if moved is None else given.select("graph_id", F.col("take").alias("node_id")).distinct())
+        new = new.join(old.select(*KEY, text("before", "after").alias("old"), F.col("after").alias("was")), KEY).where(text("before", "after") != F.col("old"))
+        new, n = keep_counted(new.select(*KEY, "before", "after", (text("after") != F.to_json(F.struct(F.col("was").alias("after")))).alias("moved")))
+        if not n:
+            forget(edges, nodes, new)
+            return states.close()
         moved = new.where("moved").select("graph_id", F.col("node_id").alias("give"))
-        next_ = keep(edges.join(moved, ["graph_id", "give"], "left_semi").select("graph_id", F.col("take").alias("node_id")).distinct())
-        forget(state, todo, new)
-        state, todo = wider, next_
+        states.add(kept_as(new.drop("moved"), new), n)
     raise RuntimeError(f"not stable after {rounds} rounds")
 
 

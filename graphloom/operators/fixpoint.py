@@ -13,7 +13,7 @@ from ..model import EDGES, NODES, PropertyGraph, shaped
 from ..plans.pattern import Pattern, read_pattern
 from ..plans.planner import captured, match
 from . import paths
-from .kept import forget, keep
+from .kept import forget, keep, keep_counted, kept_as
 
 KEY = ["graph_id", "node_id"]
 
@@ -131,13 +131,10 @@ def updated(state: DataFrame, x: DataFrame, alone: bool) -> tuple[DataFrame, boo
     text = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
     joined = state.withColumn("had", F.lit(True)).join(x.select(*KEY, F.col("value").alias("to"), F.lit(True).alias("put")), KEY, "full")
     joined = joined.select(*KEY, F.when(F.col("put"), F.col("to")).otherwise(F.col("value")).alias("value"), (F.col("put").isNotNull() & (F.col("had").isNull() | (text("value") != text("to")))).alias("changed"))
-    new = keep(joined)
-    changed = not new.where("changed").isEmpty()
+    new, changed = keep_counted(joined, F.col("changed"))
     if alone:
         forget(state)
-    out = new.drop("changed")
-    out.kept_at = new.kept_at
-    return out, changed
+    return kept_as(new.drop("changed"), new), changed > 0
 
 
 def same(a: DataFrame, b: DataFrame) -> bool:

@@ -59,6 +59,12 @@ def keep_counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame,
     return out, seen.get["n"]
 
 
+def kept_as(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which only selects from the kept ``table``, in its place: forgetting it deletes the table."""
+    df.kept_at = table.__dict__.pop("kept_at", None)
+    return df
+
+
 class Latest:
     """The latest row of each key, over a table and tables of changes, which are merged once they are about as large as what is below them:
     a row is written again a logarithmic number of times, however many rounds there are."""
