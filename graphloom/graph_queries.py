@@ -225,6 +225,15 @@ def reach_cyclic(spark, sf):
     return paths.reachable(g, starts, to_column("is('CONTROL')", EdgeTarget())).select("start", "last")
 
 
+@query(f"WITH {TRADE} SELECT a.src AS o, a.dst AS c, b.dst AS n, r.dst AS r FROM te a JOIN orders ON a.src = 6000000000000 + o_orderkey AND o_orderstatus = 'P' JOIN te b ON b.src = a.dst JOIN te r ON r.src = b.dst JOIN region ON r.dst = 1000000000000 + r_regionkey AND r_name = 'EUROPE' WHERE a.label = 'customer' AND b.label = 'nation' AND r.label = 'region'")
+def match_by_counts(spark, sf):
+    """From the rarest vertex on, which the pattern names last."""
+    p = dot("""o [label="is('P')"]; c [label="is('customer')"]; n [label="is('nation')"]; r [label="is('EUROPE')"]; o -> c [label="name() = 'customer'"]; c -> n [label="name() = 'nation'"]; n -> r [label="name() = 'region'"]""")
+    graph = views.trade(spark, sf)
+    named = graph.nodes.withColumn("types", F.when(F.array_contains("types", "region"), F.array_append("types", F.col("name"))).otherwise(F.col("types")))
+    return flat(match(PropertyGraph(named, graph.edges), p, by_counts=True))
+
+
 # Batches, backends, rules
 
 

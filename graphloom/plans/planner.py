@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import operator
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,20 +28,43 @@ from .pattern import Edge, Pattern, PatternError, Vertex, read_pattern
 G = "graph_id"
 
 
-def join_order(pattern: Pattern) -> list[Edge]:
+@dataclass(frozen=True)
+class Sizes:
+    """How many nodes satisfy each vertex's predicate, and how many edges each edge's."""
+
+    vertices: dict[str, int]
+    edges: dict[Edge, int]
+
+
+def sizes(graph: PropertyGraph, pattern: Pattern) -> Sizes:
+    """Counted in one scan of the nodes and one of the edges."""
+    found = {r["vertex"]: r["n"] for r in candidates(graph, pattern).collect()}
+    each = list(dict.fromkeys(pattern.edges))
+    counts = graph.edges.agg(*(F.count_if(F.coalesce(to_column(e.predicate, EdgeTarget()), F.lit(False))).alias(f"e{k}") for k, e in enumerate(each))).first() if each else []
+    return Sizes(found, {e: counts[k] for k, e in enumerate(each)})
+
+
+def join_order(pattern: Pattern, by: Sizes | None = None) -> list[Edge]:
     """The edges, each with an end that is bound before: closing edges first, then * edges from
-    their source, then other edges, and * edges from their end as a last resort."""
+    their source, then other edges, and * edges from their end as a last resort.
+
+    With sizes, the start is the vertex of the fewest candidates, and of edges of the same kind the one comes first that
+    leaves the fewest rows for each bound node: its edges by that node's candidates, times the share of the other end's."""
     kleene = pattern.kleene
-    start = next((v for v in pattern.vertices if v not in kleene), next(iter(pattern.vertices)))
+    plain = [v for v in pattern.vertices if v not in kleene] or list(pattern.vertices)
+    start = min(plain, key=by.vertices.__getitem__) if by else plain[0]
     bound, left, out = {start}, list(pattern.edges), []
+    most = max(by.vertices.values(), default=1) if by else 1
 
-    def cost(e: Edge) -> int:
+    def cost(e: Edge) -> tuple[int, float]:
         star, a, b = e.predicate.options.kleene, e.source in bound, e.target in bound
         if not a and not b:
-            return 9
+            return 9, 0.0
+        known, other = (e.source, e.target) if a else (e.target, e.source)
+        rows = by.edges[e] / max(by.vertices[known], 1) * by.vertices[other] / max(most, 1) if by else 0.0
         if not star:
-            return 0 if a and b else 3 if (e.target if a else e.source) in kleene else 2
-        return 1 if a else 4
+            return 0 if a and b else 3 if other in kleene else 2, rows
+        return 1 if a else 4, rows
 
     while left:
         e = min(left, key=cost)
@@ -50,7 +74,7 @@ def join_order(pattern: Pattern) -> list[Edge]:
     return out
 
 
-def bindings(graph: PropertyGraph, pattern: Pattern, known_types: Iterable[str] | None = None, max_length: int = 32) -> DataFrame:
+def bindings(graph: PropertyGraph, pattern: Pattern, known_types: Iterable[str] | None = None, max_length: int = 32, by: Sizes | None = None) -> DataFrame:
     """graph_id and a column for each vertex, its node (of a * edge's target: the last one), and
     ``path of v`` for those; one row a match, before repeated vertices are grouped."""
     pattern.validate()
@@ -58,7 +82,7 @@ def bindings(graph: PropertyGraph, pattern: Pattern, known_types: Iterable[str]
     kleene = pattern.kleene
     nodes = {v: graph.nodes.where(to_column(x.predicate, target)).select(G, F.col("node_id").alias(v)) for v, x in pattern.vertices.items()}
     plain = {v: v not in kleene and not always(x.predicate) for v, x in pattern.vertices.items()}
-    order = join_order(pattern)
+    order = join_order(pattern, by)
     if not order:
         return nodes[next(iter(pattern.vertices))]
     out: DataFrame | None = None
@@ -90,12 +114,13 @@ def bindings(graph: PropertyGraph, pattern: Pattern, known_types: Iterable[str]
     return out
 
 
-def match(graph: PropertyGraph, pattern: Pattern | str, bag: bool = False, known_types: Iterable[str] | None = None, max_length: int = 32, ends: bool = False) -> DataFrame:
+def match(graph: PropertyGraph, pattern: Pattern | str, bag: bool = False, known_types: Iterable[str] | None = None, max_length: int = 32, ends: bool = False, by_counts: bool = False) -> DataFrame:
     """The matches of a pattern: graph_id and one column a vertex, distinct.
 
     A plain vertex is its node id, the target of a * edge the array of its path, a repeated vertex the
     sorted array of all nodes it binds to given the others (with ``bag``, once for each match of the
-    others' row, paths in full). ``ends`` keeps ``last of v`` for * edges' targets.
+    others' row, paths in full). ``ends`` keeps ``last of v`` for * edges' targets. ``by_counts`` counts candidates first (a job) and joins
+    from the rarest vertex on; without, from the first one.
 
     Bindings need no distinct: each step is a set over its vertices, and all vertices are kept (a path and
     its start determine its last node). Repeated vertices that only touch plain ones are grouped by these,
@@ -104,9 +129,9 @@ def match(graph: PropertyGraph, pattern: Pattern | str, bag: bool = False, known
     pattern = read_pattern(pattern) if isinstance(pattern, str) else pattern
     pattern.validate()
     kleene, repeated = pattern.kleene, pattern.repeated
-    core = core_of(pattern)
+    core, by = core_of(pattern), sizes(graph, pattern) if by_counts else None
     if core:
-        rows = bindings(graph, core, known_types, max_length)
+        rows = bindings(graph, core, known_types, max_length, by)
         for v in repeated:
             near = sorted(pattern.neighbours(v))
             star = Pattern({v: pattern.vertices[v]} | {x: Vertex(x) for x in near}, tuple(e for e in pattern.edges if v in (e.source, e.target)))
@@ -117,7 +142,7 @@ def match(graph: PropertyGraph, pattern: Pattern | str, bag: bool = False, known
             value = F.flatten(F.array_repeat(F.col(f"`{v}`"), functools.reduce(operator.mul, times))) if bag and times else F.col(f"`{v}`")
             rows = rows.withColumn(f"all of {v}", F.sort_array(value))
     else:
-        rows = bindings(graph, pattern, known_types, max_length)
+        rows = bindings(graph, pattern, known_types, max_length, by)
     cols = [F.col(f"`all of {v}`").alias(v) if core and v in repeated else F.col(f"`path of {v}`").alias(v) if v in kleene else F.col(f"`{v}`") for v in pattern.vertices]
     lasts = [F.col(f"`{v}`").alias(f"last of {v}") for v in kleene if ends]
     rows = rows.select(G, *cols, *lasts)

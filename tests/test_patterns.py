@@ -140,3 +140,22 @@ def test_graphs_apart(spark):
 
     two = PropertyGraph(a.nodes.unionByName(a.nodes.withColumn("graph_id", F.lit(9).cast("long"))), a.edges.withColumn("graph_id", F.lit(9).cast("long")))
     assert [tuple(r) for r in match(two, "digraph { a -> b }").collect()] == [(9, 1, 2)]
+
+
+def test_order_by_counts(spark):
+    """The rarest vertex is the start, then the edges that leave the fewest rows; the matches stay the same."""
+    from graphloom.plans.pattern import read_pattern
+    from graphloom.plans.planner import join_order, match, sizes
+
+    nodes = [(i, ["Many"]) for i in range(60)] + [(100 + i, ["Some"]) for i in range(6)] + [(200, ["Rare"])]
+    edges = [(i, 100 + i % 6, "DATA", "in") for i in range(60)] + [(100 + i, 200, "DATA", "up") for i in range(6)] + [(i, (i + 1) % 60, "DATA", "near") for i in range(60)]
+    g = PropertyGraph.local(spark, nodes, edges)
+    p = read_pattern("""digraph { m [label="is('Many')"]; k [label="is('Many')"]; s [label="is('Some')"]; r [label="is('Rare')"]; m -> k [label="name() = 'near'"]; m -> s [label="name() = 'in'"]; s -> r [label="name() = 'up'"] }""")
+    by = sizes(g, p)
+    assert by.vertices == {"m": 60, "k": 60, "s": 6, "r": 1} and sorted(by.edges.values()) == [6, 60, 60]
+    assert [(e.source, e.target) for e in join_order(p, by)] == [("s", "r"), ("m", "s"), ("m", "k")]
+    assert [(e.source, e.target) for e in join_order(p)][0] == ("m", "k")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(match(g, p, by_counts=True)) == rows(match(g, p)) and len(rows(match(g, p))) == 60
+    starred = """digraph { m [label="is('Many')"]; s [label="[]|is('Some')"]; r [label="is('Rare')"]; m -> s [label="name() = 'in'"]; s -> r [label="*|name() = 'up'"] }"""
+    assert rows(match(g, starred, by_counts=True)) == rows(match(g, starred))
