@@ -26,8 +26,8 @@ STATE = f"map<string,{INTERVAL}>"
 
 
 def interval(lo: Column | float, hi: Column | float) -> Column:
-    """Bounds tightened to integers."""
-    lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
+    """Bounds tightened to integers; a null bound is none, so it is infinite."""
+    lo, hi = (F.coalesce(x.cast("double"), F.lit(none)) if isinstance(x, Column) else F.lit(float(x)) for x, none in ((lo, -INF), (hi, INF)))
     tight = lambda c, f: F.when(F.abs(c) == INF, c).otherwise(f(c).cast("double"))
     return F.struct(tight(lo.cast("double"), F.ceil).alias("lo"), tight(hi.cast("double"), F.floor).alias("hi"))
 
@@ -205,7 +205,7 @@ def merge_states(c: Column) -> Column:
 
 
 def is_top(state: Column) -> Column:
-    return state.isNotNull() & ~F.exists(F.map_values(state), lambda i: (i["lo"] > -INF) | (i["hi"] < INF))
+    return state.isNotNull() & F.coalesce(~F.exists(F.map_values(state), lambda i: (F.coalesce(i["lo"], F.lit(-INF)) > -INF) | (F.coalesce(i["hi"], F.lit(INF)) < INF)), F.lit(False))
 
 
 # Linear forms as Columns: struct<terms: map<variable, coefficient>, constant>, without terms of 0

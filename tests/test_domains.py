@@ -138,3 +138,10 @@ def test_polyhedra():
     assert line.bounds("y") == (0, 6) and line.entails(Polyhedron().assume(Linear.of(y=1, x=-2), "=", 0)) and line.forget("x").names == {"y"}
     assert Polyhedron().assume(Linear.of(x=1), ">=", 5.001).same(Polyhedron().assume(Linear.of(x=1), ">=", 5.4)) and Polyhedron().top
     assert one.assume(Linear.of(x=1), "!=", 0).bottom and not line.assume(Linear.of(x=1), "!=", 0).bottom
+
+
+def test_null_bounds_are_infinite(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1D, NULL), (NULL, 2D), (NULL, NULL) AS t(a, b)")
+    got = rows.select(D.interval(F.col("a"), F.col("b")).alias("i"), D.is_top(F.create_map(F.lit("x"), D.interval(F.col("a"), F.col("b")))).alias("top")).collect()
+    inf = float("inf")
+    assert [(tuple(r.i), r.top) for r in got] == [((1, inf), False), ((-inf, 2), False), ((-inf, inf), True)]
