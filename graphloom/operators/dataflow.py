@@ -48,11 +48,11 @@ def run(graph: PropertyGraph, analysis: Analysis, backwards: bool = False, round
         if moved is not None:
             todo = edges.join(moved, ["graph_id", "give"], "left_semi").select("graph_id", "take").distinct()
             given = edges.join(todo, ["graph_id", "take"], "left_semi")
-        after = states.of(None if moved is None else given.select("graph_id", F.col("give").alias("node_id")).distinct())
+        after = states.of(None if moved is None else given.select("graph_id", F.col("give").alias("node_id")))
         met = given.join(after.select("graph_id", F.col("node_id").alias("give"), "after"), ["graph_id", "give"])
         met = met.groupBy("graph_id", F.col("take").alias("node_id")).agg(analysis.merge(F.col("after")).alias("before"))
         new = nodes.join(met, KEY).withColumn("after", analysis.flow(F.col("before"))).select(*KEY, "before", "after")
-        old = states.of(None if moved is None else given.select("graph_id", F.col("take").alias("node_id")).distinct())
+        old = states.of(None if moved is None else given.select("graph_id", F.col("take").alias("node_id")))
         new = new.join(old.select(*KEY, text("before", "after").alias("old"), F.col("after").alias("was")), KEY).where(text("before", "after") != F.col("old"))
         new, n = keep_counted(new.select(*KEY, "before", "after", (text("after") != F.to_json(F.struct(F.col("was").alias("after")))).alias("moved")))
         if not n:
