@@ -30,3 +30,16 @@ def test_labels_take_more_than_51_rounds(spark, tmp_path):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["o", "c", "s", "n"]
+
+
+def test_numeric_loops_by_shuffled_joins(spark, oracle):
+    """Tables too large to broadcast, with partitions that are merged at run time, as from sf0.1 on."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert rows_of(graph_queries.QUERIES["numeric_loops"](spark, SMALL)) == oracle(graph_queries.SQL["numeric_loops"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
