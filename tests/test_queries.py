@@ -43,3 +43,11 @@ def test_numeric_loops_by_shuffled_joins(spark, oracle):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_fan_in_gives_every_pair(spark):
+    """A row for each customer and supplier of a nation, by enumeration."""
+    c = spark.read.parquet(f"{SMALL}/customer.parquet").select("c_custkey", "c_nationkey").collect()
+    s = spark.read.parquet(f"{SMALL}/supplier.parquet").select("s_suppkey", "s_nationkey").collect()
+    want = sorted((3 * 10**12 + k, 4 * 10**12 + j, 2 * 10**12 + n) for k, n in c for j, m in s if n == m)
+    assert sorted((r.c, r.s, r.n) for r in graph_queries.QUERIES["fan_in"](spark, SMALL).collect()) == want
