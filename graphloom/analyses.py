@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .model import PropertyGraph
+from .operators.kept import keep
 from .operators.prune import resolve_placeholders
 from .plans.planner import captured, match
 
@@ -39,7 +40,8 @@ def points_to(graph: PropertyGraph, field: str = "field", passing: tuple[str, ..
     inner = fields.select("graph_id", F.col("node").alias("value"), F.col("object").alias("from_object"), F.col("field").alias("from_field"))
     loads = named.where("load").select("graph_id", F.col("node").alias("value"), F.lit(True).alias("is_load"))
     puts = values.join(fields, ["graph_id", "node"]).join(loads, ["graph_id", "value"], "left").join(inner, ["graph_id", "value"], "left")
-    puts = puts.where("is_load IS NULL OR from_object IS NOT NULL")
+    #: Kept, as edges, placeholders and the result all read it; the graph isn't read any more after this.
+    puts = keep(puts.where("is_load IS NULL OR from_object IS NOT NULL"))
     #: A field is a placeholder; what asks for it is a node of its own that points to it.
     mark = lambda *by: F.xxhash64("graph_id", *by)
     asks = F.xxhash64("graph_id", "object", "field", F.lit("asks"))

@@ -13,7 +13,7 @@ from .graph_queries import CONV, RING, SESSION, SQL, TRADE, dot, flat, query
 from .model import PropertyGraph
 from .operators import domains, polyhedra, prune
 from .operators.fixpoint import Rules
-from .operators.kept import shared_folder
+from .operators.kept import forget, keep, shared_folder
 from .plans import sqltext
 from .plans.pattern import PatternError, read_pattern
 from .plans.planner import candidates, match
@@ -245,6 +245,7 @@ def points_to(spark, sf):
     items = t["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_suppkey").alias("s"), F.max("l_partkey").alias("p"))
     load = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
     o = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(items, "o_orderkey").withColumn("load", load)
+    o = keep(o.select("o_orderkey", "o_orderpriority", "c_nationkey", "s", "p", "load"))
     here, nop = views.node("orders", "o_orderkey"), F.col("o_orderkey") + 7 * views.BASE
     field = F.create_map(F.lit("field"), F.concat_ws(":", F.col("c_nationkey").cast("string"), "o_orderpriority"))
     urgent = (F.col("o_orderpriority") == "1-URGENT") & ~F.col("load")
@@ -262,7 +263,9 @@ def points_to(spark, sf):
         edge(o.where(~F.col("load") & ~urgent), part, here, "value"),
         edge(o.where("load").join(stores, F.col("next") == F.col("o_orderkey") + 1), here, views.node("orders", "next"), "value"),
     ])
-    return analyses.points_to(PropertyGraph.of(nodes, edges)).drop("graph_id")
+    found = analyses.points_to(PropertyGraph.of(nodes, edges)).drop("graph_id")
+    forget(o)
+    return found
 
 
 # Domains

@@ -51,3 +51,8 @@ def test_fan_in_gives_every_pair(spark):
     s = spark.read.parquet(f"{SMALL}/supplier.parquet").select("s_suppkey", "s_nationkey").collect()
     want = sorted((3 * 10**12 + k, 4 * 10**12 + j, 2 * 10**12 + n) for k, n in c for j, m in s if n == m)
     assert sorted((r.c, r.s, r.n) for r in graph_queries.QUERIES["fan_in"](spark, SMALL).collect()) == want
+
+
+def test_points_to_derives_its_graph_once(spark):
+    """What the result still reads are kept tables, so the tables and the patterns over them aren't gone through again."""
+    assert not [f for f in graph_queries.QUERIES["points_to"](spark, SMALL).inputFiles() if SMALL in f]
