@@ -97,7 +97,7 @@ def analyse(graph: PropertyGraph, steps: DataFrame, start: DataFrame, head: Colu
     """
     flows = graph.edges.where("etype = 'CONTROL'").select("graph_id", "src", "dst", "label").join(steps, ["graph_id", "src", "dst", "label"], "left")
     flows, _ = keep_counted(flows.select("graph_id", "src", "dst", "steps"))
-    heads = graph.nodes.where(head).select(*KEY, F.lit(True).alias("head"))
+    heads, _ = keep_counted(graph.nodes.where(head).select(*KEY, F.lit(True).alias("head")))
     start, n = keep_counted(start.select(*KEY, F.col("state").cast(STATE).alias("state")).where("state IS NOT NULL"))
     states, front = Latest(KEY, start, n), start
     everywhere = False
@@ -139,7 +139,7 @@ def analyse(graph: PropertyGraph, steps: DataFrame, start: DataFrame, head: Colu
         down, n = changed(met, less)
         forget(met)
         if not n:
-            forget(down, todo, flows)
+            forget(down, todo, flows, heads)
             break
         forget(todo)
         following = flows.join(down.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi")

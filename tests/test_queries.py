@@ -56,3 +56,18 @@ def test_fan_in_gives_every_pair(spark):
 def test_points_to_derives_its_graph_once(spark):
     """What the result still reads are kept tables, so the tables and the patterns over them aren't gone through again."""
     assert not [f for f in graph_queries.QUERIES["points_to"](spark, SMALL).inputFiles() if SMALL in f]
+
+
+def test_numeric_loops_analyses_equal_programs_once(spark, tmp_path, monkeypatch):
+    """40 orders of 3 programs: 3 starts, the rows of all orders."""
+    import duckdb
+
+    lines = [(k, q) for k in range(40) for q in ([10.0], [10.0, 30.0], [26.0, 26.5, 50.0])[k % 3]]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"SELECT graph_id, node_id, name, lo, hi FROM ({graph_queries.SQL['numeric_loops']})").fetchall()
+    started, analyse = [], graph_queries.numeric.analyse
+    monkeypatch.setattr(graph_queries.numeric, "analyse", lambda graph, steps, start, *rest: started.append(start.count()) or analyse(graph, steps, start, *rest))
+    got = graph_queries.QUERIES["numeric_loops"](spark, str(tmp_path)).select("graph_id", "node_id", "name", "lo", "hi").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and started == [3]
